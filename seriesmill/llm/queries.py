@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scoring, mixing, quality, secrets, token_counts
+from . import embedding_join, jaccard_join, lm_scoring, mixing, quality, secrets, token_counts
 
 #: Bigrams: at order 3 the packed keys alone would pass the disk budget.
 LM = {"order": 2, "min_count": 2, "alpha": 0.4, "block_bytes": 16 << 20}
+NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
 JACCARD = {"width": 4, "percent": 85, "block_bytes": 16 << 20}
 QUALITY = {"buckets": 10_000, "smoothing": 1.0, "threshold": -0.1}
 MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2, "seed": 20240229}
@@ -35,6 +36,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_read(spark, sf_dir, "documents"), **LM)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"), **NEAR)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(_read(spark, sf_dir, "documents"), trusted(spark, sf_dir), **QUALITY)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
