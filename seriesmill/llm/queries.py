@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, jaccard_join, lm_scoring, mixing, quality, secrets, token_counts
+from . import embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, token_counts, toxicity
 
 #: Bigrams: at order 3 the packed keys alone would pass the disk budget.
 LM = {"order": 2, "min_count": 2, "alpha": 0.4, "block_bytes": 16 << 20}
@@ -15,10 +17,21 @@ NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
 JACCARD = {"width": 4, "percent": 85, "block_bytes": 16 << 20}
 QUALITY = {"buckets": 10_000, "smoothing": 1.0, "threshold": -0.1}
 MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2, "seed": 20240229}
+PIECE_MODEL, PIECE_THREADS = "piece_bpe_32k.model", 2
+LICENSE_DICE = 0.8
+TOXICITY = {"max_docs": 10_000, "max_features": 300, "toxic_at": 0.1, "seed": 20240229}
 COUNT_TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the driver found it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -33,13 +46,19 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(_read(spark, sf_dir, "documents"), **LM)
+    out = lm_scoring.score_documents(_read(spark, sf_dir, "documents"), **LM)
+    return out.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"), **NEAR)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_codec.encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), threads=PIECE_THREADS)
+    return out.drop("ids")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(_read(spark, sf_dir, "documents"), trusted(spark, sf_dir), **QUALITY)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -49,6 +68,20 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents"), **JACCARD)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(_read(spark, sf_dir, "documents"), least=LICENSE_DICE)
+    best = F.try_element_at(F.array_sort(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["start"].alias("s"), m["license"].alias("l")))), F.lit(1))
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), best["l"].alias("license"), (-best["d"]).alias("dice"), spans.alias("spans"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = toxicity.training_rows(docs, _read(spark, sf_dir, "labels"), TOXICITY["max_docs"], TOXICITY["seed"], "doc_id", "text", "toxic")
+    model = toxicity.train(rows["text"], rows["y"].to_numpy() == 1, max_features=TOXICITY["max_features"])
+    return toxicity.score_toxicity(docs, model, toxic_at=TOXICITY["toxic_at"])
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"), **MIX).drop("source")
 

@@ -177,7 +177,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     p-value, a fixed number of rows.  ``random`` holds the runs that are not
     declared not random, without those inside a base span.
     """
-    df = base_spans(docs.select(id_col, *keep, text_col), text_col)
+    df = base_spans(docs.select(*dict.fromkeys([id_col, *keep, text_col])), text_col)
     df = _located(df, "_runs", RUN, KINDS.index("random"), MIN_RUN)
     texts = F.transform("_runs", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring("_text", s["start"] + 1, s["end"] - s["start"]).alias("run")))
     found = materialize(df.select(F.monotonically_increasing_id().alias("_row"), id_col, *keep, "_assign", "_access", "_hex", texts.alias("_runs")), "spans")
