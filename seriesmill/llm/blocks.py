@@ -43,29 +43,51 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]]).astype(np.int64)
 
 
-def by_bucket(edges: np.ndarray, *arrays: np.ndarray):
-    """``(bucket, bytes of each array's share)`` for the buckets that get any."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as byte planes, all lowest bytes first: the shuffle's compression then
+    finds the empty high bytes."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising numbers as the packed steps between them."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(unpack(data, dtype), dtype=dtype)
+
+
+def by_bucket(edges: np.ndarray, keys: np.ndarray, counts: np.ndarray, pack_keys):
+    """``(bucket, keys, counts)`` as bytes, for the buckets that get any."""
     for b in np.flatnonzero(np.diff(edges)).tolist():
-        yield b, *(a[edges[b] : edges[b + 1]].tobytes() for a in arrays)
+        mine = slice(edges[b], edges[b + 1])
+        yield b, pack_keys(keys[mine]), pack(counts[mine].astype(np.uint32))
 
 
-def total_by_key(requests: pa.Table, dtype) -> list[bytes]:
+def total_by_key(requests: pa.Table, unpack_keys) -> list[bytes]:
     """The totals over all rows of a bucket, for each row in the order of its keys."""
-    keys = [np.frombuffer(k, dtype) for k in requests["keys"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in requests["counts"].to_pylist()])
+    keys = [unpack_keys(k) for k in requests["keys"].to_pylist()]
+    counts = np.concatenate([unpack(c, np.uint32) for c in requests["counts"].to_pylist()])
+    ends = np.cumsum([len(k) for k in keys])[:-1]
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
-    return [t.tobytes() for t in np.split(totals, np.cumsum([len(k) for k in keys])[:-1])]
+    return [pack(t) for t in np.split(totals, ends)]
 
 
-def replies(requests: DataFrame, dtype, extra: tuple[str, ...] = ()) -> DataFrame:
+def replies(requests: DataFrame, unpack_keys, extra: tuple[str, ...] = ()) -> DataFrame:
     """``(block, bucket, *extra, totals)``; each group is one bucket of one kind.
 
     Counts add up as doubles, exact below 2**53.
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        return table.select(["block", "bucket", *extra]).append_column("totals", pa.array(total_by_key(table, dtype), pa.binary()))
+        return table.select(["block", "bucket", *extra]).append_column("totals", pa.array(total_by_key(table, unpack_keys), pa.binary()))
 
     kinds = "".join(f", {e} int" for e in extra)
     return requests.groupBy(*extra, "bucket").applyInArrow(answer, f"block int, bucket int{kinds}, totals binary")
@@ -73,6 +95,5 @@ def replies(requests: DataFrame, dtype, extra: tuple[str, ...] = ()) -> DataFram
 
 def unpack_totals(table: pa.Table) -> np.ndarray:
     """All totals that a block was sent, in the order of its sorted keys."""
-    table = table.sort_by("bucket")
-    parts = [np.frombuffer(t, np.int64) for t in table["totals"].to_pylist()]
+    parts = [unpack(t, np.int64) for t in table.sort_by("bucket")["totals"].to_pylist()]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)

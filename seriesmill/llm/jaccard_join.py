@@ -116,7 +116,7 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
             keys, counts = np.unique(shingles(table["text"], width)[0], return_counts=True)
             edges = bucket_edges(keys, blocks)
             # Within a bucket, half of the hash is enough to count by.
-            out = [(number, *x) for x in by_bucket(edges, keys.astype(np.uint32), counts.astype(np.uint32))]
+            out = [(number, *x) for x in by_bucket(edges, keys.astype(np.uint32), counts, np.ndarray.tobytes)]
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, asked, strict=True)], schema=asked)
 
     made = pa.schema([("row", pa.int64()), ("n_shingles", pa.int64()), ("match", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
@@ -143,7 +143,7 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
 
     texts = dealt.groupBy("block")
     asks = texts.cogroup(chosen.groupBy("block")).applyInArrow(request, "block int, bucket int, keys binary, counts binary")
-    back = replies(asks, np.uint32).withColumn("row", F.lit(None).cast("bigint"))
+    back = replies(asks, lambda data: np.frombuffer(data, np.uint32)).withColumn("row", F.lit(None).cast("bigint"))
     back = back.unionByName(chosen.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("totals"), "row"))
     return texts.cogroup(back.groupBy("block")).applyInArrow(resolve, "row bigint, n_shingles bigint, match int, prefix array<bigint>, shared array<bigint>")
 

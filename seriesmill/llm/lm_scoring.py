@@ -16,20 +16,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, bucket_edges, by_bucket, measure, replies, unpack_totals
+from .blocks import block_count, bucket_edges, by_bucket, measure, pack_sorted, replies, unpack_sorted, unpack_totals
 from .text import ngram_hashes, word_hashes
 
 
-def _grams(column, order: int):
-    """For each n up to ``order``: the words that end an n-gram in their text, and the
-    n-grams' hashes; the words' places in their texts; each text's first word."""
+def _words(column):
+    """The words' hashes, their places in their texts, and each text's first word."""
     words, rows = word_hashes(column)
-    place = np.arange(len(words)) - np.repeat(rows[:-1], np.diff(rows))
-    grams = []
-    for n in range(1, order + 1):
-        ends = np.flatnonzero(place >= n - 1)
-        grams.append((ends, words if n == 1 else ngram_hashes(words, n)[ends - (n - 1)]))
-    return grams, place, rows
+    return words, np.arange(len(words)) - np.repeat(rows[:-1], np.diff(rows)), rows
+
+
+def _grams(words: np.ndarray, place: np.ndarray, n: int):
+    """The words that end an n-gram in their text, and the n-grams' hashes."""
+    ends = np.flatnonzero(place >= n - 1)
+    return ends, words if n == 1 else ngram_hashes(words, n)[ends - (n - 1)]
 
 
 def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,22 +51,23 @@ def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float
 
     def request(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        grams, _, _ = _grams(table["text"], order)
+        words, place, _ = _words(table["text"])
         rows = []
-        for n, (_, hashes) in enumerate(grams, 1):
-            keys, counts = np.unique(hashes, return_counts=True)
-            for bucket, k, c in by_bucket(bucket_edges(keys, blocks), keys, counts.astype(np.uint32)):
+        for n in range(1, order + 1):
+            keys, counts = np.unique(_grams(words, place, n)[1], return_counts=True)
+            for bucket, k, c in by_bucket(bucket_edges(keys, blocks), keys, counts, pack_sorted):
                 rows.append((block, n, bucket, k, c))
         return pa.table(dict(zip(("block", "n", "bucket", "keys", "counts"), [list(x) for x in zip(*rows, strict=True)] or [[]] * 5, strict=True)), schema=asked)
 
     asked = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, place, rows = _grams(table["text"], order)
+        words, place, rows = _words(table["text"])
         score = np.zeros(len(place))
         used = np.zeros(len(place), np.int64)
         shorter = None
-        for n, (ends, hashes) in enumerate(grams, 1):
+        for n in range(1, order + 1):
+            ends, hashes = _grams(words, place, n)
             _, inverse = np.unique(hashes, return_inverse=True)
             totals = unpack_totals(answers.filter(pc.equal(answers["n"], n)))[inverse] if len(ends) else np.empty(0, np.int64)
             counts = np.zeros(len(place), np.int64)
@@ -88,7 +89,7 @@ def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float
         return pa.table({"id": table["id"], "n_words": np.diff(rows), "n_backoff": add((missed > 0).astype(np.int64)), "log_score": sums})
 
     asks = dealt.groupBy("block").applyInArrow(request, "block int, n int, bucket int, keys binary, counts binary")
-    answers = replies(asks, np.uint64, ("n",))
+    answers = replies(asks, lambda data: unpack_sorted(data, np.uint64), ("n",))
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"id {kind}, n_words bigint, n_backoff bigint, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))

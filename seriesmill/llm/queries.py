@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, token_counts, toxicity
 
 #: Bigrams: at order 3 the packed keys alone would pass the disk budget.
-LM = {"order": 2, "min_count": 2, "alpha": 0.4, "block_bytes": 16 << 20}
+LM = {"order": 2, "min_count": 2, "alpha": 0.4, "block_bytes": 8 << 20}
 NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
 JACCARD = {"width": 4, "percent": 85, "block_bytes": 16 << 20}
 QUALITY = {"buckets": 10_000, "smoothing": 1.0, "threshold": -0.1}
