@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, least_labels
 from .storage import materialize
 
 #: Rows of a matrix product at once.
@@ -66,20 +66,6 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, cosine: float) -> tup
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least reachable number of each of n nodes over the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_size: int, seed: int = 20240229, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row of ``vectors``.
 

@@ -1,13 +1,28 @@
-"""Connected components of an edge table, entirely as DataFrame operations."""
+"""Connected components: of an edge table as DataFrame operations, of one tile in numpy."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
 
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least reachable number of each of n nodes over the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an edge, component = its least node.
 

@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, bucket_edges, by_bucket, measure, replies, unpack_totals
-from .graph import connected_components
+from .graph import connected_components, least_labels
 from .storage import materialize
 from .text import ngram_hashes, word_hashes
 
@@ -148,39 +149,120 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
     return texts.cogroup(back.groupBy("block")).applyInArrow(resolve, "row bigint, n_shingles bigint, match int, prefix array<bigint>, shared array<bigint>")
 
 
+def _left(sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("row").alias("a"), F.col("shared").alias("sa"), F.col("n_shingles").alias("na"))
+
+
+def _right(sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("row").alias("b"), F.col("shared").alias("sb"), F.col("n_shingles").alias("nb"))
+
+
+def _linked(common, percent: int):
+    return 100 * common >= percent * (F.col("na") + F.col("nb") - common)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar enough."""
-    left = sets.select(F.col("row").alias("a"), F.col("shared").alias("sa"), F.col("n_shingles").alias("na"))
-    right = sets.select(F.col("row").alias("b"), F.col("shared").alias("sb"), F.col("n_shingles").alias("nb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
-
-
-def link_classes(profile: DataFrame, percent: int) -> DataFrame:
+    return pairs.join(_left(sets), "a").join(_right(sets), "b").where(_linked(common, percent)).select("a", "b")
+
+
+def tile_overlaps(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Overlaps of all sets on the left with all on the right, told by how they differ
+    from one centre: |x & y| = |c| - |c - x| - |c - y| + |(c - x) & (c - y)| + |(x - c) & (y - c)|,
+    where |c| counts the centre's shared shingles only."""
+    lost_l, lost_r = (np.diff(t["lost"].combine_chunks().offsets.to_numpy()) for t in (left, right))
+    out = left["centre"].to_numpy()[:, None] - lost_l[:, None] - lost_r[None, :]
+    for side in ("lost", "added"):
+        tl, tr = (t[side].combine_chunks() for t in (left, right))
+        l_row, r_row = (np.repeat(np.arange(len(t)), np.diff(t.offsets.to_numpy())) for t in (tl, tr))
+        l_tok, r_tok = (t.flatten().to_numpy() for t in (tl, tr))
+        order = np.argsort(r_tok, kind="stable")
+        r_tok, r_row = r_tok[order], r_row[order]
+        lo, hi = np.searchsorted(r_tok, l_tok), np.searchsorted(r_tok, l_tok, side="right")
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(l_tok):  # as many meetings at once as memory allows
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22))))
+            n = (hi - lo)[at:to]
+            places = np.repeat(lo[at:to] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            np.add.at(out, (np.repeat(l_row[at:to], n), r_row[places]), 1)
+            at = to
+    return out
+
+
+def loose_links(star: DataFrame, percent: int, tile_size: int) -> DataFrame:
+    """Links ``(a, b)`` between sets that were compared with the same centre, where one
+    of them, at least, was not linked to it.
+
+    Loose sets meet all sets of their centre in tiles of about ``tile_size`` by
+    ``tile_size``; a tile returns enough links to connect what it links, a row for each
+    set at most.
+    """
+    loose = ~F.col("linked")
+    sizes = star.groupBy("b").agg(F.count_if(loose).alias("loose"), F.count(F.lit(1)).alias("all")).where("loose > 0 and all > 1")
+    parts = lambda c: F.ceil(F.col(c) / tile_size).cast("int")
+    rows = star.join(sizes.select("b", parts("loose").alias("ls"), parts("all").alias("rs")), "b")
+    of = lambda c: F.pmod(F.xxhash64("a"), F.col(c)).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    spot = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    as_right = F.transform(upto("ls"), lambda i: spot(i, of("rs"), False))
+    as_left = F.transform(upto("rs"), lambda j: spot(of("ls"), j, True))
+    spots = F.when(loose, F.concat(as_left, as_right)).otherwise(as_right)
+    tiles = rows.select("b", "a", "na", "centre", "lost", "added", F.explode(spots).alias("t")).select("b", "a", "na", "centre", "lost", "added", "t.*")
+
+    def join_tile(table: pa.Table) -> pa.Table:
+        left, right = table.filter(table["left"]), table.filter(pc.invert(table["left"]))
+        if not len(left) or not len(right):
+            return pa.table({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        common = tile_overlaps(left, right)
+        union = left["na"].to_numpy()[:, None] + right["na"].to_numpy()[None, :] - common
+        ids = np.concatenate([left["a"].to_numpy(), right["a"].to_numpy()])
+        i, j = np.nonzero((100 * common >= percent * union) & (left["a"].to_numpy()[:, None] != right["a"].to_numpy()[None, :]))
+        names, at = np.unique(ids, return_inverse=True)
+        label = least_labels(len(names), at[i], at[len(left) + j])
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[label[moved]]})
+
+    return tiles.groupBy("b", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
+
+
+def link_classes(profile: DataFrame, percent: int, tile_size: int) -> DataFrame:
     """``(node, component)`` of the classes that are linked with any other.
 
-    First each class is compared with one partner only: the least of those it meets
-    in its prefix, by most shared shingles.  What that links is a component, and a
-    shingle whose classes are all of one component has no more to say.  Of the
-    others, the classes outside a shingle's largest component meet the classes of
-    other components.  So a large group of near copies is never paired out, and no
-    pair that could join two components is left out.
+    First each class is compared with one other, its centre: of each shingle in its prefix the
+    class that has most of its shingles in common with others is proposed, and
+    the one proposed most often is taken; the original among near copies is such a
+    class.  Classes of one centre are then compared by their differences from it,
+    where one was not linked to it (``loose_links``).
+
+    Classes of different centres meet by the shingles of their prefixes.  A shingle
+    whose classes are all of one component so far has no more to say; of the others, the
+    classes outside the shingle's largest component meet those of other components.
+    So a large group of near copies is never paired out, and no pair that could join two
+    components is left out.
     """
     found = profile.where("size(prefix) > 0")
-    postings = materialize(found.select(F.explode("prefix").alias("token"), "row", "match", F.col("n_shingles").alias("n")), "postings")
-    pivots = postings.groupBy("token").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "pivot")
-    met = postings.join(pivots, "token").where("row <> pivot").groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    star = met.groupBy("row").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("b")).select(F.col("row").alias("a"), "b")
-    links = materialize(similar(star, found, percent), "links")
+    share = F.size("shared") / F.col("n_shingles")
+    postings = materialize(found.select(F.explode("prefix").alias("token"), "row", "match", F.col("n_shingles").alias("n"), share.alias("share")), "postings")
+    centres = postings.groupBy("token").agg(F.max_by("row", F.struct("share", "row")).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "b")
+    met = postings.join(centres, "token").where("row <> b").groupBy("row", "b").agg(F.count(F.lit(1)).alias("k"))
+    star = met.groupBy("row").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(F.col("row").alias("a"), "b")
+    star = star.join(_left(found), "a").join(_right(found), "b").withColumn("lost", F.array_except("sb", "sa"))
+    star = star.withColumn("centre", F.size("sb").cast("bigint")).withColumn("common", F.col("centre") - F.size("lost"))
+    star = materialize(star.select("a", "b", "na", "centre", "lost", F.array_except("sa", "sb").alias("added"), _linked(F.col("common"), percent).alias("linked")), "star")
+    links = star.where("linked").select("a", "b").unionByName(loose_links(star, percent, tile_size))
+    links = materialize(links, "links")
     parts = connected_components(links)
 
-    named = postings.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component")
+    named = postings.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component", "share")
     sums = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
     mixed = sums.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    named = materialize(named.join(mixed.select("token", "main"), "token"), "postings")
-    out = named.where("part <> main").select("token", F.col("row").alias("a"), F.col("part").alias("pa"), F.col("match").alias("ma"), F.col("n").alias("na"))
-    all_ = named.select("token", F.col("row").alias("b"), F.col("part").alias("pb"), F.col("match").alias("mb"), F.col("n").alias("nb"), F.col("part").alias("p2"), "main")
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("pa") != F.col("pb"))
+    named = named.join(mixed.select("token", "main"), "token").join(star.select(F.col("a").alias("row"), F.col("b").alias("centre")), "row", "left")
+    named = materialize(named, "postings")
+    out = named.where("part <> main").select("token", F.col("row").alias("a"), F.col("part").alias("pa"), F.col("match").alias("ma"), F.col("n").alias("na"), F.col("centre").alias("ca"))
+    all_ = named.select("token", F.col("row").alias("b"), F.col("part").alias("pb"), F.col("match").alias("mb"), F.col("n").alias("nb"), F.col("centre").alias("cb"), "main")
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("pa") != F.col("pb")) & ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
     # Two classes outside the largest component meet twice; once is enough.
     once = (F.col("pb") == F.col("main")) | (F.col("a") < F.col("b"))
     meet = out.join(all_, "token").where(fits & once)
@@ -189,7 +271,7 @@ def link_classes(profile: DataFrame, percent: int) -> DataFrame:
     return connected_components(links.unionByName(more))
 
 
-def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, tile_size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
@@ -205,7 +287,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_by
     members, classes = class_rows(docs)
     classes = materialize(classes, "classes")
     profile = materialize(profiles(docs, classes, width, percent, block_bytes), "profiles")
-    parts = link_classes(profile, percent).withColumnRenamed("node", "row")
+    parts = link_classes(profile, percent, tile_size).withColumnRenamed("node", "row")
     named = classes.join(profile.select("row", "n_shingles"), "row").join(parts, "row", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component", "left").select("digest", "n_shingles", F.coalesce("least", "rep").alias("least"))

@@ -14,7 +14,7 @@ from . import embedding_join, jaccard_join, licenses, lm_scoring, mixing, qualit
 #: Bigrams: at order 3 the packed keys alone would pass the disk budget.
 LM = {"order": 2, "min_count": 2, "alpha": 0.4, "block_bytes": 8 << 20}
 NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
-JACCARD = {"width": 4, "percent": 85, "block_bytes": 16 << 20}
+JACCARD = {"width": 4, "percent": 85, "block_bytes": 8 << 20}
 QUALITY = {"buckets": 10_000, "smoothing": 1.0, "threshold": -0.1}
 MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2, "seed": 20240229}
 PIECE_MODEL, PIECE_THREADS = "piece_bpe_32k.model", 2
