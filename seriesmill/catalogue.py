@@ -1,9 +1,543 @@
-"""Named queries over the test tables and the SQL that each must agree with."""
+"""Named queries over the test tables, and the SQL that each must agree with.
 
+``events`` are the observations: one counter increment each, ``value`` a gauge, and
+its whole part what histograms and distributions record; ``(ts, event_id)`` is the
+order.  ``orders`` are root spans and ``lineitem`` their children.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seriesmill.functions import numbers, trace_ids
+from seriesmill.functions.labels import LabelDomain, canonical, from_pairs, label_map, prometheus_labels, series_key
+from seriesmill.operators import aggregate, cardinality, exposition, otel, run_stats, sampling, spans, temporality
+from seriesmill.plans.metric_set import MetricSet, MetricSpec
+from seriesmill.session import configure
+from seriesmill.sources.observations import access_profile, observations
+
+BOUNDS = (10, 50, 100, 500)
+TYPES = LabelDomain("event_type", ("view", "click", "signup", "purchase", "refund", "error"))
+RESOURCE = otel.Resource("shop", 1_700_000_000_000_000_000, attributes={"env": "test"})
+CAP, IDLE_HOURS = 20, 6
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(configure(spark), sf_dir))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+class Tables:
+    """The tables of a folder, and the events as observations."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def whole(self) -> DataFrame:
+        """Events with ``v``, the whole part of the value, and their day and hour."""
+        seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+        return self.events.withColumns({"v": F.floor("value").cast("bigint"), "one": F.lit(1).cast("bigint"), "day": F.date_format("ts", "yyyy-MM-dd"), "hour": F.floor(seconds / 3600).cast("bigint"), "labels": label_map(event_type="event_type", user_id="user_id")})
+
+    def obs(self, metric: str = "events", op: str = "add", value: str = "one") -> DataFrame:
+        """``events`` as stored observations: label sets of user and type."""
+        e = self.whole()
+        return observations(e, metric, op, labels=F.col("labels"), value_l=F.col(value), value_d=F.col("value"), seq="event_id", producer=F.col("user_id"))
+
+
+# Aggregations
+
+
+@query('SELECT CAST(count(*) AS BIGINT) AS "sum" FROM events')
+def counter_sum(t: Tables) -> DataFrame:
+    return aggregate.counter_sum(t.obs())
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS \"window\", CAST(count(*) AS BIGINT) AS \"sum\" FROM events GROUP BY 1")
+def counter_swap_by_day(t: Tables) -> DataFrame:
+    return aggregate.counter_swap(t.obs(), F.date_format("ts", "yyyy-MM-dd"))
+
+
+@query(
+    """WITH d(idx, event_type) AS (VALUES (0,'view'),(1,'click'),(2,'signup'),(3,'purchase'),(4,'refund'),(5,'error'))
+    SELECT CAST(d.idx AS INTEGER) AS idx, d.event_type, CAST(count(e.event_id) AS BIGINT) AS "sum"
+    FROM d LEFT JOIN events e ON e.event_type = d.event_type GROUP BY 1, 2"""
+)
+def labeled_counter_complete(t: Tables) -> DataFrame:
+    sums = aggregate.counter_sum(t.whole(), ["event_type"], "one")
+    return aggregate.complete(sums, TYPES, "event_type", {"sum": F.lit(0).cast("bigint")})
+
+
+@query("SELECT event_type, arg_max(value, (ts, event_id)) AS \"value\" FROM events GROUP BY 1")
+def gauge_last(t: Tables) -> DataFrame:
+    return aggregate.gauge_last(t.events, ["event_type"], "value", ("ts", "event_id"), 0.0)
+
+
+_FOLD = """WITH e AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS v, event_id % 7 = 0 AS is_set FROM events),
+    s AS (SELECT *, max(CASE WHEN is_set THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS last_set FROM e)
+    SELECT user_id, CAST(sum(CASE WHEN last_set IS NULL OR (ts, event_id) >= last_set THEN v ELSE 0 END) AS BIGINT) AS "value" FROM s GROUP BY 1"""
+
+
+@query(_FOLD)
+def gauge_set_add_fold(t: Tables) -> DataFrame:
+    rows = t.whole().withColumn("op", F.when(F.col("event_id") % 7 == 0, "set").otherwise("add"))
+    return aggregate.set_add_fold(rows, ["user_id"], value="v", order=("ts", "event_id"))
+
+
+@query("SELECT event_type, greatest(CAST(480 AS BIGINT), max(CAST(floor(value) AS BIGINT))) AS \"max\", least(CAST(2 AS BIGINT), min(CAST(floor(value) AS BIGINT))) AS \"min\" FROM events GROUP BY 1")
+def extrema_with_initial(t: Tables) -> DataFrame:
+    return aggregate.extrema(t.whole(), ["event_type"], "v", max_initial=480, min_initial=2)
+
+
+@query(
+    """WITH w AS (SELECT strftime(d, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-02', INTERVAL 1 DAY)) AS d)),
+    e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(floor(value) AS BIGINT) AS v FROM events)
+    SELECT w.day, CAST(greatest(0, coalesce(max(e.v), 0)) AS BIGINT) AS "max", CAST(coalesce(min(e.v), 9223372036854775807) AS BIGINT) AS "min" FROM w LEFT JOIN e ON e.day = w.day GROUP BY 1"""
+)
+def extrema_window_reset(t: Tables) -> DataFrame:
+    days = t.spark.range(1).select(F.explode(F.sequence(F.lit("2023-12-30").cast("date"), F.lit("2024-02-02").cast("date"))).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
+    return aggregate.extrema_reset(t.whole(), days, "day", value="v")
+
+
+@query("SELECT event_type, greatest(0.0::DOUBLE, max(value)) AS \"max\", min(value) AS \"min\" FROM events WHERE event_id % 10 <> 0 GROUP BY 1")
+def extrema_without_nan(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("value", F.when(F.col("event_id") % 10 == 0, float("nan")).otherwise(F.col("value")))
+    return aggregate.extrema(rows, ["event_type"], "value", max_initial=0.0)
+
+
+_CUM = """SELECT event_type, CAST(i AS INTEGER) AS idx, CAST(le AS BIGINT) AS le, CAST(count(*) FILTER (WHERE le IS NULL OR floor(value) <= le) AS BIGINT) AS cumulative
+    FROM events, (VALUES (0,10),(1,50),(2,100),(3,500),(4,NULL)) AS b(i, le) GROUP BY 1, 2, 3"""
+
+
+@query(_CUM)
+def histogram_cumulative(t: Tables) -> DataFrame:
+    hist = aggregate.histogram(t.whole(), BOUNDS, ["event_type"], "v")
+    return aggregate.histogram_cumulative(hist, BOUNDS, ["event_type"])
+
+
+_BUCKETS = "concat_ws(',', count(*) FILTER (WHERE floor(value) <= 10), count(*) FILTER (WHERE floor(value) > 10 AND floor(value) <= 50), count(*) FILTER (WHERE floor(value) > 50 AND floor(value) <= 100), count(*) FILTER (WHERE floor(value) > 100 AND floor(value) <= 500), count(*) FILTER (WHERE floor(value) > 500))"
+_TOTALS = 'CAST(count(*) AS BIGINT) AS "count", CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS "sum"'
+
+
+@query(f"SELECT event_type, {_BUCKETS} AS counts, {_TOTALS} FROM events GROUP BY 1")
+def histogram_per_bucket(t: Tables) -> DataFrame:
+    hist = aggregate.histogram(t.whole(), BOUNDS, ["event_type"], "v")
+    back = numbers.cumulative_to_buckets(numbers.cumulative(F.col("counts")))
+    return hist.withColumn("counts", F.array_join(F.transform(back, lambda x: x.cast("string")), ","))
+
+
+_V = "CAST(floor(value) AS BIGINT)"
+_BUCKET = f"(length(bin({_V})) - 1)"
+
+
+@query(f"""SELECT event_type, CAST(CASE WHEN {_V} = 0 THEN -1 ELSE {_BUCKET} END AS INTEGER) AS pos,
+    CAST(CASE WHEN {_V} = 0 THEN 0 WHEN {_BUCKET} = 0 THEN 1 ELSE 3 * (1 << ({_BUCKET} - 1)) END AS BIGINT) AS midpoint, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2, 3""")
+def exp_histogram_buckets(t: Tables) -> DataFrame:
+    exp = aggregate.exponential_histogram(t.whole(), ["event_type"], "v")
+    return aggregate.exponential_samples(exp, ["event_type"])
+
+
+_EXP_STATS = f"""SELECT event_type, {_TOTALS}, CAST(count(*) FILTER (WHERE {_V} = 0) AS BIGINT) AS zero_count,
+    sum({_V})::DOUBLE / count(*) AS mean, CAST(CASE WHEN min({_V}) = 0 THEN 0 ELSE 1 << (length(bin(min({_V}))) - 1) END AS BIGINT) AS "min",
+    CAST((1 << length(bin(max({_V})))) - 1 AS BIGINT) AS "max" FROM events GROUP BY 1"""
+
+
+@query(_EXP_STATS)
+def exp_histogram_stats(t: Tables) -> DataFrame:
+    return aggregate.exponential_stats(aggregate.exponential_histogram(t.whole(), ["event_type"], "v")).drop("positive")
+
+
+_COMPACT = f"""WITH b AS (SELECT event_type, {_BUCKET} AS b, count(*) AS n FROM events WHERE {_V} > 0 GROUP BY 1, 2),
+    r AS (SELECT event_type, min(b) AS lo, max(b) AS hi FROM b GROUP BY 1),
+    s AS (SELECT event_type, lo, unnest(range(lo, hi + 1)) AS k FROM r)
+    SELECT s.event_type, CAST(s.lo AS INTEGER) AS "offset", string_agg(coalesce(b.n, 0)::VARCHAR, ',' ORDER BY s.k) AS counts
+    FROM s LEFT JOIN b ON b.event_type = s.event_type AND b.b = s.k GROUP BY 1, 2"""
+
+
+@query(_COMPACT)
+def exp_histogram_compact(t: Tables) -> DataFrame:
+    exp = aggregate.exponential_histogram(t.whole(), ["event_type"], "v").withColumn("c", numbers.compact_buckets(F.col("positive")))
+    return exp.select("event_type", F.col("c.offset").alias("offset"), F.array_join(F.transform("c.counts", lambda x: x.cast("string")), ",").alias("counts"))
+
+
+_TIMER = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+    SELECT event_type, CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE rn % 8 = 0) AS BIGINT) AS sample_count,
+    CAST(coalesce(sum(CAST(floor(value) AS BIGINT)) FILTER (WHERE rn % 8 = 0), 0) AS BIGINT) AS sample_sum,
+    sum(CAST(floor(value) AS BIGINT)) FILTER (WHERE rn % 8 = 0)::DOUBLE / nullif(count(*) FILTER (WHERE rn % 8 = 0), 0) AS sample_avg FROM r GROUP BY 1"""
+
+
+@query(_TIMER)
+def timer_stride_8(t: Tables) -> DataFrame:
+    rows = sampling.stride_sample(t.whole(), 7, "user_id", ("ts", "event_id"))
+    return aggregate.timer(rows, BOUNDS, ["event_type"], "v").drop("counts")
+
+
+# Label sets, caps, eviction
+
+_LABELS = "concat('event_type=\"', event_type, '\",user_id=\"', user_id, '\"')"
+
+
+@query(f'SELECT {_LABELS} AS labels, CAST(count(*) AS BIGINT) AS "sum" FROM events GROUP BY 1')
+def dynamic_counter_series(t: Tables) -> DataFrame:
+    series = aggregate.snapshot(t.obs(), aggregate.counter_sum)
+    return series.select(prometheus_labels(F.col("labels")).alias("labels"), "sum")
+
+
+@query('SELECT CAST(count(*) AS BIGINT) AS "sum" FROM events WHERE event_type = \'click\' AND user_id = 3')
+def dynamic_point_lookup(t: Tables) -> DataFrame:
+    series = aggregate.snapshot(t.obs(), aggregate.counter_sum)
+    return aggregate.point_read(series, F.col("labels"), {"user_id": "3", "event_type": "click"}, {"sum": F.lit(0).cast("bigint")})
+
+
+@query("SELECT CAST(count(DISTINCT (user_id, event_type)) AS BIGINT) AS cardinality FROM events")
+def dynamic_cardinality(t: Tables) -> DataFrame:
+    return aggregate.cardinality(t.obs())
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS sum_all FROM events")
+def dynamic_sum_all(t: Tables) -> DataFrame:
+    return aggregate.sum_all(aggregate.snapshot(t.obs(), aggregate.counter_sum))
+
+
+@query("SELECT concat('a=\"', user_id, '\",b=\"', CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'x' END, '\"') AS labels, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def label_canonicalisation(t: Tables) -> DataFrame:
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    pairs = F.array(pair("b", F.lit("x")), pair("a", F.col("user_id")), pair("b", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("x")))
+    return t.events.select(prometheus_labels(from_pairs(pairs)).alias("labels")).groupBy("labels").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FIRST = f"""WITH f AS (SELECT {_LABELS} AS labels, user_id, event_type, min((ts, event_id)) AS first, count(*) AS n FROM events GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (ORDER BY first) AS rn FROM f)"""
+
+
+@query(f"""{_FIRST} SELECT CASE WHEN rn <= {CAP} THEN labels ELSE '__ft_overflow="true"' END AS labels, CAST(sum(n) AS BIGINT) AS "sum" FROM r GROUP BY 1""")
+def capped_series(t: Tables) -> DataFrame:
+    series = aggregate.counter_sum(cardinality.cap_series(t.obs(), CAP), ["labels"])
+    return series.select(prometheus_labels(F.col("labels")).alias("labels"), "sum")
+
+
+@query(f"""{_FIRST} SELECT CAST(sum(n) FILTER (WHERE rn > {CAP}) AS BIGINT) AS overflow_records, CAST(count(*) FILTER (WHERE rn > {CAP}) AS BIGINT) AS overflow_series,
+    CAST(least(count(*), {CAP}) + CASE WHEN count(*) > {CAP} THEN 1 ELSE 0 END AS BIGINT) AS cardinality FROM r""")
+def overflow_stats(t: Tables) -> DataFrame:
+    return cardinality.overflow_stats(t.obs(), CAP).drop("metric")
+
+
+_GENERATIONS = f"""WITH c AS (SELECT user_id, event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, count(*) AS n FROM events GROUP BY 1, 2, 3),
+    g AS (SELECT *, CASE WHEN h - lag(h) OVER w > {IDLE_HOURS} THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY user_id, event_type ORDER BY h)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY h) AS generation FROM g),
+    a AS (SELECT user_id, event_type, generation, max(h) AS last_cycle, sum(n) AS n FROM s GROUP BY 1, 2, 3)
+    SELECT user_id, event_type, CAST(generation AS BIGINT) AS generation, last_cycle, CAST(n AS BIGINT) AS n,
+    generation < max(generation) OVER (PARTITION BY user_id, event_type) OR (SELECT max(h) FROM c) - last_cycle > {IDLE_HOURS} AS evicted FROM a"""
+
+
+@query(_GENERATIONS)
+def evicted_generations(t: Tables) -> DataFrame:
+    by = ["user_id", "event_type"]
+    rows = t.whole()
+    now = rows.agg(F.max("hour")).first()[0]
+    return cardinality.live_generations(cardinality.generations(rows, "hour", IDLE_HOURS, by), now or 0, IDLE_HOURS, by, "hour", [F.count(F.lit(1)).alias("n")])
+
+
+@query()
+def cap_and_evict(t: Tables) -> DataFrame:
+    """A fold in time order, beyond plain SQL: tested against a loop."""
+    rows = t.obs().withColumn("cycle", cardinality.cycle_of(F.col("ts"), 3600))
+    out = cardinality.cap_and_evict(rows, "cycle", CAP, IDLE_HOURS)
+    return out.select("metric", prometheus_labels(F.col("labels")).alias("labels"), "cycle", "generation", "redirected")
+
+
+# Deltas: each user's events as exports of a total that also falls
+
+_LAG = "SELECT user_id, event_id, c, lag(c, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS c FROM events)"
+
+
+def _exports(t: Tables) -> DataFrame:
+    return t.whole().select("user_id", "event_id", F.col("v").alias("c"))
+
+
+@query(f"SELECT user_id, event_id, c, c - p AS c_delta FROM ({_LAG})")
+def delta_signed(t: Tables) -> DataFrame:
+    return temporality.delta(_exports(t), ["c"], temporality.SIGNED, ["user_id"], "event_id")
+
+
+@query(f"SELECT user_id, event_id, c, CASE WHEN c < p THEN c ELSE c - p END AS c_delta FROM ({_LAG})")
+def delta_reset(t: Tables) -> DataFrame:
+    return temporality.delta(_exports(t), ["c"], temporality.RESET, ["user_id"], "event_id")
+
+
+@query(f"SELECT user_id, event_id, c, c - p AS c_delta FROM ({_LAG}) WHERE c > p")
+def delta_saturating(t: Tables) -> DataFrame:
+    return temporality.delta(_exports(t), ["c"], temporality.SATURATE, ["user_id"], "event_id")
+
+
+@query(f"""WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, {_V} AS v FROM events)
+    SELECT event_type, day, CAST(CASE WHEN v = 0 THEN 64 ELSE length(bin(v)) - 1 END AS INTEGER) AS pos, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY 1, 2, 3""")
+def delta_buckets(t: Tables) -> DataFrame:
+    """Totals by day, taken apart again: the deltas must be each day's own counts."""
+    daily = aggregate.exponential_histogram(t.whole(), ["event_type", "day"], "v")
+    cells = daily.select("event_type", "day", F.explode("positive").alias("b", "n")).unionByName(daily.select("event_type", "day", F.lit(64).alias("b"), F.col("zero_count").alias("n")))
+    days = daily.select("day").distinct().withColumnRenamed("day", "d")
+    total = cells.join(days, F.col("d") >= F.col("day")).groupBy("event_type", "d", "b").agg(F.sum("n").alias("n"))
+    zero = F.sum(F.when(F.col("b") == 64, F.col("n")))
+    grown = total.groupBy("event_type", F.col("d").alias("day")).agg(F.map_from_entries(F.collect_list(F.when(F.col("b") != 64, F.struct("b", "n")))).alias("positive"), F.coalesce(zero, F.lit(0)).cast("bigint").alias("zero_count"))
+    return temporality.bucket_deltas(grown, ["event_type"], "day")
+
+
+# Text
+
+_HELP = "SELECT '# HELP {0} {1}' AS line UNION ALL SELECT '# TYPE {0} {2}'"
+
+
+@query(_HELP.format("shop_events", "Events", "counter") + " UNION ALL SELECT concat('shop_events{event_type=\"', event_type, '\"} ', count(*)) FROM events GROUP BY event_type")
+def prometheus_counter_lines(t: Tables) -> DataFrame:
+    series = aggregate.counter_sum(t.whole(), ["event_type"], "one").withColumn("labels", otel.label_attributes("event_type"))
+    return exposition.prometheus_counter(series, "shop_events", help_="Events", labels="labels").select("line")
+
+
+@query(_HELP.format("shop_value", "Value", "gauge") + " UNION ALL SELECT concat('shop_value{event_type=\"', event_type, '\"} ', arg_max(value, (ts, event_id))::VARCHAR) FROM events GROUP BY event_type")
+def prometheus_gauge_lines(t: Tables) -> DataFrame:
+    series = aggregate.gauge_last(t.events, ["event_type"], "value", ("ts", "event_id"), 0.0).withColumn("labels", otel.label_attributes("event_type"))
+    return exposition.prometheus_gauge(series, "shop_value", help_="Value", labels="labels").select("line")
+
+
+@query(
+    _HELP.format("shop_size", "Size", "histogram")
+    + f""" UNION ALL SELECT concat('shop_size_bucket{{event_type="', event_type, '",le="', coalesce(le::VARCHAR, '+Inf'), '"}} ', cumulative) FROM ({_CUM})
+    UNION ALL SELECT concat('shop_size_sum{{event_type="', event_type, '"}} ', "sum") FROM (SELECT event_type, {_TOTALS} FROM events GROUP BY 1)
+    UNION ALL SELECT concat('shop_size_count{{event_type="', event_type, '"}} ', "count") FROM (SELECT event_type, {_TOTALS} FROM events GROUP BY 1)"""
+)
+def prometheus_histogram_lines(t: Tables) -> DataFrame:
+    series = aggregate.histogram(t.whole(), BOUNDS, ["event_type"], "v").withColumn("labels", otel.label_attributes("event_type"))
+    return exposition.prometheus_histogram(series, "shop_size", BOUNDS, "Size", "labels").select("line")
+
+
+@query(
+    _HELP.format("shop_dist", "Dist", "summary")
+    + f""" UNION ALL SELECT concat('shop_dist_sum{{{{', {_LABELS}, '}}}} ', "sum") FROM (SELECT user_id, event_type, {_TOTALS} FROM events GROUP BY 1, 2)
+    UNION ALL SELECT concat('shop_dist_count{{{{', {_LABELS}, '}}}} ', "count") FROM (SELECT user_id, event_type, {_TOTALS} FROM events GROUP BY 1, 2)""".replace("{{", "{").replace("}}", "}")
+)
+def prometheus_summary_lines(t: Tables) -> DataFrame:
+    series = aggregate.exponential_histogram(t.obs(value="v"), ["labels"])
+    return exposition.prometheus_summary(series, "shop_dist", "Dist", "labels").select("line")
+
+
+@query("SELECT concat('shop.events:', count(*), '|c|#', 'event_type:', event_type, ',user_id:', user_id, ',env:prod') AS line FROM events GROUP BY event_type, user_id")
+def dogstatsd_counter_lines(t: Tables) -> DataFrame:
+    series = aggregate.snapshot(t.obs(), aggregate.counter_sum)
+    return exposition.dogstatsd_counter(series, "shop.events", labels="labels", tags={"env": "prod"}).select("line")
+
+
+@query(
+    """WITH g AS (SELECT user_id, arg_max(CASE WHEN event_id % 3 = 0 THEN floor(value) ELSE value END, (ts, event_id)) AS v FROM events GROUP BY 1)
+    SELECT concat('shop.value:', CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE v::VARCHAR END, '|g|#user_id:', user_id) AS line FROM g"""
+)
+def dogstatsd_gauge_lines(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("value", F.when(F.col("event_id") % 3 == 0, F.floor("value").cast("double")).otherwise(F.col("value")))
+    series = aggregate.gauge_last(rows, ["user_id"], "value", ("ts", "event_id"), 0.0).withColumn("labels", label_map(user_id="user_id"))
+    return exposition.dogstatsd_gauge(series, "shop.value", labels="labels").select("line")
+
+
+@query(f"""WITH h AS (SELECT event_type, {_TOTALS} FROM events GROUP BY 1) SELECT concat('shop.size.count:', "count", '|c|#event_type:', event_type) AS line FROM h
+    UNION ALL SELECT concat('shop.size.sum:', "sum", '|c|#event_type:', event_type) FROM h""")
+def dogstatsd_histogram_lines(t: Tables) -> DataFrame:
+    series = aggregate.histogram(t.whole(), BOUNDS, ["event_type"], "v").withColumn("labels", otel.label_attributes("event_type"))
+    return exposition.dogstatsd_histogram(series, "shop.size", "labels").select("line")
+
+
+@query(f"""WITH x AS ({_TIMER}) SELECT concat('shop.call.calls:', calls, '|c|#event_type:', event_type) AS line FROM x
+    UNION ALL SELECT concat('shop.call.samples.count:', sample_count, '|c|#event_type:', event_type) FROM x
+    UNION ALL SELECT concat('shop.call.samples.sum:', sample_sum, '|c|#event_type:', event_type) FROM x""")
+def dogstatsd_timer_lines(t: Tables) -> DataFrame:
+    rows = sampling.stride_sample(t.whole(), 8, "user_id", ("ts", "event_id"))
+    series = aggregate.timer(rows, BOUNDS, ["event_type"], "v").withColumn("labels", otel.label_attributes("event_type"))
+    return exposition.dogstatsd_timer(series, "shop.call", "labels").select("line")
+
+
+@query(f"""WITH b AS (SELECT event_type, CAST(CASE WHEN {_V} = 0 THEN 0 WHEN {_BUCKET} = 0 THEN 1 ELSE 3 * (1 << ({_BUCKET} - 1)) END AS BIGINT) AS m, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT concat('shop.dist:', m, '|d', CASE WHEN n > 1 THEN concat('|@', (1.0::DOUBLE / n)::VARCHAR) ELSE '' END, '|#event_type:', event_type) AS line FROM b""")
+def dogstatsd_distribution_lines(t: Tables) -> DataFrame:
+    exp = aggregate.exponential_histogram(t.whole(), ["event_type"], "v")
+    rows = aggregate.exponential_samples(exp, ["event_type"]).withColumn("labels", otel.label_attributes("event_type"))
+    return exposition.dogstatsd_distribution(rows, "shop.dist", "labels").select("line")
+
+
+SHOP = MetricSet([MetricSpec("events", "counter", "Events", dynamic=True, max_series=CAP)], "shop")
+
+
+@query(f"""{_FIRST}, n AS (SELECT e.*, CASE WHEN r.rn <= {CAP} THEN concat('event_type:', e.event_type, ',user_id:', e.user_id) ELSE '__ft_overflow:true' END AS tags, CAST(floor(epoch(e.ts) / 86400) AS BIGINT) AS d FROM events e JOIN r USING (user_id, event_type)),
+    s AS (SELECT tags, min(d) AS lo FROM n GROUP BY 1), spine AS (SELECT tags, unnest(range(lo, (SELECT max(d) + 1 FROM n))) AS d FROM s)
+    SELECT spine.d AS "window", concat('shop.events:', count(n.event_id), '|c|#', spine.tags) AS line FROM spine LEFT JOIN n ON n.tags = spine.tags AND n.d = spine.d GROUP BY spine.d, spine.tags""")
+def dogstatsd_delta_lines(t: Tables) -> DataFrame:
+    rows = t.obs().withColumn("window", cardinality.cycle_of(F.col("ts"), 86400))
+    return SHOP.export_dogstatsd_delta(rows, "window").select("window", "line")
+
+
+# OpenTelemetry rows
+
+_OTEL = "'env=test,service.name=shop' AS resource, 'shop' AS \"ServiceName\", CAST(1700000000000000000 AS BIGINT) AS \"TimeUnixNano\", concat('event_type=', event_type) AS attributes"
+
+
+def _flat(rows: DataFrame, *columns: str) -> DataFrame:
+    text = lambda m: F.array_join(F.transform(series_key(F.col(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    plain = [F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",").alias(c) if dict(rows.dtypes)[c].startswith("array") else F.col(c) for c in columns]
+    return rows.select(text("ResourceAttributes").alias("resource"), "ServiceName", "TimeUnixNano", text("Attributes").alias("attributes"), "MetricName", *plain)
+
+
+@query(f"SELECT {_OTEL}, 'events' AS \"MetricName\", count(*)::DOUBLE AS \"Value\", 2 AS \"AggregationTemporality\", false AS \"IsMonotonic\" FROM events GROUP BY event_type")
+def otel_sum_rows(t: Tables) -> DataFrame:
+    series = aggregate.counter_sum(t.whole(), ["event_type"], "one").withColumn("labels", otel.label_attributes("event_type"))
+    return _flat(otel.sum_rows(series, RESOURCE, "events", labels="labels"), "Value", "AggregationTemporality", "IsMonotonic")
+
+
+@query(f"SELECT {_OTEL}, 'value' AS \"MetricName\", arg_max(value, (ts, event_id)) AS \"Value\" FROM events GROUP BY event_type")
+def otel_gauge_rows(t: Tables) -> DataFrame:
+    series = aggregate.gauge_last(t.events, ["event_type"], "value", ("ts", "event_id"), 0.0).withColumn("labels", otel.label_attributes("event_type"))
+    return _flat(otel.gauge_rows(series, RESOURCE, "value", labels="labels"), "Value")
+
+
+_OTEL_HIST = f"SELECT {_OTEL}, 'size' AS \"MetricName\", CAST(count(*) AS BIGINT) AS \"Count\", sum({_V})::DOUBLE AS \"Sum\", {_BUCKETS} AS \"BucketCounts\", '10,50,100,500' AS \"ExplicitBounds\" FROM events GROUP BY event_type"
+
+
+@query(_OTEL_HIST)
+def otel_histogram_rows(t: Tables) -> DataFrame:
+    series = aggregate.histogram(t.whole(), BOUNDS, ["event_type"], "v").withColumn("labels", otel.label_attributes("event_type"))
+    return _flat(otel.histogram_rows(series, RESOURCE, "size", BOUNDS, labels="labels"), "Count", "Sum", "BucketCounts", "ExplicitBounds")
+
+
+@query(_OTEL_HIST)
+def otlp_json_round_trip(t: Tables) -> DataFrame:
+    """A histogram as OTLP JSON and back to rows: the same table."""
+    series = aggregate.histogram(t.whole(), BOUNDS, ["event_type"], "v").withColumn("labels", otel.label_attributes("event_type"))
+    json = otel.metric_json(series, "histogram", "size", RESOURCE.time_unix_nano, bounds=BOUNDS, labels="labels")
+    return _flat(otel.rows_from_otlp(json, RESOURCE)[otel.HISTOGRAM], "Count", "Sum", "BucketCounts", "ExplicitBounds")
+
+
+@query(f"""WITH c AS ({_COMPACT}), s AS ({_EXP_STATS}) SELECT 'env=test,service.name=shop' AS resource, 'shop' AS "ServiceName", CAST(1700000000000000000 AS BIGINT) AS "TimeUnixNano", concat('event_type=', s.event_type) AS attributes, 'dist' AS "MetricName",
+    s."count" AS "Count", s."sum"::DOUBLE AS "Sum", s.zero_count AS "ZeroCount", c."offset" AS "PositiveOffset", c.counts AS "PositiveBucketCounts", s."min"::DOUBLE AS "Min", s."max"::DOUBLE AS "Max" FROM s JOIN c USING (event_type)""")
+def otel_exp_histogram_rows(t: Tables) -> DataFrame:
+    series = aggregate.exponential_stats(aggregate.exponential_histogram(t.whole(), ["event_type"], "v")).withColumn("labels", otel.label_attributes("event_type"))
+    return _flat(otel.exponential_rows(series, RESOURCE, "dist", labels="labels"), "Count", "Sum", "ZeroCount", "PositiveOffset", "PositiveBucketCounts", "Min", "Max")
+
+
+# Larger aggregates, numbers as text, run statistics
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, max(CAST(floor(l_extendedprice) AS BIGINT)) AS highest, arg_max(l_discount, (l_shipdate, l_orderkey, l_linenumber)) AS last_discount
+    FROM lineitem GROUP BY 1, 2""")
+def order_lineitem_counters(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), F.max(F.floor("l_extendedprice").cast("bigint")).alias("highest"),
+        F.max_by("l_discount", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("last_discount"),
+    )
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::VARCHAR AS full_text, CASE WHEN l_quantity = floor(l_quantity) THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE l_quantity::VARCHAR END AS compact_text FROM lineitem")
+def float_texts(t: Tables) -> DataFrame:
+    return t.lineitem.select("l_orderkey", "l_linenumber", numbers.float_text(F.col("l_extendedprice")).alias("full_text"), numbers.compact_float_text(F.col("l_quantity")).alias("compact_text"))
+
+
+@query("""WITH r AS (SELECT l_suppkey, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+    SELECT l_suppkey, CAST(count(*) AS BIGINT) AS runs, min(q) AS "min", max(q) AS "max",
+    round(CASE WHEN count(*) < 2 OR avg(q) = 0 THEN 0.0 ELSE stddev_samp(q) / avg(q) * 100 END, 6) AS cv_pct,
+    round(CASE WHEN count(*) < 5 THEN median(q) ELSE avg(CASE WHEN rn > floor((n - 1) / 4) AND rn <= n - floor((n - 1) / 4) THEN q END) END, 6) AS trimmed_mean FROM r GROUP BY 1""")
+def run_summary(t: Tables) -> DataFrame:
+    out = run_stats.summarize(t.lineitem, ["l_suppkey"], "l_quantity")
+    return out.withColumns({c: F.round(c, 6) for c in ("cv_pct", "trimmed_mean")})
+
+
+@query("""WITH i AS (SELECT CAST(range AS BIGINT) AS id FROM range(4000)), p AS (SELECT id % 4 AS thread, id // 4 AS i FROM i)
+    SELECT thread, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT thread, CASE WHEN i % 16 <> 0 THEN (i + thread) % 8 ELSE (i + thread) % 100 END AS label FROM p) GROUP BY 1, 2""")
+def hotspot_profile(t: Tables) -> DataFrame:
+    return access_profile(t.spark, "hotspot", 1000, 100, 4).groupBy("thread", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def datagrams(t: Tables) -> DataFrame:
+    """Depends on how lines are dealt to partitions: tested by its invariants."""
+    series = aggregate.snapshot(t.obs(), aggregate.counter_sum)
+    return exposition.pack_datagrams(exposition.dogstatsd_counter(series, "shop.events", labels="labels"))
+
+
+# Spans
+
+
+def _spans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
+    o = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
+    roots = spans.root_spans(o, ["o_orderkey"], F.lit("order"), at("o_orderdate"), at("o_orderdate") + 1_000_000, "server")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate").withColumnRenamed("l_orderkey", "o_orderkey")
+    children = spans.child_spans(lines, roots, "o_orderkey", ["o_orderkey", "l_linenumber"], F.lit("line"), at("l_shipdate"), at("l_shipdate") + 1000, "client")
+    return roots, children
+
+
+@query("SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey, CAST(count(l.l_orderkey) AS BIGINT) AS children FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1")
+def trace_children(t: Tables) -> DataFrame:
+    roots, children = _spans(t)
+    both = roots.select("trace_id", "span_id", "parent_span_id", "name").unionByName(children.select("trace_id", "span_id", "parent_span_id", "name"))
+    per = spans.edges(both).groupBy("parent_span_id").agg(F.count(F.lit(1)).alias("children"))
+    return per.join(roots.select("o_orderkey", F.col("span_id").alias("parent_span_id")), "parent_span_id").select("o_orderkey", "children")
+
+
+@query("SELECT 0 AS depth, CAST(count(*) AS BIGINT) AS n FROM orders UNION ALL SELECT 1, CAST(count(*) AS BIGINT) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+def trace_tree(t: Tables) -> DataFrame:
+    roots, children = _spans(t)
+    columns = ["trace_id", "span_id", "parent_span_id"]
+    depths = spans.tree_depths(roots.select(*columns).unionByName(children.select(*columns)), 4)
+    return depths.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HEADER = "concat(CASE WHEN o_orderkey % 5 = 0 THEN '01' ELSE '00' END, '-', CASE WHEN o_orderkey % 7 = 0 THEN repeat('0', 32) ELSE md5(o_orderkey::VARCHAR) END, '-', substr(md5(o_orderkey::VARCHAR), 1, 16), '-01', CASE WHEN o_orderkey % 3 = 0 THEN '-more' ELSE '' END)"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN substr(h, 4, 32) END AS trace_id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN substr(h, 37, 16) END AS span_id,
+    CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN concat('00-', substr(h, 4, 32), '-', substr(h, 37, 16), '-01') ELSE '' END AS back FROM (SELECT o_orderkey, {_HEADER} AS h FROM orders)""")
+def traceparent_parse(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    hashed = F.md5(key.cast("string"))
+    h = F.concat(F.when(key % 5 == 0, "01").otherwise("00"), F.lit("-"), F.when(key % 7 == 0, "0" * 32).otherwise(hashed), F.lit("-"), F.substring(hashed, 1, 16), F.lit("-01"), F.when(key % 3 == 0, "-more").otherwise(""))
+    p = t.orders.select("o_orderkey", trace_ids.parse_traceparent(h).alias("p"))
+    return p.select("o_orderkey", F.col("p.trace_id").alias("trace_id"), F.col("p.span_id").alias("span_id"), trace_ids.to_traceparent(F.col("p.trace_id"), F.col("p.span_id")).alias("back"))
+
+
+@query()
+def span_otlp_json(t: Tables) -> DataFrame:
+    roots, _ = _spans(t)
+    named = roots.withColumn("attributes", spans.set_attribute(F.col("attributes"), "status", F.col("o_orderstatus"), "string"))
+    return spans.to_otlp(named)
+
+
+_ADAPTIVE = """WITH r AS (SELECT o_orderkey, o_custkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 7 END AS INTEGER) AS shift, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
+    SELECT CAST(count(*) FILTER (WHERE shift = 0 OR rn % (1 << shift) = 0) AS BIGINT) AS recorded_count, CAST(count(*) FILTER (WHERE NOT (shift = 0 OR rn % (1 << shift) = 0)) AS BIGINT) AS sampled_out_count FROM r"""
+
+
+@query(_ADAPTIVE)
+def adaptive_span_sampling(t: Tables) -> DataFrame:
+    rows = t.orders.withColumn("occupancy", F.element_at(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.6, 0.9)]), (F.col("o_orderkey") % 4 + 1).cast("int"))).withColumn("producer", F.col("o_custkey") % 3)
+    marked = sampling.adaptive_sample(rows, "occupancy", "producer", ("o_orderdate", "o_orderkey")).withColumn("parent_span_id", F.lit(None).cast("string"))
+    return spans.counters(marked).select("recorded_count", "sampled_out_count")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
