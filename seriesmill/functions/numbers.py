@@ -72,7 +72,7 @@ def bucket_low(b: Column) -> Column:
 
 
 def bucket_high(b: Column) -> Column:
-    return F.when(b >= 62, F.lit(LONG_MAX)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(b + 1, F.lit(62)).cast("int")) - 1)
+    return F.when(b >= 62, F.lit(LONG_MAX)).when(b.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(b + 1, F.lit(62)).cast("int")) - 1)
 
 
 def compact_buckets(buckets: Column) -> Column:

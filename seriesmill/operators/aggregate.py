@@ -150,10 +150,10 @@ def complete(series: DataFrame, domain: LabelDomain, label: str, fill: dict[str,
 
     Both sides have at most as many rows as the domain has members (and groups).
     """
-    members = domain.frame(series.sparkSession)
-    joined = members.join(series.withColumnRenamed(label, "value"), "value", "left")
+    members = domain.frame(series.sparkSession).withColumnRenamed("value", label)
+    joined = members.join(series, label, "left")
     filled = [F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in series.columns if c != label]
-    return joined.select("idx", F.col("value").alias(label), *filled)
+    return joined.select("idx", label, *filled)
 
 
 def into_domain(obs: DataFrame, domain: LabelDomain, label: str) -> DataFrame:
