@@ -21,24 +21,25 @@ SWEEP_SECONDS, SWEEP_THRESHOLD = 10, 30
 
 
 def admitted(obs: DataFrame, max_series: int, metric: str = "metric", labels: str = "labels", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """``(metric, _series, admitted)`` for every label set: whether it is among the first.
+    """``(metric, _series, admitted)`` for the label sets of each metric that come first.
 
-    The order is made over distinct label sets, not rows, and only the ``max_series`` first of a
-    metric are kept by a bounded top-k before the join; 0 admits all.
+    The order is made over distinct label sets, not rows.  As a filter on the rank, the
+    limit reaches below the shuffle: a task sends at most ``max_series`` sets of a metric
+    (``spark.sql.optimizer.windowGroupLimitThreshold`` permitting).  0 admits all.
     """
     first = obs.groupBy(metric, series_key(F.col(labels)).alias("_series")).agg(F.min(F.struct(*order)).alias("_first"))
-    if not max_series:
-        return first.select(metric, "_series", F.lit(True).alias("admitted"))
-    rank = F.row_number().over(Window.partitionBy(metric).orderBy("_first", "_series"))
-    return first.withColumn("admitted", rank <= max_series).select(metric, "_series", "admitted")
+    if max_series:
+        rank = F.row_number().over(Window.partitionBy(metric).orderBy("_first", "_series"))
+        first = first.withColumn("_rank", rank).where(F.col("_rank") <= max_series)
+    return first.select(metric, "_series", F.lit(True).alias("admitted"))
 
 
 def cap_series(obs: DataFrame, max_series: int = DEFAULT_MAX_SERIES, metric: str = "metric", labels: str = "labels", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """The observations with the labels of unadmitted sets replaced by the overflow label,
     and ``redirected``.  Re-aggregate by labels afterwards."""
     keyed = obs.withColumn(labels, canonical(F.col(labels))).withColumn("_series", series_key(F.col(labels)))
-    joined = keyed.join(admitted(obs, max_series, metric, labels, order), [metric, "_series"])
-    over = ~F.col("admitted")
+    joined = keyed.join(admitted(obs, max_series, metric, labels, order), [metric, "_series"], "left")
+    over = F.col("admitted").isNull()
     return joined.withColumn(labels, F.when(over, overflow_labels()).otherwise(F.col(labels))).withColumn("redirected", over).drop("_series", "admitted")
 
 
@@ -46,12 +47,12 @@ def overflow_stats(obs: DataFrame, max_series: int, metric: str = "metric", labe
     """``(metric, overflow_records, overflow_series, cardinality)``: rows redirected, distinct
     label sets redirected, and live series, the overflow series among them."""
     n = obs.groupBy(metric, series_key(F.col(labels)).alias("_series")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = n.join(admitted(obs, max_series, metric, labels, order), [metric, "_series"])
-    over = ~F.col("admitted")
+    joined = n.join(admitted(obs, max_series, metric, labels, order), [metric, "_series"], "left")
+    over = F.col("admitted").isNull()
     return joined.groupBy(metric).agg(
         F.coalesce(F.sum(F.when(over, F.col("_n"))), F.lit(0)).cast("bigint").alias("overflow_records"),
         F.count_if(over).alias("overflow_series"),
-        (F.count_if("admitted") + F.max(over.cast("bigint"))).alias("cardinality"),
+        (F.count_if(~over) + F.max(over.cast("bigint"))).alias("cardinality"),
     )
 
 

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Ranks up to this limit are cut before the shuffle: above the default cap of series.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
