@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import byte_slices, ngram_hashes, span_hashes, string_bytes, word_bounds
+
 #: Notices of common licenses by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": (
@@ -49,17 +52,30 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[A-Za-z0-9]+")
+_WORD_BYTES = np.zeros(256, bool)
+_WORD_BYTES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]] = True
 #: Where a notice may begin or end inside a line.
 _SENTENCE = re.compile(r"(?<=[.!?:;])\s+")
+_FILTER_BITS = 18
 
 
 def bigrams(text: str) -> frozenset:
-    """Word bigrams of the normalised text: lower case, letters and digits only."""
-    words = _WORD.findall(text.lower())
+    """Word bigrams of the normalised text: runs of ASCII letters and digits in lower case."""
+    words = [w.lower() for w in _WORD.findall(text)]
     return frozenset(zip(words, words[1:], strict=False))
 
 
+def bigram_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word bigrams of every text, and the number of the text of each."""
+    raw, offsets = string_bytes(column)
+    starts, ends, rows = word_bounds(raw, offsets, _WORD_BYTES)
+    pairs = ngram_hashes(span_hashes(raw, starts, ends), 2)
+    text = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    return pairs[inner], text[inner]
+
+
 class Scanner:
     """Segments of a text that are near a template; templates and threshold are fixed."""
 
@@ -68,15 +84,23 @@ class Scanner:
         self.templates = [(name, bigrams(t)) for name, ts in sorted(templates.items()) for t in ts]
         self.templates = [(n, b) for n, b in self.templates if b]
         # For dice >= least, a segment of s bigrams and a template of t have
-        # s / t between these bounds, and share at least this part of t.
+        # s / t between these bounds, and share at least the lower part of t.
         self.low, self.high = least / (2 - least), (2 - least) / least
-        anchors: set[str] = set()
+        self.anchors: set[tuple[str, str]] = set()
         for _, grams in self.templates:
+            # Of any (t - shared + 1) bigrams one must occur: those of the longest words.
             spare = len(grams) - self._need(len(grams))
-            # spare + 1 bigrams, one of which must occur: the longest words' ones.
-            ranked = sorted(grams, key=lambda g: (-max(len(g[0]), len(g[1])), g))[: spare + 1]
-            anchors |= {max(g, key=len) for g in ranked}
-        self.anchor = re.compile("|".join(sorted(map(re.escape, anchors), key=len, reverse=True))) if anchors else None
+            self.anchors |= set(sorted(grams, key=lambda g: (-max(len(g[0]), len(g[1])), g))[: spare + 1])
+        hashes = bigram_hashes(pa.array([f"{a} {b}" for a, b in sorted(self.anchors)], pa.string()))[0]
+        self.keys = np.unique(hashes)
+        self.seen = np.zeros(1 << _FILTER_BITS, bool)
+        self.seen[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+
+    def candidates(self, column) -> np.ndarray:
+        """Numbers of the texts that hold an anchor bigram; no other text has a match."""
+        pairs, text = bigram_hashes(column)
+        near = np.flatnonzero(self.seen[(pairs >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        return np.unique(text[near[np.isin(pairs[near], self.keys)]])
 
     def _need(self, t: int) -> int:
         """Least number of a template's t bigrams that any near segment shares."""
@@ -92,36 +116,35 @@ class Scanner:
         return out
 
     def segments(self, text: str):
-        """``(start, end)`` of lines, sentences within them, runs of sentences of a line
+        """``(start, end, bigrams)`` of lines, sentences within them, runs of sentences of a line
         (up to twice the words of the longest near segment), and the whole text, where
-        they hold an anchor word."""
+        they hold an anchor."""
         longest = self.high * max((len(b) for _, b in self.templates), default=0)
         at = 0
         for line in text.split("\n"):
-            if self.anchor.search(line.lower()):
-                yield at, at + len(line)
+            whole = bigrams(line)
+            if whole & self.anchors:
+                yield at, at + len(line), whole
                 cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
-                marked = [bool(self.anchor.search(line[a:b].lower())) for a, b in zip(cuts, cuts[1:], strict=False)]
                 sizes = [max(1, len(_WORD.findall(line[a:b]))) for a, b in zip(cuts, cuts[1:], strict=False)]
-                for i in range(len(marked)):
+                for i in range(len(sizes)):
                     words = 0
-                    for j in range(i, len(marked)):
+                    for j in range(i, len(sizes)):
                         words += sizes[j]
                         if words > 2 * longest + 2:
                             break
-                        if any(marked[i : j + 1]) and (cuts[i], cuts[j + 1]) != (0, len(line)):
-                            yield at + cuts[i], at + cuts[j + 1]
+                        part = bigrams(line[cuts[i] : cuts[j + 1]])
+                        if part & self.anchors and (cuts[i], cuts[j + 1]) != (0, len(line)):
+                            yield at + cuts[i], at + cuts[j + 1], part
             at += len(line) + 1
         if "\n" in text:
-            yield 0, len(text)
+            yield 0, len(text), bigrams(text)
 
     def scan(self, text: str) -> list[dict]:
         """The best match at each place: matches by falling Dice that overlap no better one."""
-        if self.anchor is None or not self.anchor.search(text.lower()):
-            return []
         found = []
-        for start, end in self.segments(text):
-            found += [(-dice, start, end, name) for dice, name in self.compare(bigrams(text[start:end]))]
+        for start, end, grams in self.segments(text):
+            found += [(-dice, start, end, name) for dice, name in self.compare(grams)]
         kept: list[tuple] = []
         for m in sorted(found):
             if all(m[2] <= k[1] or m[1] >= k[2] for k in kept):
@@ -141,8 +164,8 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: dict[str, t
     segment's size prune templates before any comparison.  Of overlapping matches the
     nearest stays, ties by place and then name.  Places are code points, end exclusive.
 
-    A text without a word that every near segment of some template must hold has
-    no match and is left at that.  Null and empty texts have none.  Null and
+    Of every template, some bigrams are such that any near segment holds one of them
+    (``Scanner.anchors``); texts that hold none are left at that.  Null and empty texts have none.  Null and
     repeated ids are kept, a row each; nothing is shuffled.
     """
     templates = TEMPLATES if templates is None else templates
@@ -152,7 +175,11 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: dict[str, t
     def run(batches):
         scanner = Scanner(templates, least)
         for b in batches:
-            found = [scanner.scan(t or "") for t in b.column(1).to_pylist()]
+            found: list[list] = [[] for _ in range(len(b))]
+            for lo, hi in byte_slices(b.column(1), 4 << 20):
+                part = b.column(1).slice(lo, hi - lo)
+                for i in scanner.candidates(part).tolist():
+                    found[lo + i] = scanner.scan(part[i].as_py())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, struct)], names=["id", "matches"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, matches array<{MATCH}>").withColumnRenamed("id", id_col)

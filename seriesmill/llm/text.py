@@ -8,6 +8,10 @@ vectorised over the bytes of a batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -62,6 +66,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def byte_slices(column, limit: int):
+    """``(from, to)`` of slices of a string column of about ``limit`` bytes, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers stay between tasks, and what
+    they hold counts against their executor."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,9 +100,11 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray):
-    """Start and end byte of every word, and each row's first word (n + 1 numbers)."""
-    inside = ~SPACE[raw]
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray | None = None):
+    """Start and end byte of every word, and each row's first word (n + 1 numbers).
+
+    ``word_bytes`` tells for each byte whether it is part of a word."""
+    inside = ~SPACE[raw] if word_bytes is None else word_bytes[raw]
     if not len(raw):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
