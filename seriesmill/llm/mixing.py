@@ -71,8 +71,8 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to
-    ``budget`` from below; at most ``counts`` of each.
+    """How many documents of each length to take so that their words come near
+    ``budget``; at most ``counts`` of each.
 
     Proportional shares of every length first, then the longest that still fit
     until the rest is below ``dp_words``, then a bounded knapsack over the rest.
@@ -95,25 +95,31 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
             if lengths[i] and (n := min(int(counts[i] - taken[i]), (rest - slack) // int(lengths[i]))) > 0:
                 taken[i] += n
                 rest -= n * int(lengths[i])
-    if rest >= dp_words:  # no document left is short enough
+    left = np.flatnonzero((lengths > 0) & (counts > taken))
+    if rest >= dp_words or not len(left):  # no document left is short enough
         return taken
+    # The nearest sum from above is one shortest document from some sum below, at most.
+    most = rest + min(int(lengths[left].min()), dp_words)
     # reach[s]: the part (so many documents of one length) that first made the sum s.
-    reach, parts, bits, mask = np.zeros(rest + 1, np.int64), [], 1, (1 << (rest + 1)) - 1
-    for i in np.flatnonzero((lengths > 0) & (lengths <= rest) & (counts > taken)):
-        length, spare, step = int(lengths[i]), min(int(counts[i] - taken[i]), rest // int(lengths[i])), 1
+    reach, parts, bits, mask = np.zeros(most + 1, np.int64), [], 1, (1 << (most + 1)) - 1
+    for i in left[lengths[left] <= most]:
+        length, spare, step = int(lengths[i]), min(int(counts[i] - taken[i]), most // int(lengths[i])), 1
         while spare:
             step = min(step, spare)
             spare -= step
             new = (bits << (step * length)) & mask & ~bits
             if new:
                 parts.append((i, step))
-                sums = np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little")
+                sums = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
                 reach[np.flatnonzero(sums)] = len(parts)
                 bits |= new
             step *= 2
         if bits >> rest & 1:
             break
-    s = bits.bit_length() - 1
+    below = (bits & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = bits >> rest
+    over = (above & -above).bit_length() - 1 if above else most
+    s = rest + over if over < rest - below else below
     while s:
         i, step = parts[reach[s] - 1]
         taken[i] += step
