@@ -27,7 +27,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat an id one stays; documents without an id all stay, as
     nothing tells which of them are meant.
     """
-    groups = jaccard_join.jaccard_join(docs, **queries.JACCARD)
+    groups = jaccard_join.jaccard_join(docs, **queries.NEAR_STAGE)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))

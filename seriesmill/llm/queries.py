@@ -15,19 +15,24 @@ from . import embedding_join, jaccard_join, licenses, lm_scoring, mixing, qualit
 LM = {"order": 2, "min_count": 2, "alpha": 0.4, "block_bytes": 8 << 20}
 NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
 JACCARD = {"width": 4, "percent": 85, "block_bytes": 8 << 20}
-QUALITY = {"buckets": 10_000, "smoothing": 1.0, "threshold": -0.1}
+#: What the pipeline calls near duplicates.
+NEAR_STAGE = {"width": 5, "percent": 80, "block_bytes": 8 << 20}
+QUALITY = {"buckets": 30_000, "smoothing": 1.0, "threshold": -0.11, "noise": 0.4}
 MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2, "seed": 20240229}
 PIECE_MODEL, PIECE_THREADS = "piece_bpe_32k.model", 2
 LICENSE_DICE = 0.8
-TOXICITY = {"max_docs": 10_000, "max_features": 300, "toxic_at": 0.1, "seed": 20240229}
+TOXICITY = {"max_docs": 10_000, "max_features": 300, "toxic_at": 0.2, "seed": 20240229}
 COUNT_TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it."""
+    """Lets Python workers import this package where the driver found it, and keeps their batches small."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    # Whole texts travel in these batches: ten thousand of them are tens of megabytes.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(_read(spark, sf_dir, "documents"), trusted(spark, sf_dir), **QUALITY)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +111,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents"
+#: The least id reachable over the links (a, b), each in one direction, of all ids in (id).
+_COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    walk(id, c) AS (SELECT id, id FROM ids UNION SELECT l.b, w.c FROM walk w JOIN both_ways l ON l.a = w.id),
+    parts AS (SELECT id, min(c) AS component_id FROM walk GROUP BY 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express: the others rest on seeded or 64-bit hashes,
+    dynamic programming, a tokenizer library or a trained model, and are tested by brute force."""
+    lm = f"""WITH d AS ({_WORDS}), w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+        p AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+        c1 AS (SELECT w, count(*) AS n FROM w GROUP BY 1), c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY 1, 2), t AS (SELECT count(*) AS n FROM w),
+        s AS (SELECT p.doc_id, p.v IS NOT NULL AND coalesce(c2.n, 0) < {LM["min_count"]} AS backoff,
+            CASE WHEN c2.n >= {LM["min_count"]} THEN ln(c2.n::DOUBLE / h.n) WHEN p.v IS NULL THEN ln(c1.n::DOUBLE / t.n) ELSE ln({LM["alpha"]} * c1.n::DOUBLE / t.n) END AS score
+            FROM p JOIN c1 ON c1.w = p.w LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c1 h ON h.w = p.v CROSS JOIN t)
+        SELECT d.doc_id, CAST(count(s.score) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE s.backoff) AS BIGINT) AS n_backoff,
+        round(coalesce(sum(s.score), 0), 6) AS log_score, round(sum(s.score) / count(s.score), 6) AS mean_log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1"""
+    near = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ids AS (SELECT id FROM v),
+        links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= {NEAR["cosine"]}),
+        {_COMPONENTS}, n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY 1)
+        SELECT parts.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, parts.component_id, parts.id = parts.component_id AS kept FROM parts LEFT JOIN n ON n.id = parts.id"""
+    k = JACCARD["width"]
+    jaccard = f"""WITH RECURSIVE d AS ({_WORDS}), ids AS (SELECT doc_id AS id FROM d),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {JACCARD["percent"]} * (x.n + y.n - k)), {_COMPONENTS}
+        SELECT parts.id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, parts.component_id FROM parts LEFT JOIN n ON n.doc_id = parts.id"""
+    return {"op1_lm_scoring": lm, "op2_embedding_near_dedup": near, "op5_jaccard_join": jaccard}
