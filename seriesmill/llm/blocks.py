@@ -46,12 +46,12 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers as byte planes, all lowest bytes first: the shuffle's compression then
     finds the empty high bytes."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T).view(dtype).ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .blocks import block_count, bucket_edges, by_bucket, measure, replies, unpack_totals
 from .graph import connected_components, least_labels
 from .storage import materialize
-from .text import ngram_hashes, word_hashes
+from .text import ngram_hashes, release, word_hashes
 
 #: Largest l that a document may pick.
 MAX_MATCH = 8
@@ -118,6 +118,8 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
             edges = bucket_edges(keys, blocks)
             # Within a bucket, half of the hash is enough to count by.
             out = [(number, *x) for x in by_bucket(edges, keys.astype(np.uint32), counts, np.ndarray.tobytes)]
+            del keys, counts
+        release()
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, asked, strict=True)], schema=asked)
 
     made = pa.schema([("row", pa.int64()), ("n_shingles", pa.int64()), ("match", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
@@ -126,7 +128,7 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
         told = answers["bucket"].to_numpy()
         table = once(table, answers.filter(pa.array(told < 0))["row"].to_numpy())
         keys, docs_of = shingles(table["text"], width)
-        _, inverse = np.unique(keys, return_inverse=True)
+        inverse = np.unique(keys, return_inverse=True)[1]
         df = unpack_totals(answers.filter(pa.array(told >= 0)))[inverse] if len(keys) else np.empty(0, np.int64)
         sizes = np.bincount(docs_of, minlength=len(table))
         alone = np.bincount(docs_of[df == 1], minlength=len(table))
@@ -140,6 +142,8 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
             match[i], length = choose_prefix(f[order], percent)
             prefix[i] = k[order[alone[i] : length]].view(np.int64)
             shared[i] = k[f > 1].view(np.int64)
+        del keys, docs_of, inverse, df
+        release()
         return pa.table([table["row"].combine_chunks(), pa.array(sizes, pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, made.field(3).type), pa.array(shared, made.field(4).type)], schema=made)
 
     texts = dealt.groupBy("block")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, bucket_edges, by_bucket, measure, pack_sorted, replies, unpack_sorted, unpack_totals
-from .text import ngram_hashes, word_hashes
+from .text import ngram_hashes, release, word_hashes
 
 
 def _words(column):
@@ -57,6 +57,8 @@ def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float
             keys, counts = np.unique(_grams(words, place, n)[1], return_counts=True)
             for bucket, k, c in by_bucket(bucket_edges(keys, blocks), keys, counts, pack_sorted):
                 rows.append((block, n, bucket, k, c))
+        del words, place, keys, counts
+        release()
         return pa.table(dict(zip(("block", "n", "bucket", "keys", "counts"), [list(x) for x in zip(*rows, strict=True)] or [[]] * 5, strict=True)), schema=asked)
 
     asked = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -86,6 +88,8 @@ def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float
         sums = np.zeros(len(rows) - 1)
         if len(full):
             sums[full] = np.add.reduceat(logs, rows[full])
+        del counts, shorter, score, used, words, place, logs
+        release()
         return pa.table({"id": table["id"], "n_words": np.diff(rows), "n_backoff": add((missed > 0).astype(np.int64)), "log_score": sums})
 
     asks = dealt.groupBy("block").applyInArrow(request, "block int, n int, bucket int, keys binary, counts binary")

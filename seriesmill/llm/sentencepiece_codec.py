@@ -18,10 +18,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import byte_slices, release
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct words that a worker remembers at most.
@@ -104,11 +105,18 @@ class Codec:
         else:
             # A word without a marker in front occurs only where the model adds none.
             same = [a == b for a, b in zip(ids, self._reference_ids(words), strict=True)]
-        for w, i, s in zip(words, ids, same, strict=True):
-            self.memo[w] = (np.array(i, np.int32).tobytes(), s)
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether both libraries agree on it; null is empty."""
+        back = self.decode(ids)
+        front = " " if self.spec.add_dummy_prefix else ""
+        for w, i, s, b in zip(words, ids, same, back, strict=True):
+            self.memo[w] = (np.array(i, np.int32).tobytes(), s, b == w.replace(MARK, " ").removeprefix(front))
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Ids of each text, whether both libraries agree on it, and whether decoding gives
+        the normalised text back; null is empty.
+
+        Decoding a text joins what its words decode to: bytes of one character are never parted
+        by a cut, so the words' verdicts are the text's.
+        """
         cut = [self.cut.findall(n) if self.cut else [n] * bool(n) for n in (self.normalise(t or "") for t in texts)]
         missing = {w for words in cut for w in words if w not in self.memo}
         if len(self.memo) + len(missing) > WORD_MEMO:
@@ -117,7 +125,8 @@ class Codec:
         if missing:
             self._learn(sorted(missing))
         found = [[self.memo[w] for w in words] for words in cut]
-        return [np.frombuffer(b"".join(f[0] for f in fs), np.int32) for fs in found], [all(f[1] for f in fs) for fs in found]
+        ids = [np.frombuffer(b"".join([f[0] for f in fs]), np.int32) for fs in found]
+        return ids, [all([f[1] for f in fs]) for fs in found], [all([f[2] for f in fs]) for fs in found]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.model.decode_batch(ids, skip_special_tokens=False)
@@ -127,7 +136,7 @@ _CODECS: dict[tuple, Codec] = {}
 
 
 def codec_at(path: str, threads: int) -> Codec:
-    """The worker's codec: its memory of words outlives a task."""
+    """The worker's codec: built once, its memory of words is cleared after each task."""
     key = (path, os.path.getmtime(path), threads)
     if key not in _CODECS:
         _CODECS.clear()
@@ -135,19 +144,6 @@ def codec_at(path: str, threads: int) -> Codec:
     return _CODECS[key]
 
 
-def _batches(column, limit: int):
-    """Slices of a string column of about ``limit`` bytes, a row at least."""
-    size, lo = 0, 0
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    for i, n in enumerate(lengths):
-        if i > lo and size + n > limit:
-            yield lo, i
-            lo, size = i, 0
-        size += n
-    if lo < len(lengths):
-        yield lo, len(lengths)
-
-
 def encode_documents(docs: DataFrame, model: str, *, threads: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, *keep, ids, n_tokens, ids_sha256, round_trip, parity)`` for every row.
 
@@ -165,19 +161,19 @@ def encode_documents(docs: DataFrame, model: str, *, threads: int = 2, id_col: s
 
     def run(batches):
         codec = codec_at(model, threads)
-        for batch in batches:
-            for lo, hi in _batches(batch.column(batch.num_columns - 1), 4 << 20):
-                part = batch.slice(lo, hi - lo)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                ids, parity = codec.encode(texts)
-                back = codec.decode([i.tolist() for i in ids])
-                # The text as the normaliser leaves it, without the marks.
-                front = 1 if codec.spec.add_dummy_prefix else 0
-                want = [codec.normalise(t or "").replace(MARK, " ")[front:] for t in texts]
-                lengths = np.array([len(i) for i in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(lengths), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]), pa.array([a == b for a, b in zip(back, want, strict=True)]), pa.array(parity)], names=names)
+        try:
+            for batch in batches:
+                for lo, hi in byte_slices(batch.column(batch.num_columns - 1), 2 << 20):
+                    part = batch.slice(lo, hi - lo)
+                    ids, parity, back = codec.encode(part.column(part.num_columns - 1).to_pylist())
+                    lengths = np.array([len(i) for i in ids], np.int64)
+                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    digests = [hashlib.sha256(i.tobytes()).hexdigest() for i in ids]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(lengths), pa.array(digests), pa.array(back, pa.bool_()), pa.array(parity, pa.bool_())], names=names)
+        finally:
+            codec.memo.clear()
+            release()
 
     out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("_text")).mapInArrow(run, schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "ids", "n_tokens", "ids_sha256", "round_trip", "parity")
