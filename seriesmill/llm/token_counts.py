@@ -10,6 +10,7 @@ version of it, never meets a stale count.
 from __future__ import annotations
 
 import hashlib
+import os
 from pathlib import Path
 
 import numpy as np
@@ -18,12 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_path
-from .text import string_bytes, word_bounds
+from .text import byte_slices, release, string_bytes, word_bounds
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
 
 #: Distinct words whose counts a Python worker remembers at most.
-WORD_MEMO = 400_000
+WORD_MEMO = 300_000
 
 
 def content_digest(text: Column) -> Column:
@@ -93,6 +94,18 @@ class Counter:
         return np.array(self.whole(["" if x is None else x for x in column.to_pylist()]), np.int64)
 
 
+_COUNTERS: dict[tuple, Counter] = {}
+
+
+def counter_at(path: str, by_word: bool) -> Counter:
+    """The worker's counter: built once, its memory of words is cleared after each task."""
+    key = (path, os.path.getmtime(path), by_word)
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = Counter(path, by_word)
+    return _COUNTERS[key]
+
+
 def tokenizer_version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
@@ -136,11 +149,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: TokenCountCache, *, id_
     texts = docs.select(F.xxhash64("id", content_digest(F.col("text"))).alias("row"), "text")
 
     def encode(batches):
-        counter = Counter(tokenizer, by_word)
-        for batch in batches:
-            digests = [hashlib.sha256((x or "").encode()).digest() for x in batch.column(0).to_pylist()]
-            counts = counter.counts(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+        counter = counter_at(tokenizer, by_word)
+        try:
+            for batch in batches:
+                for lo, hi in byte_slices(batch.column(0), 2 << 20):
+                    part = batch.column(0).slice(lo, hi - lo)
+                    digests = [hashlib.sha256((x or "").encode()).digest() for x in part.to_pylist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counter.counts(part), pa.int64())], names=["digest", "n_tokens"])
+        finally:
+            counter.memo.clear()
+            release()
 
     found = texts.join(chosen, "row", "left_semi").select("text").mapInArrow(encode, "digest binary, n_tokens bigint")
     # Rows that repeat an id and its text name one digest; its counts agree.
