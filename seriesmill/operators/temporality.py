@@ -72,14 +72,18 @@ def export(cumulative: DataFrame, kind: str, values: Sequence[str], by: Sequence
     return out.drop(*values).withColumnsRenamed({v + "_delta": v for v in values})
 
 
-def zero_fill(series: DataFrame, labels: str | None, window: str, last: DataFrame, fill: dict[str, Column]) -> DataFrame:
+def zero_fill(series: DataFrame, labels: str | None, window: str, span: DataFrame, fill: dict[str, Column], members: DataFrame | None = None) -> DataFrame:
     """A row for every window of a series from its first to the last of all, absent ones filled.
 
-    ``last``: one row with the last window.
+    ``span``: one row ``(first, last)`` of all windows.  ``members``: label sets of a closed
+    domain, which are there from the first window on.
     """
     key = series_key(F.col(labels)) if labels else F.lit(0)
     keyed = series.withColumn("_k", key)
-    spine = keyed.groupBy("_k").agg(F.min(window).alias("_from")).select("_k", F.explode(F.sequence(F.col("_from"), last.scalar())).alias(window))
+    begins = keyed.groupBy("_k").agg(F.min(window).alias("_from"))
+    if members is not None:
+        begins = begins.unionByName(members.select(key.alias("_k"), span.select("first").scalar().alias("_from"))).groupBy("_k").agg(F.min("_from").alias("_from"))
+    spine = begins.where("_from is not null").select("_k", F.explode(F.sequence(F.col("_from"), span.select("last").scalar())).alias(window))
     joined = spine.join(keyed.drop(labels) if labels else keyed, ["_k", window], "left")
     out = joined.select("_k", window, *[F.coalesce(c, f).alias(c) for c, f in fill.items()])
     return (out.withColumn(labels, F.map_from_entries("_k")) if labels else out).drop("_k")

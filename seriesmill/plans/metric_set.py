@@ -171,14 +171,20 @@ class MetricSet:
 
         A window (a whole number) is aggregated on its own, which is the delta of its
         totals; gauges have their value in the window.  Counters, histograms and timers have a line of
-        zeros in every later window up to the last of all, distributions none.
+        zeros in every later window up to the last of all, and members of a closed domain
+        in every window; distributions have none.
         """
-        last, parts = obs.agg(F.max(window).alias("last")), []
+        span, parts = obs.agg(F.min(window).alias("first"), F.max(window).alias("last")), []
         for spec in self.specs:
             s = self.series(obs, spec, [window])
             if spec.family in ("counter", "histogram", "timer"):
                 fill = {c: f for c, f in self._fill(spec).items() if c != "counts"}
-                s = temporality.zero_fill(s.select(window, *([self._labels(spec)] if self._labels(spec) else []), *fill), self._labels(spec), window, last, fill)
+                labels = self._labels(spec)
+                members = None
+                if spec.domain:
+                    label = spec.domain.label_name
+                    members = spec.domain.frame(obs.sparkSession).withColumnRenamed("value", label).select(otel.label_attributes(label).alias("labels"))
+                s = temporality.zero_fill(s.select(window, *([labels] if labels else []), *fill), labels, window, span, fill, members)
             parts.append(self._dogstatsd(s, spec, tags, [window], zeros_last=True))
         return self._numbered(parts)
 

@@ -163,6 +163,12 @@ def test_metric_set_delta_has_zero_lines(spark):
     assert sorted((r.w, r.line) for r in got) == [(1, "c:1|c|#k:2"), (1, "c:5|c|#k:1"), (2, "c:0|c|#k:1"), (2, "c:0|c|#k:2"), (3, "c:0|c|#k:2"), (3, "c:3|c|#k:1")]
 
 
+def test_metric_set_delta_of_a_domain(spark):
+    o = obs(spark, [("hits", "add", {"method": "get"}, 5), ("hits", "add", {"method": "put"}, 1)]).withColumn("w", F.col("seq") + 1)
+    got = MetricSet(SPECS[:1]).export_dogstatsd_delta(o, "w").collect()
+    assert sorted((r.w, r.line) for r in got) == [(1, "hits:0|c|#method:post"), (1, "hits:0|c|#method:put"), (1, "hits:5|c|#method:get"), (2, "hits:0|c|#method:get"), (2, "hits:0|c|#method:post"), (2, "hits:1|c|#method:put")]
+
+
 def test_metric_set_tables_and_otlp(spark):
     m = MetricSet(SPECS, "app")
     tables = m.export_clickhouse(stream(spark), R)
