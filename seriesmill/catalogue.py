@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.functions import numbers, trace_ids
-from seriesmill.functions.labels import LabelDomain, canonical, from_pairs, label_map, prometheus_labels, series_key
+from seriesmill.functions.labels import LabelDomain, from_pairs, label_map, prometheus_labels, series_key
 from seriesmill.operators import aggregate, cardinality, exposition, otel, run_stats, sampling, spans, temporality
 from seriesmill.plans.metric_set import MetricSet, MetricSpec
 from seriesmill.session import configure

@@ -9,6 +9,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The label of the overflow series.
 OVERFLOW_KEY, OVERFLOW_VALUE = "__ft_overflow", "true"
 
 
@@ -16,15 +17,12 @@ def from_pairs(pairs: Column) -> Column:
     """Canonical label map of an array of (key, value) structs: the last value of a key
     wins, keys in byte order.  Independent of the session's policy for repeated keys.
     """
-    numbered = F.transform(pairs, lambda p, i: F.struct(p[_KEY].alias("k"), i.alias("i"), p[_VALUE].alias("v")))
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("k"), i.alias("i"), p["value"].alias("v")))
     ordered = F.array_sort(numbered)
     last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["k"] != x["k"], F.lit(True)))
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 
-_KEY, _VALUE = "key", "value"
-
-
 def canonical(labels: Column) -> Column:
     """The label map with its keys in byte order; a null map is the empty one."""
     entries = F.array_sort(F.map_entries(F.coalesce(labels, F.create_map().cast("map<string,string>"))))
