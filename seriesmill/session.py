@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,8 +18,16 @@ SETTINGS = {
 }
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Sets the runtime settings on a session that exists already."""
+    importable(spark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -28,4 +39,6 @@ def build_session(app: str = "seriesmill", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    importable(spark)
+    return spark
