@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesmill.session import importable
+
 from . import embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, token_counts, toxicity
 
 #: Bigrams: at order 3 the packed keys alone would pass the disk budget.
@@ -26,10 +26,8 @@ COUNT_TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it, and keeps their batches small."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    """Lets Python workers import this package, and keeps their batches small."""
+    importable(spark)
     # Whole texts travel in these batches: ten thousand of them are tens of megabytes.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
