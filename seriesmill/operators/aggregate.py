@@ -65,7 +65,7 @@ def extrema_reset(obs: DataFrame, windows: DataFrame, window: str, by: Keys = ()
 def set_add_fold(obs: DataFrame, by: Keys = (), op: str = "op", value: str = "value_l", order: Keys = ("ts", "seq"), name: str = "value") -> DataFrame:
     """A gauge that is both set and added to: the last set and all later adds.
 
-    Two aggregations and a join on the keys, so a hot series needs no sort.
+    Two aggregations and a join on the keys: two scans, and a hot series needs no sort.
     """
     maps = [k for k in by if dict(obs.dtypes)[k].startswith("map")]
     obs = obs.withColumns({k: series_key(F.col(k)) for k in maps})  # maps cannot be joined on
@@ -75,7 +75,8 @@ def set_add_fold(obs: DataFrame, by: Keys = (), op: str = "op", value: str = "va
     if by:
         later = later.join(last, list(by), "left").where(F.col("_at").isNull() | (F.col("_order") > F.col("_at")))
         adds = later.groupBy(*by).agg(F.sum(value).alias("_adds"))
-        out = obs.select(*by).distinct().join(last, list(by), "left").join(adds, list(by), "left")
+        # A series without later adds has a set, one without a set has adds.
+        out = last.join(adds, list(by), "full")
     else:  # one row of state: a scalar subquery, not a join
         top = last.select("_at").scalar()
         adds = later.where(top.isNull() | (F.col("_order") > top)).agg(F.sum(value).alias("_adds"))
