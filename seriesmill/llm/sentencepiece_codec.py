@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,14 @@ class Codec:
         # A user-defined piece may match anywhere, across a cut too.
         self.cut = None if spans or any(p.type == USER for p in proto.pieces) else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.reference = SentencePieceProcessor(model_file=path) if verify else None
-        self.memo: dict[str, tuple[bytes, bool]] = {}
+        self.memo: dict[str, bytes] = {}
+        #: Words that the libraries encode differently, and that decoding does not give back.
+        self.unequal: set[str] = set()
+        self.lossy: set[str] = set()
+
+    def forget(self) -> None:
+        for held in (self.memo, self.unequal, self.lossy):
+            held.clear()
 
     def normalise(self, text: str) -> str:
         """What the pieces are matched against: markers for spaces, one in front if the model says so."""
@@ -108,7 +116,11 @@ class Codec:
         back = self.decode(ids)
         front = " " if self.spec.add_dummy_prefix else ""
         for w, i, s, b in zip(words, ids, same, back, strict=True):
-            self.memo[w] = (np.array(i, np.int32).tobytes(), s, b == w.replace(MARK, " ").removeprefix(front))
+            self.memo[w] = array("i", i).tobytes()
+            if not s:
+                self.unequal.add(w)
+            if b != w.replace(MARK, " ").removeprefix(front):
+                self.lossy.add(w)
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """Ids of each text, whether both libraries agree on it, and whether decoding gives
@@ -118,15 +130,15 @@ class Codec:
         by a cut, so the words' verdicts are the text's.
         """
         cut = [self.cut.findall(n) if self.cut else [n] * bool(n) for n in (self.normalise(t or "") for t in texts)]
-        missing = {w for words in cut for w in words if w not in self.memo}
+        seen = set().union(*cut)
+        missing = seen - self.memo.keys()
         if len(self.memo) + len(missing) > WORD_MEMO:
-            self.memo.clear()
-            missing = {w for words in cut for w in words}
+            self.forget()
+            missing = seen
         if missing:
             self._learn(sorted(missing))
-        found = [[self.memo[w] for w in words] for words in cut]
-        ids = [np.frombuffer(b"".join([f[0] for f in fs]), np.int32) for fs in found]
-        return ids, [all([f[1] for f in fs]) for fs in found], [all([f[2] for f in fs]) for fs in found]
+        ids = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in cut]
+        return ids, *([not bad or bad.isdisjoint(words) for words in cut] for bad in (self.unequal, self.lossy))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.model.decode_batch(ids, skip_special_tokens=False)
@@ -172,7 +184,7 @@ def encode_documents(docs: DataFrame, model: str, *, threads: int = 2, id_col: s
                     digests = [hashlib.sha256(i.tobytes()).hexdigest() for i in ids]
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(lengths), pa.array(digests), pa.array(back, pa.bool_()), pa.array(parity, pa.bool_())], names=names)
         finally:
-            codec.memo.clear()
+            codec.forget()
             release()
 
     out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("_text")).mapInArrow(run, schema)
