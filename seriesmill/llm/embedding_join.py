@@ -66,7 +66,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, cosine: float) -> tup
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_size: int, seed: int = 20240229, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_size: int, max_cells: int = 1024, seed: int = 20240229, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row of ``vectors``.
 
     Vectors link when their cosine in double precision is ``cosine`` or more.
@@ -77,7 +77,8 @@ def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_s
     from the start: copies cost a count, not pairs.  Null ids are rows like
     others but never name a component unless all ids in it are null.
 
-    There is a pivot for every ``cell_size`` distinct vectors, drawn by a seeded hash.
+    There is a pivot for every ``cell_size`` distinct vectors, ``max_cells`` at most, drawn by a
+    seeded hash: what the driver and every task hold of them is bounded.
     A cell of any size is joined in tiles of at most ``tile_size`` by ``tile_size``
     rows about, each a task's group; a tile returns one row per linked vector, not its
     pairs.  Vectors without any metric structure meet in almost every cell, and
@@ -89,7 +90,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_s
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     radius = math.sqrt(2 - 2 * cosine)
     n = classes.count()
-    wanted = max(1, math.ceil(n / cell_size))
+    wanted = min(max_cells, max(1, math.ceil(n / cell_size)))
     drawn = classes.select("v").orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(wanted).toPandas()["v"]
     pivots: dict[int, list] = {}
     for v in drawn:
@@ -143,6 +144,8 @@ def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_s
         some = np.flatnonzero(links)
         return pa.table({"a": cls[some], "b": cls[label[some]], "links": links[some].astype(np.int64)})
 
+    # Dealt by the tile, not only by the cell as the rows already are.
+    tiles = tiles.repartition("d", "cell", "kind", "i", "j")
     linked = tiles.groupBy("d", "cell", "kind", "i", "j").applyInArrow(join_tile, "a bigint, b bigint, links bigint")
     linked = materialize(linked, "links")
     component = connected_components(linked).withColumnRenamed("node", "cls")
