@@ -228,7 +228,8 @@ def loose_links(star: DataFrame, percent: int, tile_size: int) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(names)))
         return pa.table({"a": names[moved], "b": names[label[moved]]})
 
-    return tiles.groupBy("b", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
+    # Dealt by the tile, not only by the centre as the rows already are.
+    return tiles.repartition("b", "i", "j").groupBy("b", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
 
 
 def link_classes(profile: DataFrame, percent: int, tile_size: int) -> DataFrame:
@@ -275,7 +276,7 @@ def link_classes(profile: DataFrame, percent: int, tile_size: int) -> DataFrame:
     return connected_components(links.unionByName(more))
 
 
-def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, tile_size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, tile_size: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
