@@ -2,8 +2,8 @@
 
 Targets come from weights by water-filling.  Each source then takes whole
 documents: full passes first, and for what is left a number of documents of each
-length, found from the counts of documents by exact length.  A proportional
-share of each length comes first; the remaining budget, no more than a few times
+length, found from the counts of documents by exact length.  The same share of
+all lengths comes first, rounded along the lengths; the remaining budget, no more than a few times
 the longest length, is a bounded knapsack solved by dynamic programming.  Which
 documents of a length are taken is decided by a seeded hash.
 """
@@ -20,10 +20,13 @@ from pyspark.sql.window import Window
 from .storage import materialize
 from .text import word_counts
 
-#: Words that the dynamic programme of a source covers at most.  Longer documents
-#: are then no candidates for the last few thousand words of the budget.
+#: Words that the dynamic programme of a source is tried on, where the usual few times the
+#: longest length do not meet the budget.
 DP_WORDS = 1 << 16
 
+#: Sums that it holds at most: beyond them it counts in units of more than a word.
+DP_CELLS = 1 << 22
+
 #: Hash ranges in which the documents of a source and length are counted.
 RANGES = 1 << 12
 
@@ -70,61 +73,91 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
     return table.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), limit).alias("target"))
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come near
-    ``budget``; at most ``counts`` of each.
+def proportional(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Documents of each length (rising) that come to ``budget`` words by the same share of all.
 
-    Proportional shares of every length first, then the longest that still fit
-    until the rest is below ``dp_words``, then a bounded knapsack over the rest.
+    The running number of documents is rounded, not each length's own: up to any length the
+    documents are within one of their share, and so the words are within one longest document of ``budget``.
     """
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
-    if total == 0 or budget <= 0:
-        return taken
-    if budget >= total:
-        return counts.copy()
-    # Integer shares without overflow: Python's integers.
-    taken[:] = [c * budget // total for c in counts.tolist()]
-    rest = budget - int((lengths * taken).sum())
-    longest_first = np.argsort(-lengths, kind="stable")
-    for slack in (dp_words // 2, 0):  # leave the programme room, unless only long ones are left
-        for i in longest_first:
-            if rest < dp_words:
-                break
-            if lengths[i] and (n := min(int(counts[i] - taken[i]), (rest - slack) // int(lengths[i]))) > 0:
-                taken[i] += n
-                rest -= n * int(lengths[i])
-    left = np.flatnonzero((lengths > 0) & (counts > taken))
-    if rest >= dp_words or not len(left):  # no document left is short enough
-        return taken
+    # Without overflow: Python's integers.
+    upto = [(2 * c * budget + total) // (2 * total) for c in np.cumsum(counts).tolist()]
+    return np.diff(np.array(upto, np.int64), prepend=0)
+
+
+def nearest_sum(lengths: np.ndarray, spare: np.ndarray, rest: int) -> np.ndarray:
+    """Documents of each length, at most ``spare``, whose words come nearest to ``rest``:
+    a bounded knapsack.  All lengths are positive."""
+    chosen = np.zeros(len(lengths), np.int64)
+    if rest <= 0 or not (spare > 0).any():
+        return chosen
     # The nearest sum from above is one shortest document from some sum below, at most.
-    most = rest + min(int(lengths[left].min()), dp_words)
+    most = rest + int(lengths[spare > 0].min())
     # reach[s]: the part (so many documents of one length) that first made the sum s.
-    reach, parts, bits, mask = np.zeros(most + 1, np.int64), [], 1, (1 << (most + 1)) - 1
-    for i in left[lengths[left] <= most]:
-        length, spare, step = int(lengths[i]), min(int(counts[i] - taken[i]), most // int(lengths[i])), 1
-        while spare:
-            step = min(step, spare)
-            spare -= step
-            new = (bits << (step * length)) & mask & ~bits
+    reach, parts, bits, mask = np.zeros(most + 1, np.int32), [], 1, (1 << (most + 1)) - 1
+    spare, step = np.minimum(spare, most // lengths), 1
+    # Lengths in a fixed random order, one document of each before two of any: neither short nor long ones come first.
+    order = np.random.default_rng(len(lengths)).permutation(len(lengths))
+    while not bits >> rest & 1 and (spare > 0).any():
+        for i in order[spare[order] > 0].tolist():
+            n = min(step, int(spare[i]))
+            new = (bits << (n * int(lengths[i]))) & mask & ~bits
             if new:
-                parts.append((i, step))
+                parts.append((i, n))
                 sums = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
                 reach[np.flatnonzero(sums)] = len(parts)
                 bits |= new
-            step *= 2
-        if bits >> rest & 1:
-            break
+                if bits >> rest & 1:
+                    break
+        spare = np.maximum(spare - step, 0)
+        step *= 2
     below = (bits & ((1 << (rest + 1)) - 1)).bit_length() - 1
     above = bits >> rest
     over = (above & -above).bit_length() - 1 if above else most
     s = rest + over if over < rest - below else below
     while s:
-        i, step = parts[reach[s] - 1]
-        taken[i] += step
-        s -= step * int(lengths[i])
-    return taken
+        i, n = parts[reach[s] - 1]
+        chosen[i] += n
+        s -= n * int(lengths[i])
+    return chosen
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS, dp_cells: int = DP_CELLS) -> np.ndarray:
+    """How many documents of each length (rising) to take so that their words come near
+    ``budget``; at most ``counts`` of each.
+
+    The same share of all lengths first, up to a few times the longest length, then a
+    bounded knapsack over all the rest.  If that does not meet the budget, the
+    programme gets twice the rest, up to ``dp_words``, and the nearest fit stays.
+    """
+    lengths, counts = lengths.astype(np.int64), np.where(lengths > 0, counts, 0).astype(np.int64)
+    best = np.zeros(len(lengths), np.int64)
+    total = int((lengths * counts).sum())
+    if total == 0 or budget <= 0:
+        return best
+    if budget >= total:
+        return counts.copy()
+    some = np.flatnonzero(counts)
+    size, counts = lengths[some], counts[some]
+    off, room = budget, 4 * int(size[-1])
+    while True:
+        taken = proportional(size, counts, max(0, budget - room))
+        rest = budget - int((size * taken).sum())
+        # Units of more than a word only if the longest documents are longer than dp_cells / 8 words.
+        while (unit := -(-rest // dp_cells)) > 1:
+            more = nearest_sum(-(-size // unit), counts - taken, rest // unit)
+            left = rest - int((size * more).sum())
+            if not more.any() or left < 0:
+                break
+            taken, rest = taken + more, left
+        unit = unit if unit > 1 else int(np.gcd.reduce(size))
+        taken = taken + nearest_sum(-(-size // unit), counts - taken, (2 * rest + unit) // (2 * unit))
+        miss = abs(budget - int((size * taken).sum()))
+        if miss < off or not best.any():
+            best[some], off = taken, miss
+        room *= 2
+        if off < unit or room >= 2 * budget or room > max(dp_words, 4 * int(size[-1])):
+            return best
 
 
 def mix_sources(docs: DataFrame, *, weights: list[float], share: float, cap: int, seed: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

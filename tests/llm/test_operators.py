@@ -481,6 +481,29 @@ def test_fit_counts(counts, part, dp):
     assert abs(budget - total) < max(counts)
 
 
+def test_fit_counts_takes_long_and_short_alike():
+    """Mostly distinct lengths: every tenth of the documents gives its share."""
+    rng = np.random.default_rng(6)
+    lengths, n = np.unique(np.exp(rng.normal(5.5, 1, 20_000)).astype(int) + 1, return_counts=True)
+    tenth = np.minimum(9, (np.cumsum(n) - 1) * 10 // n.sum())
+    for part in (0.1, 0.35, 0.7):
+        budget = round(part * int((lengths * n).sum()))
+        taken = mixing.fit_counts(lengths, n, budget)
+        assert (taken >= 0).all() and (taken <= n).all() and int((lengths * taken).sum()) == budget
+        share = np.bincount(tenth, taken) / np.bincount(tenth, n)
+        assert (abs(share - part) < 0.05).all(), share
+
+
+def test_fit_counts_of_very_long_documents():
+    """In units, when the sums are more than the programme may hold."""
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 100_000, 40))
+        budget = int(lengths.sum() * rng.uniform(0.1, 0.9))
+        taken = mixing.fit_counts(lengths, np.ones(len(lengths), int), budget, 1 << 10, 1 << 12)
+        assert (taken <= 1).all() and abs(int((lengths * taken).sum()) - budget) < 1000
+
+
 def test_mix_awkward(spark, awkward, empty):
     out = mixing.mix_sources(awkward, **queries.MIX).collect()
     assert len(out) == len(AWKWARD)
