@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,7 @@ class Scanner:
         """Least number of a template's t bigrams that any near segment shares."""
         return max(1, -int(-self.low * t // 1))
 
-    def compare(self, segment: frozenset) -> list[tuple[float, str]]:
+    def compare(self, segment: frozenset | set) -> list[tuple[float, str]]:
         out = []
         for name, grams in self.templates:
             if self.low * len(grams) <= len(segment) <= self.high * len(grams):
@@ -116,29 +117,40 @@ class Scanner:
         return out
 
     def segments(self, text: str):
-        """``(start, end, bigrams)`` of lines, sentences within them, runs of sentences of a line
-        (up to twice the words of the longest near segment), and the whole text, where
-        they hold an anchor."""
+        """``(start, end, bigrams)`` of lines, of sentences within them, of runs of lines and sentences
+        across line breaks (up to the largest near segment, and twice its words), and of the whole text,
+        where they hold an anchor."""
         longest = self.high * max((len(b) for _, b in self.templates), default=0)
-        at = 0
+        found = list(_WORD.finditer(text))
+        words, places = [m[0].lower() for m in found], [m.start() for m in found]
+        pairs = list(zip(words, words[1:], strict=False))
+        anchors = [k for k, g in enumerate(pairs) if g in self.anchors]
+        if not anchors:
+            return
+        # Lines, and the units of the runs: (start, end, first word, word after the last).
+        lines, units, at = [], [], 0
         for line in text.split("\n"):
-            whole = bigrams(line)
-            if whole & self.anchors:
-                yield at, at + len(line), whole
-                cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
-                sizes = [max(1, len(_WORD.findall(line[a:b]))) for a, b in zip(cuts, cuts[1:], strict=False)]
-                for i in range(len(sizes)):
-                    words = 0
-                    for j in range(i, len(sizes)):
-                        words += sizes[j]
-                        if words > 2 * longest + 2:
-                            break
-                        part = bigrams(line[cuts[i] : cuts[j + 1]])
-                        if part & self.anchors and (cuts[i], cuts[j + 1]) != (0, len(line)):
-                            yield at + cuts[i], at + cuts[j + 1], part
+            cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
+            bounds = [bisect_left(places, at + c) for c in cuts]
+            lines.append((at, at + len(line), bounds[0], bounds[-1]))
+            units += [(at + x, at + y, i, j) for x, y, i, j in zip(cuts, cuts[1:], bounds, bounds[1:], strict=False) if i < j]
             at += len(line) + 1
-        if "\n" in text:
-            yield 0, len(text), bigrams(text)
+        for start, end, i, j in [*lines, (0, len(text), 0, len(words))]:
+            k = bisect_left(anchors, i)
+            if k < len(anchors) and anchors[k] < j - 1:
+                yield start, end, set(pairs[i : j - 1])
+        for u, (start, _, i, _) in enumerate(units):
+            k = bisect_left(anchors, i)
+            if k == len(anchors):
+                break
+            grams, upto = set(), i
+            for _, end, _, j in units[u:]:
+                if j - i > 2 * longest + 2 or len(grams) > longest:
+                    break
+                grams.update(pairs[upto : j - 1])
+                upto = j - 1
+                if anchors[k] < j - 1:
+                    yield start, end, grams
 
     def scan(self, text: str) -> list[dict]:
         """The best match at each place: matches by falling Dice that overlap no better one."""
@@ -158,8 +170,8 @@ MATCH = "struct<license:string,dice:double,start:int,end:int>"
 def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, matches)`` for every row: the license notices in its text.
 
-    Segments of the text are its lines, the sentences and runs of sentences in a line, and
-    the whole text.  A segment matches a template when Dice's coefficient of
+    Segments of the text are its lines, the sentences in them, runs of consecutive lines and
+    sentences, and the whole text.  A segment matches a template when Dice's coefficient of
     their sets of word bigrams is ``least`` or more; the bounds that this puts on a
     segment's size prune templates before any comparison.  Of overlapping matches the
     nearest stays, ties by place and then name.  Places are code points, end exclusive.

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 from types import SimpleNamespace
 
@@ -345,6 +346,23 @@ def test_licenses(spark):
         assert all(0 <= m.start < m.end <= len(text) and m.dice >= 0.8 for m in got[i])
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_licenses_wrapped(spark, mark):
+    """Notices over several lines, bare and in comments, inside long texts."""
+    queries.prepare(spark)
+    front = [f"value_{i} = compute(input_{i}, {i})" for i in range(150)]
+    cases = []
+    for name, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            for width in (40, 76):
+                wrapped = [mark + x for x in textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)]
+                cases.append((len(cases), "\n".join([*front, "", mark + "Copyright 2024 the authors.", *wrapped, "", *front]), name, "\n".join(wrapped)))
+    got = {r.doc_id: r.matches for r in licenses.scan_licenses(spark.createDataFrame([c[:2] for c in cases], "doc_id bigint, text string")).collect()}
+    for i, text, want, notice in cases:
+        assert [m.license for m in got[i]] == [want], (want, notice, got[i])
+        assert text[got[i][0].start : got[i][0].end] == notice
+
+
 def test_license_pruning_loses_nothing():
     """Against comparing every segment with every template."""
     random.seed(3)
