@@ -93,6 +93,13 @@ def test_lm_awkward(awkward, empty):
     assert lm_scoring.score_documents(empty, order=2, min_count=2, alpha=0.4, block_bytes=1000).count() == 0
 
 
+def test_lm_trigram_query(spark):
+    two = {r.doc_id: r for r in queries.op1_lm_scoring(spark, SF).collect()}
+    three = {r.doc_id: r for r in queries.op1_lm_scoring_trigrams(spark, SF).collect()}
+    assert two.keys() == three.keys() and all(two[i].n_words == three[i].n_words and two[i].n_backoff <= three[i].n_backoff for i in two)
+    assert any(two[i].log_score != three[i].log_score for i in two)
+
+
 # 2: embeddings
 
 
