@@ -4,10 +4,11 @@ Everything is SQL functions.  Spans are ``(kind, start, end)`` in code points,
 end exclusive, within one text.
 
 The battery looks at every run of 24 or more characters that may encode bytes.
-From its characters an encoding is inferred (hexadecimal, base32 or base64) and
-three tests ask whether it could be uniform draws from that alphabet: a
-chi-squared test of the halves and quarters the symbols fall into, a runs test
-about the middle of the alphabet, and a lag-one serial correlation.  Their
+Its encoding is the smallest alphabet that holds it (hexadecimal, base32, base36 or base64) and
+four tests ask whether it could be uniform draws from that alphabet: a
+chi-squared test of the slices of it the symbols fall into, a runs test
+about the middle of the alphabet, a lag-one serial correlation, and the number of
+the letters that are common in words.  Their
 p-values are joined to one by Bonferroni.  Prose and identifiers fail at least
 one of them the more clearly the longer they are, so Benjamini-Hochberg's
 procedure over all runs of similar length in the table declares runs *not
@@ -40,7 +41,11 @@ BIN, MAX_BIN = 0.02, 2000
 
 SPAN = "struct<start:int,end:int,rank:int>"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+#: Three of four letters of English text; in none of the alphabets more than a third.
+COMMON = "etaoinsrhl"
 
 
 def _no_spans() -> Column:
@@ -93,30 +98,27 @@ def _symbols(run: Column, kind: Column) -> Column:
     """The places of the run's characters in its alphabet."""
     chars = F.split(run, "")
     hexes = F.transform(chars, lambda c: F.instr(F.lit("0123456789abcdef"), F.lower(c)) - 1)
-    b32 = F.transform(chars, lambda c: F.instr(F.lit(BASE32), c) - 1)
+    b32 = F.transform(chars, lambda c: F.instr(F.lit(BASE32), F.upper(c)) - 1)
+    b36 = F.transform(chars, lambda c: F.instr(F.lit(BASE36), F.upper(c)) - 1)
     b64 = F.transform(chars, lambda c: F.instr(F.lit(BASE64), F.translate(c, "-_", "+/")) - 1)
-    return F.when(kind == 16, hexes).when(kind == 32, b32).otherwise(b64)
+    return F.when(kind == 16, hexes).when(kind == 32, b32).when(kind == 36, b36).otherwise(b64)
 
 
 def battery(df: DataFrame, run: str) -> DataFrame:
-    """Adds ``size`` (of the inferred alphabet, null if none fits) and ``p``.
+    """Adds ``size`` (of the smallest alphabet that holds the run) and ``p``.
 
-    Hexadecimal takes letters of one case with digits; base32 capitals with
-    digits 2-7; base64 needs digits and letters of both cases.  Words, paths and
-    numbers fit none.  The tests take the mean rank and grouping of symbols whose
-    distributions under uniform draws are known, so no table is needed.
+    Hexadecimal, base32 (letters and digits 2-7) and base36 have letters of one case;
+    anything else is base64.  The dashes of a UUID are left out.  No run is passed over: words,
+    paths and numbers are for the tests to tell.  They take the mean rank and grouping of symbols
+    whose distributions under uniform draws are known, so no table is needed.
     """
     c = F.col(run)
-    digit, lower, upper = c.rlike("[0-9]"), c.rlike("[a-z]"), c.rlike("[A-Z]")
-    kind = (
-        F.when(digit & (c.rlike("^[0-9a-f]+$") & lower | c.rlike("^[0-9A-F]+$") & upper), 16)
-        .when(digit & upper & c.rlike("^[A-Z2-7]+$"), 32)
-        .when(digit & lower & upper, 64)
-    )
-    df = df.withColumn("size", kind).withColumn("_x", F.when(F.col("size").isNotNull(), _symbols(c, F.col("size"))))
+    c = F.when(c.rlike(UUID), F.lower(F.translate(c, "-", ""))).otherwise(c)
+    kind = F.when(c.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(c.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), 32).when(c.rlike("^([0-9A-Z]+|[0-9a-z]+)$"), 36).otherwise(64)
+    df = df.withColumn("size", kind).withColumn("_x", _symbols(c, F.col("size")))
     n, k = F.size("_x").cast("double"), F.col("size").cast("double")
     # Chi-squared over at most n / 6 equal slices of the alphabet, 4 to 16 of them.
-    df = df.withColumn("_cells", F.least(F.lit(16), F.col("size"), F.when(n >= 96, 16).when(n >= 48, 8).otherwise(4)))
+    df = df.withColumn("_cells", F.least(F.lit(16), F.col("size"), F.when(n >= 96, F.when(F.col("size") == 36, 12).otherwise(16)).when(n >= 48, F.when(F.col("size") == 36, 6).otherwise(8)).otherwise(4)))
     cells = F.col("_cells").cast("double")
     cell = F.transform("_x", lambda x: F.floor(x * F.col("_cells") / F.col("size")).cast("int"))
     df = df.withColumn("_cell", cell)
@@ -135,8 +137,13 @@ def battery(df: DataFrame, run: str) -> DataFrame:
     products = F.aggregate(F.zip_with(F.slice("_x", F.lit(1), F.size("_x") - 1), F.slice("_x", F.lit(2), F.size("_x") - 1), lambda x, y: (x - mid) * (y - mid)), F.lit(0.0), lambda a, x: a + x)
     # Products of independent centred symbols have mean 0 and variance var ** 2.
     z_serial = products / (F.sqrt(n - 1) * (k * k - 1) / 12)
-    p = F.least(F.lit(1.0), 3 * F.least(p_chi, _normal_tail(z_runs), _normal_tail(z_serial)))
-    return df.withColumn("p", F.when(F.col("size").isNotNull(), p)).drop("_x", "_cells", "_cell", "_chi", "_half")
+    # One-sided: words have more of the common letters than uniform draws.  Of hexadecimal two only: no test.
+    common = n - F.char_length(F.translate(F.lower(c), COMMON, ""))
+    share = len(COMMON) / k * F.when(k == 64, 2).otherwise(1)
+    z_common = (common - 0.5 - n * share) / F.sqrt(n * share * (1 - share))
+    p_common = F.when((k > 16) & (z_common > 0), _normal_tail(z_common) / 2).otherwise(1.0)
+    p = F.least(F.lit(1.0), 4 * F.least(p_chi, _normal_tail(z_runs), _normal_tail(z_serial), p_common))
+    return df.withColumn("p", p).drop("_x", "_cells", "_cell", "_chi", "_half")
 
 
 def _bin(p: Column) -> Column:
@@ -172,7 +179,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty; an empty table gives an empty table; null and
     repeated ids are rows of their own.  The texts are read once and never
     shuffled: spans and runs are written to the shared folder with a number for
-    each row, and only the runs with an encoding are tested and joined back.  What
+    each row, and only the runs are tested and joined back.  What
     is gathered from the whole table is counts per length band and bin of the
     p-value, a fixed number of rows.  ``random`` holds the runs that are not
     declared not random, without those inside a base span.
@@ -182,7 +189,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = F.transform("_runs", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring("_text", s["start"] + 1, s["end"] - s["start"]).alias("run")))
     found = materialize(df.select(F.monotonically_increasing_id().alias("_row"), id_col, *keep, "_assign", "_access", "_hex", texts.alias("_runs")), "spans")
     runs = found.where(F.size("_runs") > 0).select("_row", F.explode("_runs").alias("r")).select("_row", "r.*")
-    tested = battery(runs, "run").where("p is not null").withColumn("bin", _bin(F.col("p"))).withColumn("band", _band(F.col("end") - F.col("start")))
+    tested = battery(runs, "run").withColumn("bin", _bin(F.col("p"))).withColumn("band", _band(F.col("end") - F.col("start")))
     tested = materialize(tested.select("_row", "start", "end", "band", "bin"), "runs")
     cuts = not_random_bins(tested)
     left = tested.join(cuts, "band", "left").where(F.col("cut").isNull() | (F.col("bin") < F.col("cut")))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import uuid
 from collections import Counter
 from types import SimpleNamespace
 
@@ -653,6 +654,21 @@ def test_random_runs(spark):
     assert not any(got[len(hot) + i] for i in (0, 1, 2, 4))
 
 
+def test_random_runs_of_every_alphabet(spark):
+    """Keys that lack digits or letters of a case are tested too; words and paths are told by the tests."""
+    rng = random.Random(8)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    hot = ["".join(rng.choices(a, k=n)) for a in (low + digits, up + digits, low + "234567", low + up) for n in (24, 40, 64) for _ in range(8)]
+    hot += [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(8)]
+    words = "the quality of service under another interface should remain stable while large documents are translated into other languages".split()
+    cold = [sep.join(rng.sample(words, 7)) for sep in ("", "-", "_", "/") for _ in range(30)] + ["-" * 40, "=_" * 3 + "_" * 40]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(hot + cold)], "doc_id bigint, text string")
+    got = {r.doc_id: r.random for r in secrets.find_secrets(df).collect()}
+    for at in range(0, len(hot), 8):
+        assert sum(bool(got[i]) for i in range(at, at + 8)) >= 6, hot[at]
+    assert sum(bool(got[len(hot) + i]) for i in range(len(cold))) <= 0.1 * len(cold), [c for i, c in enumerate(cold) if got[len(hot) + i]]
+
+
 def test_normal_tail(spark):
     zs = [0.0, 0.5, 1.0, 1.96, 3.0, 4.5, 6.0, 10.0, -2.0]
     got = spark.createDataFrame([(z,) for z in zs], "z double").select(secrets._normal_tail(F.col("z"))).collect()
