@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, bucket_edges, by_bucket, measure, replies, unpack_totals
+from .blocks import block_count, bucket_edges, by_bucket, deal, dealt_rows, fingerprints, measure, replies, unpack_totals
 from .graph import connected_components, least_labels
 from .storage import materialize
 from .text import ngram_hashes, release, word_hashes
@@ -97,28 +97,30 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
     blocks = block_count(n_bytes, block_bytes)
     block = F.pmod("row", F.lit(blocks)).cast("int").alias("block")
     row = F.xxhash64("id", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("row")
-    dealt = docs.select(row, "text").select("row", "text", block)
+    dealt = deal(docs.select(row, "text").select(F.col("row").alias("id"), "text", block))
     chosen = classes.select("row", block)
 
-    def once(table: pa.Table, rows) -> pa.Table:
-        """The block's rows that stand for their class, each once."""
-        ids = table["row"].to_numpy()
+    def once(table: pa.Table, rows) -> tuple[pa.Array, pa.Array]:
+        """Ids and texts of the block's rows that stand for their class, each once."""
+        rows_held, texts = dealt_rows(table)
+        ids = rows_held.to_numpy()
         _, first = np.unique(ids, return_index=True)
         first.sort()
-        return table.take(pa.array(first[np.isin(ids[first], rows)]))
+        take = pa.array(first[np.isin(ids[first], rows)])
+        return rows_held.take(take), texts.take(take)
 
     asked = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def request(table: pa.Table, reps: pa.Table) -> pa.Table:
-        table = once(table, reps["row"].to_numpy())
+        rows, texts = once(table, reps["row"].to_numpy()) if len(table) else ([], [])
         out = []
-        if len(table):
+        if len(rows):
             number = table["block"][0].as_py()
-            keys, counts = np.unique(shingles(table["text"], width)[0], return_counts=True)
-            edges = bucket_edges(keys, blocks)
+            keys, counts = np.unique(shingles(texts, width)[0], return_counts=True)
             # Within a bucket, half of the hash is enough to count by.
-            out = [(number, *x) for x in by_bucket(edges, keys.astype(np.uint32), counts, np.ndarray.tobytes)]
+            out = [(number, *x) for x in by_bucket(bucket_edges(keys, blocks), fingerprints(keys, blocks), counts)]
             del keys, counts
+        del rows, texts
         release()
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, asked, strict=True)], schema=asked)
 
@@ -126,14 +128,14 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
 
     def resolve(table: pa.Table, answers: pa.Table) -> pa.Table:
         told = answers["bucket"].to_numpy()
-        table = once(table, answers.filter(pa.array(told < 0))["row"].to_numpy())
-        keys, docs_of = shingles(table["text"], width)
+        rows, texts = once(table, answers.filter(pa.array(told < 0))["row"].to_numpy())
+        keys, docs_of = shingles(texts, width)
         inverse = np.unique(keys, return_inverse=True)[1]
         df = unpack_totals(answers.filter(pa.array(told >= 0)))[inverse] if len(keys) else np.empty(0, np.int64)
-        sizes = np.bincount(docs_of, minlength=len(table))
-        alone = np.bincount(docs_of[df == 1], minlength=len(table))
+        sizes = np.bincount(docs_of, minlength=len(rows))
+        alone = np.bincount(docs_of[df == 1], minlength=len(rows))
         ends = np.cumsum(sizes)
-        match, prefix, shared = [1] * len(table), [None] * len(table), [None] * len(table)
+        match, prefix, shared = [1] * len(rows), [None] * len(rows), [None] * len(rows)
         room = sizes - -(-percent * sizes // 100) + 1
         for i in np.flatnonzero((sizes > 0) & (alone < room)).tolist():
             mine = slice(ends[i] - sizes[i], ends[i])
@@ -142,13 +144,13 @@ def profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int, bloc
             match[i], length = choose_prefix(f[order], percent)
             prefix[i] = k[order[alone[i] : length]].view(np.int64)
             shared[i] = k[f > 1].view(np.int64)
-        del keys, docs_of, inverse, df
+        del keys, docs_of, inverse, df, texts
         release()
-        return pa.table([table["row"].combine_chunks(), pa.array(sizes, pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, made.field(3).type), pa.array(shared, made.field(4).type)], schema=made)
+        return pa.table([rows, pa.array(sizes, pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, made.field(3).type), pa.array(shared, made.field(4).type)], schema=made)
 
     texts = dealt.groupBy("block")
     asks = texts.cogroup(chosen.groupBy("block")).applyInArrow(request, "block int, bucket int, keys binary, counts binary")
-    back = replies(asks, lambda data: np.frombuffer(data, np.uint32)).withColumn("row", F.lit(None).cast("bigint"))
+    back = replies(asks, np.uint32).withColumn("row", F.lit(None).cast("bigint"))
     back = back.unionByName(chosen.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("totals"), "row"))
     return texts.cogroup(back.groupBy("block")).applyInArrow(resolve, "row bigint, n_shingles bigint, match int, prefix array<bigint>, shared array<bigint>")
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, bucket_edges, by_bucket, measure, pack_sorted, replies, unpack_sorted, unpack_totals
+from .blocks import block_count, bucket_edges, by_bucket, deal, dealt_rows, measure, replies, unpack_totals
 from .text import ngram_hashes, release, word_hashes
 
 
@@ -47,15 +47,15 @@ def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n_bytes, n_words = measure(texts.select("text"))
     blocks = block_count(n_bytes, block_bytes)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    dealt = deal(texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")))
 
     def request(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        words, place, _ = _words(table["text"])
+        words, place, _ = _words(dealt_rows(table)[1])
         rows = []
         for n in range(1, order + 1):
             keys, counts = np.unique(_grams(words, place, n)[1], return_counts=True)
-            for bucket, k, c in by_bucket(bucket_edges(keys, blocks), keys, counts, pack_sorted):
+            for bucket, k, c in by_bucket(bucket_edges(keys, blocks), keys, counts):
                 rows.append((block, n, bucket, k, c))
         del words, place, keys, counts
         release()
@@ -64,7 +64,8 @@ def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float
     asked = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        words, place, rows = _words(table["text"])
+        ids, texts = dealt_rows(table)
+        words, place, rows = _words(texts)
         score = np.zeros(len(place))
         used = np.zeros(len(place), np.int64)
         shorter = None
@@ -88,12 +89,12 @@ def score_documents(docs: DataFrame, *, order: int, min_count: int, alpha: float
         sums = np.zeros(len(rows) - 1)
         if len(full):
             sums[full] = np.add.reduceat(logs, rows[full])
-        del counts, shorter, score, used, words, place, logs
+        del counts, shorter, score, used, words, place, logs, texts
         release()
-        return pa.table({"id": table["id"], "n_words": np.diff(rows), "n_backoff": add((missed > 0).astype(np.int64)), "log_score": sums})
+        return pa.table({"id": ids, "n_words": np.diff(rows), "n_backoff": add((missed > 0).astype(np.int64)), "log_score": sums})
 
     asks = dealt.groupBy("block").applyInArrow(request, "block int, n int, bucket int, keys binary, counts binary")
-    answers = replies(asks, lambda data: unpack_sorted(data, np.uint64), ("n",))
+    answers = replies(asks, np.uint64, ("n",))
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"id {kind}, n_words bigint, n_backoff bigint, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))

@@ -11,9 +11,7 @@ from seriesmill.session import importable
 
 from . import embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, token_counts, toxicity
 
-#: Bigrams, as in the query's SQL; the README has the figures of both orders.
-LM = {"order": 2, "min_count": 2, "alpha": 0.4, "block_bytes": 8 << 20}
-LM_TRIGRAMS = LM | {"order": 3}
+LM = {"order": 3, "min_count": 2, "alpha": 0.4, "block_bytes": 8 << 20}
 NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
 JACCARD = {"width": 4, "percent": 85, "block_bytes": 8 << 20}
 #: What the pipeline calls near duplicates.
@@ -54,11 +52,6 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
-def op1_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_scoring.score_documents(_read(spark, sf_dir, "documents"), **LM_TRIGRAMS)
-    return out.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
-
-
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"), **NEAR)
 
@@ -126,12 +119,17 @@ _COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM lin
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express: the others rest on seeded or 64-bit hashes,
     dynamic programming, a tokenizer library or a trained model, and are tested by brute force."""
+    often = f">= {LM['min_count']}"
     lm = f"""WITH d AS ({_WORDS}), w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
-        p AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
-        c1 AS (SELECT w, count(*) AS n FROM w GROUP BY 1), c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY 1, 2), t AS (SELECT count(*) AS n FROM w),
-        s AS (SELECT p.doc_id, p.v IS NOT NULL AND coalesce(c2.n, 0) < {LM["min_count"]} AS backoff,
-            CASE WHEN c2.n >= {LM["min_count"]} THEN ln(c2.n::DOUBLE / h.n) WHEN p.v IS NULL THEN ln(c1.n::DOUBLE / t.n) ELSE ln({LM["alpha"]} * c1.n::DOUBLE / t.n) END AS score
-            FROM p JOIN c1 ON c1.w = p.w LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c1 h ON h.w = p.v CROSS JOIN t)
+        p AS (SELECT doc_id, w, lag(w) OVER doc AS v, lag(w, 2) OVER doc AS u FROM w WINDOW doc AS (PARTITION BY doc_id ORDER BY i)),
+        c1 AS (SELECT w, count(*) AS n FROM w GROUP BY 1), t AS (SELECT count(*) AS n FROM w),
+        c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY 1, 2), c3 AS (SELECT u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY 1, 2, 3),
+        s AS (SELECT p.doc_id, CASE WHEN p.u IS NOT NULL THEN coalesce(c3.n, 0) ELSE coalesce(c2.n, 2) END < {LM["min_count"]} AS backoff,
+            CASE WHEN c3.n {often} THEN ln(c3.n::DOUBLE / h2.n)
+            WHEN c2.n {often} THEN ln(c2.n::DOUBLE / h1.n) + CASE WHEN p.u IS NULL THEN 0 ELSE ln({LM["alpha"]}) END
+            ELSE ln(c1.n::DOUBLE / t.n) + (CASE WHEN p.u IS NOT NULL THEN 2 WHEN p.v IS NOT NULL THEN 1 ELSE 0 END) * ln({LM["alpha"]}) END AS score
+            FROM p JOIN c1 ON c1.w = p.w LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w
+            LEFT JOIN c1 h1 ON h1.w = p.v LEFT JOIN c2 h2 ON h2.v = p.u AND h2.w = p.v CROSS JOIN t)
         SELECT d.doc_id, CAST(count(s.score) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE s.backoff) AS BIGINT) AS n_backoff,
         round(coalesce(sum(s.score), 0), 6) AS log_score, round(sum(s.score) / count(s.score), 6) AS mean_log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1"""
     near = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ids AS (SELECT id FROM v),

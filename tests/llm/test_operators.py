@@ -80,25 +80,18 @@ def lm_brute(texts, order, min_count, alpha):
     return out
 
 
-@pytest.mark.parametrize("order, block_bytes", [(1, 1 << 30), (2, 20_000), (3, 50_000)])
-def test_lm_scores(docs, rows, order, block_bytes):
-    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, order=order, min_count=2, alpha=0.4, block_bytes=block_bytes).collect()}
-    for r, (n, back, score) in zip(rows, lm_brute([r.text for r in rows], order, 2, 0.4), strict=True):
+@pytest.mark.parametrize("order, min_count, block_bytes", [(1, 2, 1 << 30), (2, 1, 20_000), (2, 2, 20_000), (3, 2, 50_000), (4, 3, 1 << 30)])
+def test_lm_scores(docs, rows, order, min_count, block_bytes):
+    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, order=order, min_count=min_count, alpha=0.4, block_bytes=block_bytes).collect()}
+    for r, (n, back, score) in zip(rows, lm_brute([r.text for r in rows], order, min_count, 0.4), strict=True):
         g = got[r.doc_id]
         assert (g.n_words, g.n_backoff) == (n, back) and math.isclose(g.log_score, score, rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_lm_awkward(awkward, empty):
-    got = lm_scoring.score_documents(awkward, order=2, min_count=2, alpha=0.4, block_bytes=1000).collect()
+    got = lm_scoring.score_documents(awkward, order=3, min_count=2, alpha=0.4, block_bytes=1000).collect()
     assert len(got) == len(AWKWARD) and sum(r.n_words == 0 and r.mean_log_score is None and r.log_score == 0 for r in got) == 4
-    assert lm_scoring.score_documents(empty, order=2, min_count=2, alpha=0.4, block_bytes=1000).count() == 0
-
-
-def test_lm_trigram_query(spark):
-    two = {r.doc_id: r for r in queries.op1_lm_scoring(spark, SF).collect()}
-    three = {r.doc_id: r for r in queries.op1_lm_scoring_trigrams(spark, SF).collect()}
-    assert two.keys() == three.keys() and all(two[i].n_words == three[i].n_words and two[i].n_backoff <= three[i].n_backoff for i in two)
-    assert any(two[i].log_score != three[i].log_score for i in two)
+    assert lm_scoring.score_documents(empty, order=3, min_count=2, alpha=0.4, block_bytes=1000).count() == 0
 
 
 # 2: embeddings

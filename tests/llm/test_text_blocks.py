@@ -40,6 +40,8 @@ def test_hash_does_not_depend_on_place():
 def test_packing_and_buckets(numbers, buckets):
     keys = np.array(sorted(set(numbers)), np.uint64)
     assert blocks.unpack_sorted(blocks.pack_sorted(keys), np.uint64).tolist() == keys.tolist()
+    short = blocks.fingerprints(keys, buckets)
+    assert blocks.unpack_sorted(blocks.pack_sorted(short), np.uint32).tolist() == short.tolist()
     edges = blocks.bucket_edges(keys, buckets)
     assert edges[0] == 0 and edges[-1] == len(keys) and (np.diff(edges) >= 0).all() and len(edges) == buckets + 1
 
