@@ -21,6 +21,8 @@ from .text import MULTIPLIERS, mix, span_hashes, string_bytes, word_bounds
 #: Lengths of word beginnings in bytes; 0 is the whole word.
 LENGTHS = (4, 5, 6, 7, 8, 10, 0)
 GRADES = 4
+#: Thresholds of a model without features: every text has grade 0.
+NEVER = np.array([40.0, 41.0, 42.0])
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
@@ -135,7 +137,8 @@ def train(texts: pa.ChunkedArray | pa.Array, toxic: np.ndarray, *, max_features:
     Features are kept by their chi-squared statistic against the label, if
     ``min_docs`` toxic texts have them and their share of toxic texts is ``least_ratio``
     times that of others; cue features for grading are those that are
-    eight times as frequent in toxic texts as in others.
+    eight times as frequent in toxic texts as in others.  Where no feature is kept, nothing tells
+    texts apart, and the model has every text at grade 0.
     """
     toxic = np.asarray(toxic, bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
@@ -165,7 +168,7 @@ def train(texts: pa.ChunkedArray | pa.Array, toxic: np.ndarray, *, max_features:
     ranked = np.lexsort((keys, -np.where(more, chi, 0)))
     chosen = np.sort(ranked[more[ranked]][:max_features])
     cue = in_toxic[chosen] * max(n0, 1) >= 8 * (in_clean[chosen] + 0.5) * max(n1, 1)
-    model = Model(keys[chosen], np.zeros(3 * len(chosen)), np.arange(1.0, GRADES))
+    model = Model(keys[chosen], np.zeros(3 * len(chosen)), NEVER)
     entries, rates = [], np.zeros(len(texts))
     for lo in spans:
         part = texts.slice(lo, batch)
