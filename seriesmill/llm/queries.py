@@ -16,7 +16,7 @@ NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
 JACCARD = {"width": 4, "percent": 85, "block_bytes": 8 << 20}
 #: What the pipeline calls near duplicates.
 NEAR_STAGE = {"width": 5, "percent": 80, "block_bytes": 8 << 20}
-QUALITY = {"buckets": 30_000, "smoothing": 1.0, "threshold": -0.11, "noise": 0.4}
+QUALITY = {"buckets": 30_000, "prior": 100_000, "threshold": -0.11}
 MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2, "seed": 20240229}
 PIECE_MODEL, PIECE_THREADS = "piece_bpe_32k.model", 2
 LICENSE_DICE = 0.8
@@ -63,7 +63,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(_read(spark, sf_dir, "documents"), trusted(spark, sf_dir), **QUALITY)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

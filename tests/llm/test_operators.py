@@ -213,14 +213,14 @@ def measures(r):
 def test_quality(spark, docs, rows):
     got = {r.doc_id: r for r in queries.op4_quality_rules(spark, SF).collect()}
     assert all(measures(got[r.doc_id]) == quality_brute(r.text) for r in rows)
-    assert all(r.kept == (not r.base_failed and r.score >= r.threshold) for r in got.values())
+    assert all(r.kept == (not r.base_failed and r.score >= queries.QUALITY["threshold"]) for r in got.values())
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.none() | st.text(st.sampled_from("ab #|\n\t\x0b\x1cé<"), max_size=60), min_size=1, max_size=40))
 def test_quality_measures(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r for r in quality.quality(df, df.limit(0), buckets=16, smoothing=1.0, threshold=-1.0).collect()}
+    got = {r.doc_id: r for r in quality.quality(df, df.limit(0), buckets=16, prior=1.0, threshold=-1.0).collect()}
     assert all(measures(got[i]) == quality_brute(t) for i, t in enumerate(texts))
 
 
@@ -234,14 +234,17 @@ def test_quality_score(spark):
         pairs = [spark.sql(f"select xxhash64({a}L, {b}L)").first()[0] for a, b in zip(h, h[1:], strict=False)]
         grams.append([x % 32 for x in h + pairs])
     raw, good = Counter(sum(grams, [])), Counter(grams[0] + grams[1])
-    ratio = [math.log((good[b] + 1) / (sum(good.values()) + 32)) - math.log((raw[b] + 1) / (sum(raw.values()) + 32)) for b in range(32)]
-    got = {r.doc_id: r.score for r in quality.quality(df, df.where("doc_id < 2"), buckets=32, smoothing=1.0, threshold=0.0).collect()}
+    share = {b: n / sum(raw.values()) for b, n in raw.items()}
+    ratio = {b: math.log((good[b] + 5 * p) / (sum(good.values()) + 5) / p) for b, p in share.items()}
+    got = {r.doc_id: r.score for r in quality.quality(df, df.where("doc_id < 2"), buckets=32, prior=5.0, threshold=0.0).collect()}
     assert all(math.isclose(got[i], sum(ratio[b] for b in g) / len(g), abs_tol=1e-12) for i, g in enumerate(grams))
     assert got[2] < min(got[0], got[1])
+    flat = quality.quality(df, df.limit(0), buckets=32, prior=5.0, threshold=0.0).collect()
+    assert all(abs(r.score) < 1e-12 for r in flat)
 
 
-def test_quality_separates_labelled_documents(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_quality_separates_labelled_documents(spark, sf):
     got = queries.op4_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
     kept = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert kept[1] > 0.995 and kept[0] < 0.1
@@ -433,7 +436,10 @@ def test_toxicity_query_and_awkward(spark, awkward, empty):
     import pyarrow as pa
 
     model = toxicity.train(pa.array([], pa.string()), np.empty(0), max_features=10)
-    assert toxicity.score_toxicity(awkward, model).count() == len(AWKWARD) and toxicity.score_toxicity(empty, model).count() == 0
+    clean = toxicity.score_toxicity(awkward, model, toxic_at=queries.TOXICITY["toxic_at"]).collect()
+    assert len(clean) == len(AWKWARD) and not any(r.toxic or r.grade or r.expected_severity > 1e-9 for r in clean) and toxicity.score_toxicity(empty, model).count() == 0
+    few = toxicity.train(pa.array(["vile", "vile", "kind"] * 2), np.array([1, 1, 0] * 2), max_features=10)
+    assert not len(few.keys) and few.over(pa.array(["vile", "", None])).max() < 1e-9
     bounded = toxicity.training_rows(awkward, spark.createDataFrame([(9, 1), (9, 0), (None, 1), (4, None), (5, 0)], "doc_id bigint, toxic int"), 2, 1, "doc_id", "text", "toxic")
     assert len(bounded) == 2
 
