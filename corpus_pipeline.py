@@ -22,15 +22,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id.
+    """One document of each group of near duplicates: the one of least id, null ids last.
 
-    Of rows that repeat an id one stays; documents without an id all stay, as
-    nothing tells which of them are meant.
+    A row is known by its id and text: rows alike in both are one document, and rows that
+    share an id only are not.
     """
-    groups = jaccard_join.jaccard_join(docs, **queries.NEAR_STAGE)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text")).alias("_key")
+    docs = docs.select(*COLUMNS, key)
+    groups = jaccard_join.jaccard_join(docs, id_col="_key", **queries.NEAR_STAGE)
+    first = groups.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
+    return docs.join(first.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

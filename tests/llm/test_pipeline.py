@@ -59,3 +59,12 @@ def test_awkward_documents(spark):
     assert out.count() == docs.count()
     for _, f in p.STAGES:
         f(spark, spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint"), SF).count()
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Rows are told apart by id and text; a group keeps its least id, null ids last."""
+    a, b, c, d = ("some words of text number %s that go on for a while here" % x * 3 for x in "abcd")
+    rows = [(1, a), (1, b), (2, b), (None, b), (None, c), (None, c), (3, a + " x"), (1, a), (None, d), (4, d), (5, None), (None, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(1).cast("bigint")})
+    got = p.near_duplicate_stage(spark, docs.repartition(3), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (1, b), (None, c), (4, d), (5, None), (None, ""), (6, "")], key=str)
