@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.functions import numbers, trace_ids
-from seriesmill.functions.labels import LabelDomain, from_pairs, label_map, prometheus_labels, series_key
+from seriesmill.functions.labels import LabelDomain, from_pairs, label_map, prometheus_labels, series_key, snake_case_column
 from seriesmill.operators import aggregate, cardinality, exposition, otel, run_stats, sampling, spans, temporality
 from seriesmill.plans.metric_set import MetricSet, MetricSpec
 from seriesmill.session import configure
@@ -65,6 +65,9 @@ class Tables:
 
 # Aggregations
 
+_DAY = "strftime(ts, '%Y-%m-%d')"
+_DOMAIN = "d AS (SELECT CAST(i AS INTEGER) AS idx, event_type FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(TYPES.values)) + ") AS x(i, event_type))"
+
 
 @query('SELECT CAST(count(*) AS BIGINT) AS "sum" FROM events')
 def counter_sum(t: Tables) -> DataFrame:
@@ -77,8 +80,7 @@ def counter_swap_by_day(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH d(idx, event_type) AS (VALUES (0,'view'),(1,'click'),(2,'signup'),(3,'purchase'),(4,'refund'),(5,'error'))
-    SELECT CAST(d.idx AS INTEGER) AS idx, d.event_type, CAST(count(e.event_id) AS BIGINT) AS "sum"
+    f"""WITH {_DOMAIN} SELECT d.idx, d.event_type, CAST(count(e.event_id) AS BIGINT) AS "sum"
     FROM d LEFT JOIN events e ON e.event_type = d.event_type GROUP BY 1, 2"""
 )
 def labeled_counter_complete(t: Tables) -> DataFrame:
@@ -86,11 +88,34 @@ def labeled_counter_complete(t: Tables) -> DataFrame:
     return aggregate.complete(sums, TYPES, "event_type", {"sum": F.lit(0).cast("bigint")})
 
 
+@query(
+    f"""WITH {_DOMAIN}, w AS (SELECT DISTINCT {_DAY} AS "window" FROM events), e AS (SELECT event_id, event_type, {_DAY} AS "window" FROM events WHERE event_id % 50 = 0)
+    SELECT w."window", d.idx, d.event_type, CAST(count(e.event_id) AS BIGINT) AS "sum" FROM w CROSS JOIN d LEFT JOIN e ON e.event_type = d.event_type AND e."window" = w."window"
+    WHERE w."window" IN (SELECT "window" FROM e) GROUP BY 1, 2, 3"""
+)
+def labeled_counter_swap(t: Tables) -> DataFrame:
+    sums = aggregate.counter_swap(t.whole().where("event_id % 50 = 0"), F.col("day"), ["event_type"], "one")
+    return aggregate.complete(sums, TYPES, "event_type", {"sum": F.lit(0).cast("bigint")}, ["window"])
+
+
+@query("SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS kind, CAST(count(*) AS BIGINT) AS \"sum\" FROM events GROUP BY 1")
+def labeled_counter_last_variant(t: Tables) -> DataFrame:
+    """Values outside a domain count as its last member."""
+    rows = aggregate.into_domain(t.whole().withColumn("kind", F.col("event_type")), LabelDomain("kind", ("view", "click", "other")), "kind")
+    return aggregate.counter_sum(rows, ["kind"], "one")
+
+
 @query("SELECT event_type, arg_max(value, (ts, event_id)) AS \"value\" FROM events GROUP BY 1")
 def gauge_last(t: Tables) -> DataFrame:
     return aggregate.gauge_last(t.events, ["event_type"], "value", ("ts", "event_id"), 0.0)
 
 
+@query(f"WITH {_DOMAIN} SELECT d.idx, d.event_type, coalesce(arg_max(e.value, (e.ts, e.event_id)), 0.0) AS \"value\" FROM d LEFT JOIN events e ON e.event_type = d.event_type AND e.user_id = 3 GROUP BY 1, 2")
+def labeled_gauge_complete(t: Tables) -> DataFrame:
+    last = aggregate.gauge_last(t.events.where("user_id = 3"), ["event_type"], "value", ("ts", "event_id"), 0.0)
+    return aggregate.complete(last, TYPES, "event_type", {"value": F.lit(0.0)})
+
+
 _FOLD = """WITH e AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS v, event_id % 7 = 0 AS is_set FROM events),
     s AS (SELECT *, max(CASE WHEN is_set THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS last_set FROM e)
     SELECT user_id, CAST(sum(CASE WHEN last_set IS NULL OR (ts, event_id) >= last_set THEN v ELSE 0 END) AS BIGINT) AS "value" FROM s GROUP BY 1"""
@@ -144,6 +169,31 @@ def histogram_per_bucket(t: Tables) -> DataFrame:
     return hist.withColumn("counts", F.array_join(F.transform(back, lambda x: x.cast("string")), ","))
 
 
+def _text(counts: str):
+    return F.array_join(F.transform(counts, lambda x: x.cast("string")), ",").alias(counts)
+
+
+@query(
+    f"""WITH {_DOMAIN}, h AS (SELECT event_type, {_BUCKETS} AS counts, {_TOTALS} FROM events WHERE user_id = 3 GROUP BY 1)
+    SELECT d.idx, d.event_type, coalesce(h.counts, '0,0,0,0,0') AS counts, coalesce(h."count", 0) AS "count", coalesce(h."sum", 0) AS "sum" FROM d LEFT JOIN h ON h.event_type = d.event_type"""
+)
+def labeled_histogram_complete(t: Tables) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    hist = aggregate.histogram(t.whole().where("user_id = 3"), BOUNDS, ["event_type"], "v")
+    out = aggregate.complete(hist, TYPES, "event_type", {"counts": F.array(*[zero] * (len(BOUNDS) + 1)), "count": zero, "sum": zero})
+    return out.withColumn("counts", _text("counts"))
+
+
+_US = [None, *numbers.LATENCY_BOUNDS_US, None]
+_LATENCY = ", ".join(f"count(*) FILTER (WHERE {' AND '.join(filter(None, [a and f'v > {a}', b and f'v <= {b}']))})" for a, b in zip(_US, _US[1:], strict=False))
+
+
+@query(f"SELECT l_returnflag, concat_ws(',', {_LATENCY}) AS counts, CAST(count(*) AS BIGINT) AS \"count\", CAST(sum(v) AS BIGINT) AS \"sum\" FROM (SELECT l_returnflag, CAST(floor(l_extendedprice * l_quantity) AS BIGINT) AS v FROM lineitem) GROUP BY 1")
+def histogram_latency_bounds(t: Tables) -> DataFrame:
+    rows = t.lineitem.withColumn("v", F.floor(F.col("l_extendedprice") * F.col("l_quantity")).cast("bigint"))
+    return aggregate.histogram(rows, numbers.LATENCY_BOUNDS_US, ["l_returnflag"], "v").withColumn("counts", _text("counts"))
+
+
 _V = "CAST(floor(value) AS BIGINT)"
 _BUCKET = f"(length(bin({_V})) - 1)"
 
@@ -178,6 +228,25 @@ def exp_histogram_compact(t: Tables) -> DataFrame:
     return exp.select("event_type", F.col("c.offset").alias("offset"), F.array_join(F.transform("c.counts", lambda x: x.cast("string")), ",").alias("counts"))
 
 
+@query("""WITH b AS (SELECT CAST(range AS INTEGER) AS b FROM range(63)), v AS (SELECT (1::BIGINT << b) + unnest([-1, 0, 1]) AS v FROM b), x AS (SELECT DISTINCT v, CAST(length(bin(v)) - 1 AS INTEGER) AS bucket FROM v WHERE v > 0)
+    SELECT v, bucket, CAST(CASE WHEN bucket = 0 THEN 1 ELSE 3 * pow(2, bucket - 1)::HUGEINT END AS BIGINT) AS midpoint, 1::BIGINT << bucket AS low,
+    CASE WHEN bucket = 62 THEN 9223372036854775807 ELSE (1::BIGINT << (bucket + 1)) - 1 END AS high FROM x""")
+def exp_bucket_bounds(t: Tables) -> DataFrame:
+    """Either side of every power of two."""
+    v = t.spark.range(63).select(F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: numbers.bucket_low(F.col("id")) + x)).alias("v"))
+    v = v.where("v > 0").distinct().withColumn("bucket", numbers.bucket_index(F.col("v")))
+    b = F.col("bucket")
+    return v.select("v", "bucket", numbers.bucket_midpoint(b).alias("midpoint"), numbers.bucket_low(b).alias("low"), numbers.bucket_high(b).alias("high"))
+
+
+@query("SELECT l_orderkey, CAST(sum(greatest(date_diff('day', o_orderdate, l_shipdate), 0)) * 86400000000000 AS BIGINT) AS nanos FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def timer_guard_elapsed(t: Tables) -> DataFrame:
+    """Guards that start at the order and finish at the shipment; 0 if that came first."""
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.groupBy("l_orderkey").agg(F.sum(aggregate.elapsed_nanos(at("o_orderdate"), at("l_shipdate"))).alias("nanos"))
+
+
 _TIMER = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
     SELECT event_type, CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE rn % 8 = 0) AS BIGINT) AS sample_count,
     CAST(coalesce(sum(CAST(floor(value) AS BIGINT)) FILTER (WHERE rn % 8 = 0), 0) AS BIGINT) AS sample_sum,
@@ -190,6 +259,15 @@ def timer_stride_8(t: Tables) -> DataFrame:
     return aggregate.timer(rows, BOUNDS, ["event_type"], "v").drop("counts")
 
 
+@query(f"""WITH {_DOMAIN}, x AS ({_TIMER}) SELECT d.idx, d.event_type, coalesce(x.calls, 0) AS calls, coalesce(x.sample_count, 0) AS sample_count, coalesce(x.sample_sum, 0) AS sample_sum, x.sample_avg
+    FROM d LEFT JOIN x ON x.event_type = d.event_type""")
+def labeled_timer_complete(t: Tables) -> DataFrame:
+    rows = sampling.stride_sample(t.whole(), 8, "user_id", ("ts", "event_id"))
+    zero = F.lit(0).cast("bigint")
+    timers = aggregate.timer(rows, BOUNDS, ["event_type"], "v").drop("counts")
+    return aggregate.complete(timers, TYPES, "event_type", {"calls": zero, "sample_count": zero, "sample_sum": zero})
+
+
 # Label sets, caps, eviction
 
 _LABELS = "concat('event_type=\"', event_type, '\",user_id=\"', user_id, '\"')"
@@ -201,6 +279,37 @@ def dynamic_counter_series(t: Tables) -> DataFrame:
     return series.select(prometheus_labels(F.col("labels")).alias("labels"), "sum")
 
 
+@query(f'SELECT {_LABELS} AS labels, arg_max(value, (ts, event_id)) AS "value" FROM events GROUP BY 1')
+def dynamic_gauge_series(t: Tables) -> DataFrame:
+    series = aggregate.snapshot(t.obs(op="set"), aggregate.gauge_last, initial=0.0)
+    return series.select(prometheus_labels(F.col("labels")).alias("labels"), "value")
+
+
+@query(f"""WITH e AS (SELECT {_LABELS} AS labels, event_id, ts, {_V} AS v, event_id % 7 = 0 AS is_set FROM events), s AS (SELECT *, max(CASE WHEN is_set THEN (ts, event_id) END) OVER (PARTITION BY labels) AS last_set FROM e)
+    SELECT labels, CAST(sum(CASE WHEN last_set IS NULL OR (ts, event_id) >= last_set THEN v ELSE 0 END) AS BIGINT) AS "value" FROM s GROUP BY 1""")
+def dynamic_gauge_i64_series(t: Tables) -> DataFrame:
+    rows = t.obs(value="v").withColumn("op", F.when(F.col("seq") % 7 == 0, "set").otherwise("add"))
+    return aggregate.snapshot(rows, aggregate.set_add_fold).select(prometheus_labels(F.col("labels")).alias("labels"), "value")
+
+
+@query(f"SELECT {_LABELS} AS labels, {_BUCKETS} AS counts, {_TOTALS} FROM events GROUP BY 1")
+def dynamic_histogram_series(t: Tables) -> DataFrame:
+    series = aggregate.snapshot(t.obs(value="v"), aggregate.histogram, bounds=BOUNDS)
+    return series.select(prometheus_labels(F.col("labels")).alias("labels"), _text("counts"), "count", "sum")
+
+
+@query(_EXP_STATS.replace("SELECT event_type", f"SELECT {_LABELS} AS labels"))
+def dynamic_distribution_series(t: Tables) -> DataFrame:
+    series = aggregate.exponential_stats(aggregate.snapshot(t.obs(value="v"), aggregate.exponential_histogram))
+    return series.select(prometheus_labels(F.col("labels")).alias("labels"), *[c for c in series.columns if c not in ("labels", "positive")])
+
+
+@query("SELECT event_type, lower(x[1] || regexp_replace(x[2:], '([A-Z])', '_\\1', 'g')) AS label, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type, upper(event_type[1]) || event_type[2:] || 'OnDay' || day(ts) || 'AM' AS x FROM events) GROUP BY 1, 2")
+def enum_labels(t: Tables) -> DataFrame:
+    name = F.concat(F.initcap("event_type"), F.lit("OnDay"), F.dayofmonth("ts").cast("string"), F.lit("AM"))
+    return t.events.groupBy("event_type", snake_case_column(name).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query('SELECT CAST(count(*) AS BIGINT) AS "sum" FROM events WHERE event_type = \'click\' AND user_id = 3')
 def dynamic_point_lookup(t: Tables) -> DataFrame:
     series = aggregate.snapshot(t.obs(), aggregate.counter_sum)
@@ -240,6 +349,12 @@ def overflow_stats(t: Tables) -> DataFrame:
     return cardinality.overflow_stats(t.obs(), CAP).drop("metric")
 
 
+@query(f"""{_FIRST} SELECT 'events' AS metric, CAST(sum(n) FILTER (WHERE rn > {CAP}) AS BIGINT) AS overflow_records, CAST(count(*) FILTER (WHERE rn > {CAP}) AS BIGINT) AS overflow_series,
+    CAST({CAP} + 1 AS BIGINT) AS cardinality FROM r HAVING count(*) > {CAP}""")
+def overflow_warnings(t: Tables) -> DataFrame:
+    return SHOP.overflow_warnings(t.obs())
+
+
 _GENERATIONS = f"""WITH c AS (SELECT user_id, event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, count(*) AS n FROM events GROUP BY 1, 2, 3),
     g AS (SELECT *, CASE WHEN h - lag(h) OVER w > {IDLE_HOURS} THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY user_id, event_type ORDER BY h)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY h) AS generation FROM g),
@@ -301,6 +416,45 @@ def delta_buckets(t: Tables) -> DataFrame:
     return temporality.bucket_deltas(grown, ["event_type"], "day")
 
 
+def _daily(series: DataFrame, values: list[str], by: list[str], policy: str) -> DataFrame:
+    """Values by day as running totals, and their deltas: each day's own values again."""
+    totals = series
+    for v in values:
+        totals = aggregate.running(totals, v, by, "day", v + "_total")
+    names = [v + "_total" for v in values]
+    out = temporality.delta(totals.select(*by, "day", *names), names, policy, by, "day")
+    return out.select(*by, "day", *[F.col(n + "_delta").alias(v) for v, n in zip(values, names, strict=True)])
+
+
+@query(f"""WITH {_DOMAIN}, w AS (SELECT DISTINCT {_DAY} AS day FROM events)
+    SELECT d.event_type, w.day, CAST(count(e.event_id) AS BIGINT) AS "sum" FROM w CROSS JOIN d LEFT JOIN events e ON e.event_type = d.event_type AND strftime(e.ts, '%Y-%m-%d') = w.day GROUP BY 1, 2""")
+def delta_labeled_counter(t: Tables) -> DataFrame:
+    sums = aggregate.counter_sum(t.whole(), ["day", "event_type"], "one")
+    members = aggregate.complete(sums, TYPES, "event_type", {"sum": F.lit(0).cast("bigint")}, ["day"]).drop("idx")
+    return _daily(members, ["sum"], ["event_type"], temporality.SIGNED)
+
+
+@query(f"SELECT user_id, event_type, {_DAY} AS day, {_TOTALS} FROM events GROUP BY 1, 2, 3")
+def delta_histogram_series(t: Tables) -> DataFrame:
+    hist = aggregate.histogram(t.whole(), BOUNDS, ["user_id", "event_type", "day"], "v")
+    return _daily(hist, ["count", "sum"], ["user_id", "event_type"], temporality.RESET)
+
+
+_TIMER_DAYS = _TIMER.replace("SELECT event_type,", f"SELECT event_type, {_DAY} AS day,").replace("GROUP BY 1", "GROUP BY 1, 2")
+
+
+@query(f"SELECT event_type, day, calls, sample_count, sample_sum FROM ({_TIMER_DAYS})")
+def delta_timer(t: Tables) -> DataFrame:
+    rows = sampling.stride_sample(t.whole(), 8, "user_id", ("ts", "event_id"))
+    return _daily(aggregate.timer(rows, BOUNDS, ["event_type", "day"], "v"), ["calls", "sample_count", "sample_sum"], ["event_type"], temporality.RESET)
+
+
+@query(f"SELECT event_type, {_DAY} AS day, arg_max(value, (ts, event_id)) AS \"value\" FROM events GROUP BY 1, 2")
+def delta_gauge_is_current(t: Tables) -> DataFrame:
+    last = aggregate.gauge_last(t.whole(), ["event_type", "day"], "value", ("ts", "event_id"), 0.0)
+    return temporality.export(last, "gauge", ["value"], ["event_type"], "day", temporality.DELTA)
+
+
 # Text
 
 _HELP = "SELECT '# HELP {0} {1}' AS line UNION ALL SELECT '# TYPE {0} {2}'"
@@ -390,6 +544,89 @@ def dogstatsd_delta_lines(t: Tables) -> DataFrame:
     return SHOP.export_dogstatsd_delta(rows, "window").select("window", "line")
 
 
+_MIDPOINT = f"CAST(CASE WHEN {_V} = 0 THEN 0 WHEN {_BUCKET} = 0 THEN 1 ELSE 3 * (1 << ({_BUCKET} - 1)) END AS BIGINT)"
+SIZES = MetricSet([MetricSpec("size", "distribution", "Sizes", dynamic=True, max_series=0)], "shop")
+
+
+@query(f"""WITH b AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS "window", user_id, event_type, {_MIDPOINT} AS m, count(*) AS n FROM events GROUP BY 1, 2, 3, 4)
+    SELECT "window", concat('shop.size:', m, '|d', CASE WHEN n > 1 THEN concat('|@', (1.0::DOUBLE / n)::VARCHAR) ELSE '' END, '|#event_type:', event_type, ',user_id:', user_id) AS line FROM b""")
+def dogstatsd_distribution_delta_lines(t: Tables) -> DataFrame:
+    rows = t.obs("size", "record", "v").withColumn("window", cardinality.cycle_of(F.col("ts"), 86400))
+    return SIZES.export_dogstatsd_delta(rows, "window").select("window", "line")
+
+
+#: A metric of each kind that the lines above leave out, fed with the same events.
+KIT = MetricSet(
+    [
+        MetricSpec("high", "max_gauge", initial=480), MetricSpec("high_f", "max_gauge_f64"), MetricSpec("low", "min_gauge", initial=2), MetricSpec("low_f", "min_gauge_f64"), MetricSpec("last", "gauge"),
+        MetricSpec("calls", "timer", bounds=BOUNDS, domain=TYPES, stride=8), MetricSpec("by_type", "gauge", domain=TYPES), MetricSpec("level", "gauge_i64", dynamic=True, max_series=0), MetricSpec("sizes", "histogram", bounds=BOUNDS, dynamic=True, max_series=0),
+    ],
+    "kit",
+)
+_GAUGES = f"""g AS (SELECT greatest(CAST(480 AS BIGINT), max({_V})) AS high, greatest(0.0::DOUBLE, max(value)) AS high_f, least(CAST(2 AS BIGINT), min({_V})) AS low, min(value) AS low_f, arg_max({_V}, (ts, event_id)) AS last FROM events),
+    x AS ({_TIMER}), c AS ({_CUM.replace("FROM events,", "FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn % 8 = 0),")}),
+    t AS (SELECT d.event_type, coalesce(x.calls, 0) AS calls, coalesce(x.sample_count, 0) AS sample_count, coalesce(x.sample_sum, 0) AS sample_sum FROM d LEFT JOIN x ON x.event_type = d.event_type),
+    le AS (SELECT unnest([0, 1, 2, 3, 4]) AS idx, unnest(['10', '50', '100', '500', '+Inf']) AS le),
+    k AS (SELECT d.event_type, coalesce(arg_max({_V}, (e.ts, e.event_id)), 0) AS v FROM d LEFT JOIN events e ON e.event_type = d.event_type GROUP BY 1),
+    l AS ({_FOLD.replace("user_id, event_id, ts, CAST", "user_id, event_type, event_id, ts, CAST").replace("PARTITION BY user_id", "PARTITION BY user_id, event_type").replace("SELECT user_id, CAST(sum", "SELECT user_id, event_type, CAST(sum").replace("FROM s GROUP BY 1", "FROM s GROUP BY 1, 2")}),
+    h AS (SELECT user_id, event_type, {_TOTALS} FROM events GROUP BY 1, 2), hc AS (SELECT user_id, event_type, coalesce(le::VARCHAR, '+Inf') AS le, count(*) FILTER (WHERE le IS NULL OR floor(value) <= le) AS n FROM events, (VALUES (10), (50), (100), (500), (NULL)) AS b(le) GROUP BY 1, 2, 3)"""
+_PAIR = "'event_type=\"' || event_type || '\",user_id=\"' || user_id || '\"'"
+
+
+def _kit(t: Tables) -> DataFrame:
+    """The events once for each metric of the set."""
+    ops = {"calls": "elapsed", "sizes": "record"}
+    parts = [t.obs(s.field, ops.get(s.field, "set" if s.family == "gauge" else "observe"), "v") for s in KIT.specs]
+    parts[7] = parts[7].withColumn("op", F.when(F.col("seq") % 7 == 0, "set").otherwise("add"))
+    return exposition.union(*parts)
+
+
+def _kit_head(name: str, kind: str, help_: str) -> str:
+    return _HELP.format(f"kit_{name}", help_, kind)
+
+
+@query(
+    f"WITH {_DOMAIN}, {_GAUGES} "
+    + " UNION ALL ".join([_kit_head(n, "gauge", n) for n in ("high", "high_f", "low", "low_f", "last", "by_type", "level")] + [f"SELECT concat('kit_{n} ', {n}::VARCHAR) AS line FROM g" for n in ("high", "high_f", "low", "low_f", "last")])
+    + f""" UNION ALL SELECT concat('kit_by_type{{event_type="', event_type, '"}} ', v) FROM k UNION ALL SELECT 'kit_level{{' || {_PAIR} || '}} ' || "value" FROM l
+    UNION ALL {_kit_head("calls_calls", "counter", "calls total calls")} UNION ALL SELECT concat('kit_calls_calls{{event_type="', event_type, '"}} ', calls) FROM t
+    UNION ALL {_kit_head("calls_samples", "histogram", "calls sampled latency in nanoseconds")}
+    UNION ALL SELECT concat('kit_calls_samples_bucket{{event_type="', d.event_type, '",le="', le.le, '"}} ', coalesce(c.cumulative, 0)) FROM d CROSS JOIN le LEFT JOIN c ON c.event_type = d.event_type AND c.idx = le.idx
+    UNION ALL SELECT concat('kit_calls_samples_sum{{event_type="', event_type, '"}} ', sample_sum) FROM t UNION ALL SELECT concat('kit_calls_samples_count{{event_type="', event_type, '"}} ', sample_count) FROM t
+    UNION ALL {_kit_head("sizes", "histogram", "sizes")} UNION ALL SELECT 'kit_sizes_bucket{{' || {_PAIR} || ',le="' || le || '"}} ' || n FROM hc
+    UNION ALL SELECT 'kit_sizes_sum{{' || {_PAIR} || '}} ' || "sum" FROM h UNION ALL SELECT 'kit_sizes_count{{' || {_PAIR} || '}} ' || "count" FROM h""".replace("{{", "{").replace("}}", "}")
+)
+def metric_set_prometheus(t: Tables) -> DataFrame:
+    return KIT.export_prometheus(_kit(t)).select("line")
+
+
+_COMPACT_TEXT = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE {0}::VARCHAR END"
+
+
+@query(
+    f"WITH {_DOMAIN}, {_GAUGES} "
+    + " UNION ALL ".join(f"SELECT concat('kit.{n}:', {_COMPACT_TEXT.format(n)}, '|g') AS line FROM g" for n in ("high", "high_f", "low", "low_f", "last"))
+    + """ UNION ALL SELECT concat('kit.by_type:', v, '|g|#event_type:', event_type) FROM k UNION ALL SELECT concat('kit.level:', "value", '|g|#event_type:', event_type, ',user_id:', user_id) FROM l
+    UNION ALL SELECT concat('kit.calls.calls:', calls, '|c|#event_type:', event_type) FROM t UNION ALL SELECT concat('kit.calls.samples.count:', sample_count, '|c|#event_type:', event_type) FROM t
+    UNION ALL SELECT concat('kit.calls.samples.sum:', sample_sum, '|c|#event_type:', event_type) FROM t UNION ALL SELECT concat('kit.sizes.count:', "count", '|c|#event_type:', event_type, ',user_id:', user_id) FROM h
+    UNION ALL SELECT concat('kit.sizes.sum:', "sum", '|c|#event_type:', event_type, ',user_id:', user_id) FROM h"""
+)
+def metric_set_dogstatsd(t: Tables) -> DataFrame:
+    return KIT.export_dogstatsd(_kit(t)).select("line")
+
+
+@query(f"WITH {_DOMAIN}, {_GAUGES} SELECT 'otel_metrics_gauge' AS \"table\", 5 + (SELECT count(*) FROM k) + (SELECT count(*) FROM l) AS n UNION ALL SELECT 'otel_metrics_sum', (SELECT count(*) FROM t) UNION ALL SELECT 'otel_metrics_histogram', (SELECT count(*) FROM t) + (SELECT count(*) FROM h)")
+def metric_set_table_rows(t: Tables) -> DataFrame:
+    return otel.total_rows(KIT.export_clickhouse(_kit(t), RESOURCE))
+
+
+@query(f"WITH {_DOMAIN}, {_GAUGES} SELECT 'kit_' || unnest(['high', 'high_f', 'low', 'low_f', 'last']) AS \"MetricName\", '' AS attributes, unnest([high::DOUBLE, high_f, low::DOUBLE, low_f, last::DOUBLE]) AS \"Value\" FROM g UNION ALL SELECT 'kit_by_type', 'event_type=' || event_type, v::DOUBLE FROM k UNION ALL SELECT 'kit_level', 'event_type=' || event_type || ',user_id=' || user_id, \"value\"::DOUBLE FROM l")
+def metric_set_otlp_gauges(t: Tables) -> DataFrame:
+    """The set as OTLP JSON, read back as rows of the gauge table."""
+    back = otel.rows_from_otlp(KIT.export_otlp(_kit(t), RESOURCE), RESOURCE)[otel.GAUGE]
+    return _flat(back, "Value").select("MetricName", "attributes", "Value")
+
+
 # OpenTelemetry rows
 
 _OTEL = "'env=test,service.name=shop' AS resource, 'shop' AS \"ServiceName\", CAST(1700000000000000000 AS BIGINT) AS \"TimeUnixNano\", concat('event_type=', event_type) AS attributes"
@@ -430,6 +667,29 @@ def otlp_json_round_trip(t: Tables) -> DataFrame:
     return _flat(otel.rows_from_otlp(json, RESOURCE)[otel.HISTOGRAM], "Count", "Sum", "BucketCounts", "ExplicitBounds")
 
 
+@query(f"WITH x AS ({_TIMER}) SELECT {_OTEL}, 'call_calls' AS \"MetricName\", calls::DOUBLE AS \"Value\" FROM x UNION ALL SELECT {_OTEL}, 'call_samples', sample_sum::DOUBLE FROM x")
+def otel_timer_rows(t: Tables) -> DataFrame:
+    """The calls' values and the samples' sums."""
+    rows = sampling.stride_sample(t.whole(), 8, "user_id", ("ts", "event_id"))
+    series = aggregate.timer(rows, BOUNDS, ["event_type"], "v").withColumn("labels", otel.label_attributes("event_type"))
+    calls, samples = otel.timer_rows(series, RESOURCE, "call", BOUNDS, labels="labels")
+    return _flat(calls, "Value").unionByName(_flat(samples, "Sum").withColumnRenamed("Sum", "Value"))
+
+
+@query("""SELECT event_id, concat('flag=', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',type=', event_type, ',user=', user_id, ',value=', CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE value::VARCHAR END) AS attributes,
+    CASE WHEN event_id % 3 = 0 THEN user_id::DOUBLE WHEN event_id % 3 = 1 THEN value ELSE 0.0 END AS number FROM events""")
+def otlp_attributes(t: Tables) -> DataFrame:
+    """Typed attributes as strings: the last of a repeated key stays, what is no scalar goes."""
+    kinds = {"stringValue": "string", "intValue": "string", "doubleValue": "double", "boolValue": "boolean"}
+    value = lambda **kw: F.struct(*[kw.get(k, F.lit(None)).cast(v).alias(k) for k, v in kinds.items()])
+    attribute = lambda k, **kw: F.struct(F.lit(k).alias("key"), value(**kw).alias("value"))
+    pairs = F.array(attribute("user", stringValue=F.lit("old")), attribute("type", stringValue=F.col("event_type")), attribute("value", doubleValue=F.col("value")), attribute("flag", boolValue=F.col("event_id") % 2 == 0), attribute("user", intValue=F.col("user_id")), attribute("list"))
+    text = F.array_join(F.transform(series_key(otel.attrs_to_map(pairs)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    third = F.col("event_id") % 3
+    number = numbers.number_value(F.when(third == 0, F.col("user_id")), F.when(third == 1, F.col("value")))
+    return t.events.select("event_id", text.alias("attributes"), number.alias("number"))
+
+
 @query(f"""WITH c AS ({_COMPACT}), s AS ({_EXP_STATS}) SELECT 'env=test,service.name=shop' AS resource, 'shop' AS "ServiceName", CAST(1700000000000000000 AS BIGINT) AS "TimeUnixNano", concat('event_type=', s.event_type) AS attributes, 'dist' AS "MetricName",
     s."count" AS "Count", s."sum"::DOUBLE AS "Sum", s.zero_count AS "ZeroCount", c."offset" AS "PositiveOffset", c.counts AS "PositiveBucketCounts", s."min"::DOUBLE AS "Min", s."max"::DOUBLE AS "Max" FROM s JOIN c USING (event_type)""")
 def otel_exp_histogram_rows(t: Tables) -> DataFrame:
@@ -507,16 +767,65 @@ def trace_tree(t: Tables) -> DataFrame:
 _HEADER = "concat(CASE WHEN o_orderkey % 5 = 0 THEN '01' ELSE '00' END, '-', CASE WHEN o_orderkey % 7 = 0 THEN repeat('0', 32) ELSE md5(o_orderkey::VARCHAR) END, '-', substr(md5(o_orderkey::VARCHAR), 1, 16), '-01', CASE WHEN o_orderkey % 3 = 0 THEN '-more' ELSE '' END)"
 
 
+def _header(key: Column) -> Column:
+    hashed = F.md5(key.cast("string"))
+    return F.concat(F.when(key % 5 == 0, "01").otherwise("00"), F.lit("-"), F.when(key % 7 == 0, "0" * 32).otherwise(hashed), F.lit("-"), F.substring(hashed, 1, 16), F.lit("-01"), F.when(key % 3 == 0, "-more").otherwise(""))
+
+
 @query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN substr(h, 4, 32) END AS trace_id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN substr(h, 37, 16) END AS span_id,
     CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN concat('00-', substr(h, 4, 32), '-', substr(h, 37, 16), '-01') ELSE '' END AS back FROM (SELECT o_orderkey, {_HEADER} AS h FROM orders)""")
 def traceparent_parse(t: Tables) -> DataFrame:
-    key = F.col("o_orderkey")
-    hashed = F.md5(key.cast("string"))
-    h = F.concat(F.when(key % 5 == 0, "01").otherwise("00"), F.lit("-"), F.when(key % 7 == 0, "0" * 32).otherwise(hashed), F.lit("-"), F.substring(hashed, 1, 16), F.lit("-01"), F.when(key % 3 == 0, "-more").otherwise(""))
+    h = _header(F.col("o_orderkey"))
     p = t.orders.select("o_orderkey", trace_ids.parse_traceparent(h).alias("p"))
     return p.select("o_orderkey", F.col("p.trace_id").alias("trace_id"), F.col("p.span_id").alias("span_id"), trace_ids.to_traceparent(F.col("p.trace_id"), F.col("p.span_id")).alias("back"))
 
 
+@query("SELECT name, CAST(count(*) AS BIGINT) AS n, CAST(sum(nanos) AS BIGINT) AS nanos FROM (SELECT 'order' AS name, 1000000 AS nanos FROM orders UNION ALL SELECT 'line', 1000 FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1")
+def span_durations(t: Tables) -> DataFrame:
+    both = exposition.union(*[spans.duration(s).select("name", "duration_nanos") for s in _spans(t)])
+    return both.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_nanos").alias("nanos"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN good THEN substr(h, 4, 32) ELSE md5(o_orderkey::VARCHAR) END AS trace_id, CASE WHEN good THEN substr(h, 37, 16) END AS parent_span_id
+    FROM (SELECT o_orderkey, {_HEADER} AS h, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS good FROM orders)""")
+def span_remote_parents(t: Tables) -> DataFrame:
+    """A valid header is adopted; under an invalid one the span is a root."""
+    key = F.col("o_orderkey")
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000
+    return spans.root_spans(t.orders, ["o_orderkey"], F.lit("order"), at, at + 1000, traceparent=_header(key)).select("o_orderkey", "trace_id", "parent_span_id")
+
+
+@query("SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'unset' END AS code, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE '' END AS message, 'priority,priority' AS keys, max(o_orderpriority) AS highest, CAST(count(*) AS BIGINT) AS events FROM orders GROUP BY 1")
+def span_fields(t: Tables) -> DataFrame:
+    """A status, a key that is set twice and stays so, and an event of each root."""
+    roots, _ = _spans(t)
+    state = F.col("o_orderstatus")
+    twice = spans.set_attribute(spans.set_attribute(F.col("attributes"), "priority", F.lit("none"), "string"), "priority", F.col("o_orderpriority"), "string")
+    roots = roots.join(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey").withColumn("attributes", twice).withColumn("events", spans.add_event(F.col("events"), F.lit("seen"), F.col("start_unix_nano")))
+    roots = roots.withColumn("status", spans.status(F.when(state == "F", "ok").when(state == "O", "error").otherwise("unset"), F.when(state == "O", "open")))
+    keys = F.array_join(F.transform("attributes", lambda a: a["key"]), ",").alias("keys")
+    return roots.groupBy("o_orderstatus", F.col("status.code").alias("code"), F.col("status.message").alias("message"), keys).agg(F.max(F.element_at("attributes", -1)["value"]["s"]).alias("highest"), F.sum(F.size("events")).alias("events"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 50 = 0), l AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 7 = 0)
+    SELECT l.event_id, arg_max(s.event_id, (s.ts, s.event_id)) AS span_event FROM l LEFT JOIN s ON s.user_id = l.user_id AND l.ts BETWEEN s.ts AND s.ts + INTERVAL 1 HOUR GROUP BY 1""")
+def span_current(t: Tables) -> DataFrame:
+    """The innermost span that is open on a log's thread at its time."""
+    e = t.events.select("event_id", F.col("user_id").alias("producer"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_unix_nano"))
+    opened = e.where("event_id % 50 = 0").select("producer", F.lit("t").alias("trace_id"), F.col("event_id").alias("span_id"), F.col("time_unix_nano").alias("start_unix_nano"), (F.col("time_unix_nano") + 3_600_000_000_000).alias("end_unix_nano"))
+    out = spans.current_spans(e.where("event_id % 7 = 0"), opened, bucket_nanos=3_600_000_000_000)
+    return out.select("event_id", F.col("span_id").alias("span_event"))
+
+
+@query("SELECT 'order' AS name, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'line', CAST(count(*) AS BIGINT) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0")
+def span_recorded_traces(t: Tables) -> DataFrame:
+    """Children of roots that were sampled out are none either."""
+    roots, children = _spans(t)
+    columns = ["trace_id", "span_id", "parent_span_id", "name"]
+    both = roots.select(*columns, (F.col("o_orderkey") % 3 == 0).alias("recorded")).unionByName(children.select(*columns, F.lit(True).alias("recorded")))
+    return spans.keep_recorded(both).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def span_otlp_json(t: Tables) -> DataFrame:
     roots, _ = _spans(t)

@@ -146,15 +146,20 @@ def elapsed_nanos(start: Column, end: Column) -> Column:
     return F.greatest(end - start, F.lit(0)).cast("bigint")
 
 
-def complete(series: DataFrame, domain: LabelDomain, label: str, fill: dict[str, Column]) -> DataFrame:
-    """A row for every member of a closed domain in its order, absent ones filled.
+def complete(series: DataFrame, domain: LabelDomain, label: str, fill: dict[str, Column], by: Keys = ()) -> DataFrame:
+    """A row for every member of a closed domain in its order, absent ones filled; with ``by``,
+    such as an export window, for every member in each of its groups.
 
     Both sides have at most as many rows as the domain has members (and groups).
     """
-    members = domain.frame(series.sparkSession).withColumnRenamed("value", label)
-    joined = members.join(series, label, "left")
-    filled = [F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in series.columns if c != label]
-    return joined.select("idx", label, *filled)
+    if by:
+        each = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(v).alias(label)) for i, v in enumerate(domain.values)])
+        members = series.select(*by).distinct().select(*by, F.inline(each))
+    else:
+        members = domain.frame(series.sparkSession).withColumnRenamed("value", label)
+    joined = members.join(series, [*by, label], "left")
+    filled = [F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in series.columns if c not in (*by, label)]
+    return joined.select(*by, "idx", label, *filled)
 
 
 def into_domain(obs: DataFrame, domain: LabelDomain, label: str) -> DataFrame:
