@@ -33,9 +33,13 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column) -> np.ndarray:
-    """Rows of equal length as a matrix in double precision."""
+    """Rows of equal length as a matrix in double precision, each scaled by a power of two to
+    about 1: that changes no cosine, and squares neither overflow nor vanish."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if not len(column):
+        return np.empty((0, 0))
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
 
 
 def _norms(m: np.ndarray) -> np.ndarray:
@@ -95,6 +99,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_s
     pivots: dict[int, list] = {}
     for v in drawn:
         u = np.asarray(v, np.float64)
+        u = u / np.abs(u).max()
         pivots.setdefault(len(u), []).append(u / np.linalg.norm(u))
     pivots = {d: np.array(p) for d, p in pivots.items()}
     kind = dict(classes.dtypes)["v"]

@@ -79,9 +79,9 @@ def choose_prefix(frequency: np.ndarray, percent: int) -> tuple[int, int]:
 
 def class_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(members, classes)``: rows with the digest of their text, and one row
-    ``(digest, rep, row)`` for each distinct text, ``rep`` the least id."""
+    ``(digest, rep, m, row)`` for each distinct text, ``rep`` the least id of its ``m`` rows."""
     members = docs.select("id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
-    classes = members.groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = members.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"))
     return members, classes.withColumn("row", F.xxhash64("rep", "digest"))
 
 
@@ -234,20 +234,12 @@ def loose_links(star: DataFrame, percent: int, tile_size: int) -> DataFrame:
     return tiles.repartition("b", "i", "j").groupBy("b", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
 
 
-def link_classes(profile: DataFrame, percent: int, tile_size: int) -> DataFrame:
-    """``(node, component)`` of the classes that are linked with any other.
-
-    First each class is compared with one other, its centre: of each shingle in its prefix the
-    class that has most of its shingles in common with others is proposed, and
-    the one proposed most often is taken; the original among near copies is such a
-    class.  Classes of one centre are then compared by their differences from it,
-    where one was not linked to it (``loose_links``).
+def stars(profile: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(postings, star)``: the classes of each shingle in a prefix, and each class compared with
+    one other, its centre.
 
-    Classes of different centres meet by the shingles of their prefixes.  A shingle
-    whose classes are all of one component so far has no more to say; of the others, the
-    classes outside the shingle's largest component meet those of other components.
-    So a large group of near copies is never paired out, and no pair that could join two
-    components is left out.
+    Of each shingle in a class's prefix, the class that has most of its shingles in common with
+    others is proposed, and the one proposed most often is taken; the original among near copies is such a class.
     """
     found = profile.where("size(prefix) > 0")
     share = F.size("shared") / F.col("n_shingles")
@@ -257,29 +249,94 @@ def link_classes(profile: DataFrame, percent: int, tile_size: int) -> DataFrame:
     star = met.groupBy("row").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(F.col("row").alias("a"), "b")
     star = star.join(_left(found), "a").join(_right(found), "b").withColumn("lost", F.array_except("sb", "sa"))
     star = star.withColumn("centre", F.size("sb").cast("bigint")).withColumn("common", F.col("centre") - F.size("lost"))
-    star = materialize(star.select("a", "b", "na", "centre", "lost", F.array_except("sa", "sb").alias("added"), _linked(F.col("common"), percent).alias("linked")), "star")
+    star = star.select("a", "b", "na", "centre", "lost", F.array_except("sa", "sb").alias("added"), _linked(F.col("common"), percent).alias("linked"))
+    return postings.drop("share"), materialize(star, "star")
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)``, a below b, that meet in as many shingles as the lesser of their l."""
+    pair = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ma", "mb")).alias("least"))
+    return pair.where("k >= least").select("a", "b")
+
+
+def link_classes(profile: DataFrame, postings: DataFrame, star: DataFrame, percent: int, tile_size: int) -> DataFrame:
+    """``(node, component)`` of the classes that are linked with any other.
+
+    First each class is compared with its centre (``stars``).  Classes of one centre are then
+    compared by their differences from it, where one was not linked to it (``loose_links``).
+
+    Classes of different centres meet by the shingles of their prefixes.  A shingle
+    whose classes are all of one component so far has no more to say; of the others, the
+    classes outside the shingle's largest component meet those of other components.
+    So a large group of near copies is never paired out, and no pair that could join two
+    components is left out.
+    """
     links = star.where("linked").select("a", "b").unionByName(loose_links(star, percent, tile_size))
     links = materialize(links, "links")
     parts = connected_components(links)
 
-    named = postings.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component", "share")
+    named = postings.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component")
     sums = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
     mixed = sums.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     named = named.join(mixed.select("token", "main"), "token").join(star.select(F.col("a").alias("row"), F.col("b").alias("centre")), "row", "left")
     named = materialize(named, "postings")
-    out = named.where("part <> main").select("token", F.col("row").alias("a"), F.col("part").alias("pa"), F.col("match").alias("ma"), F.col("n").alias("na"), F.col("centre").alias("ca"))
-    all_ = named.select("token", F.col("row").alias("b"), F.col("part").alias("pb"), F.col("match").alias("mb"), F.col("n").alias("nb"), F.col("centre").alias("cb"), "main")
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("pa") != F.col("pb")) & ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
+    side = lambda s: [F.col(c).alias(x + s) for c, x in (("row", ""), ("part", "p"), ("match", "m"), ("n", "n"), ("centre", "c"))]
+    out, all_ = named.where("part <> main").select("token", *side("a")), named.select("token", *side("b"), "main")
+    fits = _fits(percent) & (F.col("pa") != F.col("pb"))
     # Two classes outside the largest component meet twice; once is enough.
     once = (F.col("pb") == F.col("main")) | (F.col("a") < F.col("b"))
-    meet = out.join(all_, "token").where(fits & once)
-    pair = meet.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ma", "mb")).alias("least"))
-    more = similar(pair.where("k >= least").select("a", "b"), found, percent)
+    more = similar(_candidates(out.join(all_, "token").where(fits & once)), profile.where("size(prefix) > 0"), percent)
     return connected_components(links.unionByName(more))
 
 
-def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, tile_size: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row of ``docs``.
+def _fits(percent: int):
+    """Sizes that allow a link, and centres that differ."""
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
+
+
+def link_counts(profile: DataFrame, postings: DataFrame, star: DataFrame, classes: DataFrame, percent: int, tile_size: int) -> DataFrame:
+    """``(row, links)``: how many rows of other classes each class is linked with.
+
+    Every linked pair of classes is found, so the work is quadratic in a group of near copies:
+    those of one centre meet in tiles that return a count for each class, others pair by pair.
+    """
+    weight = classes.select(F.col("row").alias("a"), "m")
+    sizes = star.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / tile_size).cast("int").alias("s"))
+    rows = star.join(sizes, "b").join(weight, "a").withColumn("k", F.pmod(F.xxhash64("a"), F.col("s")).cast("int"))
+    # Block k is on the left of tiles (k, j), j >= k, and on the right of (i, k), i < k.
+    spot = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    as_left = F.transform(F.sequence(F.col("k"), F.col("s") - 1), lambda j: spot(F.col("k"), j, True))
+    as_right = F.transform(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda i: i < F.col("k")), lambda i: spot(i, F.col("k"), False))
+    tiles = rows.select("b", "a", "na", "m", "centre", "lost", "added", F.explode(F.concat(as_left, as_right)).alias("t")).select("b", "a", "na", "m", "centre", "lost", "added", "t.*")
+
+    def count_tile(table: pa.Table) -> pa.Table:
+        alone = table["i"][0].as_py() == table["j"][0].as_py()
+        left = table.filter(table["left"])
+        right = left if alone else table.filter(pc.invert(table["left"]))
+        common = tile_overlaps(left, right)
+        near = 100 * common >= percent * (left["na"].to_numpy()[:, None] + right["na"].to_numpy()[None, :] - common)
+        if alone:
+            np.fill_diagonal(near, False)
+        out = [(left, near @ right["m"].to_numpy())] + ([] if alone else [(right, left["m"].to_numpy() @ near)])
+        return pa.table({"row": np.concatenate([t["a"].to_numpy() for t, _ in out]), "links": np.concatenate([n for _, n in out]).astype(np.int64)})
+
+    inner = tiles.repartition("b", "i", "j").groupBy("b", "i", "j").applyInArrow(count_tile, "row bigint, links bigint")
+    named = postings.join(star.select(F.col("a").alias("row"), F.col("b").alias("centre")), "row", "left")
+    side = lambda s: named.select("token", *[F.col(c).alias(x + s) for c, x in (("row", ""), ("match", "m"), ("n", "n"), ("centre", "c"))])
+    # A class and its centre were compared already.
+    apart = ~F.coalesce(F.col("ca") == F.col("b"), F.lit(False)) & ~F.coalesce(F.col("cb") == F.col("a"), F.lit(False))
+    met = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & _fits(percent) & apart)
+    pairs = similar(_candidates(met), profile.where("size(prefix) > 0"), percent)
+    # Two classes can be each other's centre.
+    pairs = pairs.unionByName(star.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = pairs.select(F.col("a").alias("row"), F.col("b").alias("a")).unionByName(pairs.select(F.col("b").alias("row"), "a"))
+    outer = both.join(weight, "a").select("row", F.col("m").alias("links"))
+    return inner.unionByName(outer).groupBy("row").agg(F.sum("links").alias("links"))
+
+
+def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, tile_size: int = 256, count_links: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row of ``docs``, and ``n_links``, the other
+    rows linked directly, with ``count_links``.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
     sets of ``width``-word shingles (A-Z in lower case); ``component_id`` is the
@@ -288,15 +345,22 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_by
     from the start, so any number of copies costs a row each.  A null id never
     names a component unless all of its members' are null; repeated rows are kept.
 
-    Shingles are identified by 64-bit hashes.
+    Shingles are identified by 64-bit hashes.  Components need few of the links in a group
+    of near copies; counting them needs all (``link_counts``), so it is asked for.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members, classes = class_rows(docs)
     classes = materialize(classes, "classes")
     profile = materialize(profiles(docs, classes, width, percent, block_bytes), "profiles")
-    parts = link_classes(profile, percent, tile_size).withColumnRenamed("node", "row")
+    postings, star = stars(profile, percent)
+    parts = link_classes(profile, postings, star, percent, tile_size).withColumnRenamed("node", "row")
     named = classes.join(profile.select("row", "n_shingles"), "row").join(parts, "row", "left")
+    more = []
+    if count_links:
+        named = named.join(link_counts(profile, postings, star, classes, percent, tile_size), "row", "left")
+        own = F.when(F.col("n_shingles") > 0, F.col("m") - 1).otherwise(0)
+        named, more = named.withColumn("n_links", own + F.coalesce("links", F.lit(0))), ["n_links"]
     least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component", "left").select("digest", "n_shingles", F.coalesce("least", "rep").alias("least"))
+    named = named.join(least, "component", "left").select("digest", "n_shingles", *more, F.coalesce("least", "rep").alias("least"))
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least"))
-    return members.join(named, "digest").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
+    return members.join(named, "digest").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), *more)

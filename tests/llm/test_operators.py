@@ -137,6 +137,14 @@ def test_near_duplicates(spark, cell, tile):
     assert embedding_join.near_duplicates(df.limit(0), cosine=0.9, cell_size=cell, tile_size=tile).count() == 0
 
 
+def test_near_duplicates_of_extreme_vectors(spark):
+    """Squares that overflow or vanish are no zeros or infinities: the direction counts."""
+    queries.prepare(spark)
+    rows = [(1, [1e200, 2e200]), (2, [1.0, 2.0]), (3, [1e-200, 2e-200]), (4, [-1e200, -2e200]), (5, [0.0, -0.0]), (6, [2.0, -1.0])]
+    got = embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cosine=0.9, cell_size=2, tile_size=4).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6)]
+
+
 # 3: SentencePiece
 
 
@@ -317,6 +325,19 @@ def test_jaccard_join(spark, seed, width, percent, tile):
     assert sorted(map(tuple, got)) == sorted(jaccard_brute(ids, texts, width, percent))
 
 
+@pytest.mark.parametrize("seed, width, percent, tile", [(1, 4, 85, 1024), (2, 4, 85, 3), (3, 2, 60, 5), (5, 4, 70, 4)])
+def test_jaccard_link_counts(spark, seed, width, percent, tile):
+    queries.prepare(spark)
+    texts = near_copies(seed)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(df, width=width, percent=percent, block_bytes=4000, tile_size=tile, count_links=True).collect()}
+    sets = shingle_sets(texts, width)
+    for i, s in enumerate(sets):
+        want = sum(i != j and (k := len(s & o)) > 0 and 100 * k >= percent * (len(s) + len(o) - k) for j, o in enumerate(sets))
+        assert got[i].n_links == want, (i, texts[i])
+    assert [r[:3] for r in sorted(map(tuple, got.values()))] == sorted(jaccard_brute(list(range(len(texts))), texts, width, percent))
+
+
 def test_jaccard_documents(spark, rows):
     got = queries.op5_jaccard_join(spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(jaccard_brute([r.doc_id for r in rows], [r.text for r in rows], 4, 85))
