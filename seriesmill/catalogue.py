@@ -371,9 +371,18 @@ def evicted_generations(t: Tables) -> DataFrame:
     return cardinality.live_generations(cardinality.generations(rows, "hour", IDLE_HOURS, by), now or 0, IDLE_HOURS, by, "hour", [F.count(F.lit(1)).alias("n")])
 
 
-@query()
+#: The fold over touches in time order, its state the live series with their last cycles.
+_CAP_AND_EVICT = f"""WITH RECURSIVE f AS (SELECT {_LABELS} AS labels, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS cycle, min((ts, event_id)) AS first FROM events GROUP BY 1, 2),
+    t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cycle, first) AS i FROM f),
+    walk AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS labels, NULL::BIGINT AS cycle, [{{'k': 'x', 't': 0::BIGINT}}][2:] AS live, false AS redirected, false AS fresh
+    UNION ALL SELECT i, labels, cycle, list_filter(kept, lambda x: x.k <> CASE WHEN known OR open THEN labels ELSE '' END) || [{{'k': CASE WHEN known OR open THEN labels ELSE '' END, 't': cycle}}], NOT (known OR open), open AND NOT known
+    FROM (SELECT *, list_contains(list_transform(kept, lambda x: x.k), labels) AS known, len(kept) < {CAP} AS open
+    FROM (SELECT t.i, t.labels, t.cycle, list_filter(w.live, lambda x: t.cycle - x.t <= {IDLE_HOURS}) AS kept FROM walk w JOIN t ON t.i = w.i + 1)))
+    SELECT 'events' AS metric, labels, cycle, CAST(greatest(sum(fresh::INT) OVER (PARTITION BY labels ORDER BY i) - 1, 0) AS INTEGER) AS generation, redirected FROM walk WHERE i > 0"""
+
+
+@query(_CAP_AND_EVICT)
 def cap_and_evict(t: Tables) -> DataFrame:
-    """A fold in time order, beyond plain SQL: tested against a loop."""
     rows = t.obs().withColumn("cycle", cardinality.cycle_of(F.col("ts"), 3600))
     out = cardinality.cap_and_evict(rows, "cycle", CAP, IDLE_HOURS)
     return out.select("metric", prometheus_labels(F.col("labels")).alias("labels"), "cycle", "generation", "redirected")
@@ -731,11 +740,19 @@ def hotspot_profile(t: Tables) -> DataFrame:
 
 @query()
 def datagrams(t: Tables) -> DataFrame:
-    """Depends on how lines are dealt to partitions: tested by its invariants."""
+    """Depends on how lines are dealt to partitions: ``datagram_totals`` and the tests check what does not."""
     series = aggregate.snapshot(t.obs(), aggregate.counter_sum)
     return exposition.pack_datagrams(exposition.dogstatsd_counter(series, "shop.events", labels="labels"))
 
 
+@query("""WITH l AS (SELECT concat('shop.events:', count(*), '|c|#event_type:', event_type, ',user_id:', user_id) AS line FROM events GROUP BY event_type, user_id)
+    SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, true AS within_limit FROM l""")
+def datagram_totals(t: Tables) -> DataFrame:
+    """No line is lost or cut, and no payload is too long."""
+    size, lines = F.octet_length("payload"), F.size(F.split("payload", "\n")) - 1
+    return datagrams(t).agg(F.sum(lines).alias("lines"), F.sum(size).alias("bytes"), (F.max(size) <= 8000).alias("within_limit"))
+
+
 # Spans
 
 
@@ -826,7 +843,9 @@ def span_recorded_traces(t: Tables) -> DataFrame:
     return spans.keep_recorded(both).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT md5(o_orderkey::VARCHAR) AS trace_id, substr(md5(concat('span', chr(31), o_orderkey)), 1, 16) AS span_id,
+    concat('{"traceId":"', md5(o_orderkey::VARCHAR), '","spanId":"', substr(md5(concat('span', chr(31), o_orderkey)), 1, 16), '","parentSpanId":"","name":"order","kind":2,"startTimeUnixNano":"', epoch_us(o_orderdate) * 1000,
+    '","endTimeUnixNano":"', epoch_us(o_orderdate) * 1000 + 1000000, '","attributes":[{"key":"status","value":{"stringValue":"', o_orderstatus, '"}}],"events":[]}') AS json FROM orders""")
 def span_otlp_json(t: Tables) -> DataFrame:
     roots, _ = _spans(t)
     named = roots.withColumn("attributes", spans.set_attribute(F.col("attributes"), "status", F.col("o_orderstatus"), "string"))
