@@ -116,6 +116,42 @@ _COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM lin
     parts AS (SELECT id, min(c) AS component_id FROM walk GROUP BY 1)"""
 
 
+def _secrets_sql() -> str:
+    """The base patterns, and the battery with its procedure, over whole texts."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = [(secrets.ASSIGN, 2, secrets.MIN_ASSIGN), (secrets.ACCESS, 0, secrets.MIN_ACCESS), (secrets.HEX, 0, secrets.MIN_HEX), (secrets.RUN, 0, secrets.MIN_RUN)]
+    pieces = ", ".join(f"regexp_extract_all(t, {quoted(p)}) AS m{i}, regexp_extract_all(t, {quoted(p)}, {g}) AS v{i}, string_split_regex(t, {quoted(p)}) AS g{i}" for i, (p, g, _) in enumerate(patterns))
+    chars = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+    found = " UNION ALL ".join(
+        f"SELECT doc, {i} AS rank, s, s + length(m{i}[k]) AS e, m{i}[k] AS run FROM (SELECT doc, m{i}, v{i}, k, {chars(f'g{i}[1:k]')} + {chars(f'm{i}[1:k - 1]')} AS s FROM (SELECT *, unnest(range(1, len(m{i}) + 1)) AS k FROM p)) WHERE length(v{i}[k]) >= {least}"
+        for i, (_, _, least) in enumerate(patterns)
+    )
+    near = "(t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))"
+    density = "(exp(-x * x / 2) / 2.5066282746310002)"
+    tail = lambda z: f"(SELECT least(1.0, greatest(1e-39, 2 * CASE WHEN x < 5 THEN {density} * {near} ELSE {density} / x * (1 - 1 / (x * x)) END)) FROM (SELECT x, 1 / (1 + 0.2316419 * x) AS t FROM (SELECT abs({z}) AS x)))"
+    rank = lambda alphabet, c: f"strpos('{alphabet}', {c}) - 1"
+    bands = " + ".join(f"(e - s >= {b})::INT" for b in secrets.BANDS[1:])
+    text = lambda ranks: f"coalesce(string_agg(concat_ws(':', ['assign', 'access', 'hex', 'random'][rank + 1], s, e), ',' ORDER BY s, rank, e) FILTER (WHERE rank < {ranks}), '')"
+    many = lambda i: f"CAST(count(*) FILTER (WHERE rank = {i}) AS BIGINT)"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS t FROM documents), p AS MATERIALIZED (SELECT doc, {pieces} FROM d), f AS MATERIALIZED ({found}),
+        r AS (SELECT doc, s, e, CASE WHEN regexp_matches(run, '{secrets.UUID}') THEN lower(replace(run, '-', '')) ELSE run END AS c FROM f WHERE rank = 3),
+        k AS (SELECT *, CASE WHEN regexp_matches(c, '^([0-9a-f]+|[0-9A-F]+)$') THEN 16 WHEN regexp_matches(c, '^([A-Z2-7]+|[a-z2-7]+)$') THEN 32 WHEN regexp_matches(c, '^([0-9A-Z]+|[0-9a-z]+)$') THEN 36 ELSE 64 END AS k, length(c)::DOUBLE AS n FROM r),
+        x AS (SELECT *, list_transform(string_split(c, ''), lambda y: CASE k WHEN 16 THEN {rank("0123456789abcdef", "lower(y)")} WHEN 32 THEN {rank(secrets.BASE32, "upper(y)")} WHEN 36 THEN {rank(secrets.BASE36, "upper(y)")} ELSE {rank(secrets.BASE64, "translate(y, '-_', '+/')")} END) AS x,
+            least(16, k, CASE WHEN n >= 96 THEN CASE WHEN k = 36 THEN 12 ELSE 16 END WHEN n >= 48 THEN CASE WHEN k = 36 THEN 6 ELSE 8 END ELSE 4 END) AS cells FROM k),
+        z AS (SELECT *, list_sum(list_transform(range(0, cells), lambda j: pow(len(list_filter(x, lambda y: y * cells // k = j)), 2))) * cells / n - n AS chi,
+            (list_sum(list_transform(range(1, len(x)), lambda i: ((x[i] * 2 >= k) <> (x[i + 1] * 2 >= k))::INT)) - (n - 1) / 2) / sqrt((n - 1) / 4) AS z_runs,
+            list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - (k - 1) / 2.0) * (x[i + 1] - (k - 1) / 2.0))) / (sqrt(n - 1) * (k * k - 1) / 12.0) AS z_serial,
+            n - length(translate(lower(c), '{secrets.COMMON}', '')) AS common, {float(len(secrets.COMMON))} / k * CASE WHEN k = 64 THEN 2 ELSE 1 END AS share FROM x),
+        y AS (SELECT *, (cbrt(greatest(chi, 0.0) / (cells - 1)) - (1 - 2 / (9.0 * (cells - 1)))) / sqrt(2 / (9.0 * (cells - 1))) AS z_chi, (common - 0.5 - n * share) / sqrt(n * share * (1 - share)) AS z_common FROM z),
+        q AS (SELECT *, least(1.0, 4 * least(CASE WHEN z_chi > 0 THEN {tail("z_chi")} / 2 ELSE 1 - {tail("z_chi")} / 2 END, {tail("z_runs")}, {tail("z_serial")}, CASE WHEN k > 16 AND z_common > 0 THEN {tail("z_common")} / 2 ELSE 1.0 END)) AS p FROM y),
+        b AS (SELECT doc, s, e, {bands} AS band, least({secrets.MAX_BIN}, floor(-log10(p) / {secrets.BIN}))::INT AS bin FROM q),
+        h AS (SELECT band, bin, sum(count(*)) OVER (PARTITION BY band ORDER BY bin DESC) AS seen, sum(count(*)) OVER (PARTITION BY band) AS total FROM b GROUP BY 1, 2),
+        cut AS (SELECT band, min(bin) FILTER (WHERE pow(10.0, -bin * {secrets.BIN}) <= {secrets.FDR} * seen / total) AS cut FROM h GROUP BY 1),
+        a AS (SELECT doc, rank, s, e FROM f WHERE rank < 3 UNION ALL SELECT doc, 3, s, e FROM b JOIN cut USING (band) WHERE (cut IS NULL OR bin < cut)
+            AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc = b.doc AND f.rank < 3 AND f.s <= b.s AND f.e >= b.e))
+        SELECT any_value(doc_id) AS doc_id, {many(0)} AS n_assign, {many(1)} AS n_access, {many(2)} AS n_hex, sha256({text(3)}) AS base_sha256, {text(4)} AS spans, {many(3)} AS n_random FROM d LEFT JOIN a USING (doc) GROUP BY doc"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express: the others rest on seeded or 64-bit hashes,
     dynamic programming, a tokenizer library or a trained model, and are tested by brute force."""
@@ -143,4 +179,4 @@ def oracle_sql() -> dict[str, str]:
         pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
         links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {JACCARD["percent"]} * (x.n + y.n - k)), {_COMPONENTS}
         SELECT parts.id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, parts.component_id FROM parts LEFT JOIN n ON n.doc_id = parts.id"""
-    return {"op1_lm_scoring": lm, "op2_embedding_near_dedup": near, "op5_jaccard_join": jaccard}
+    return {"op1_lm_scoring": lm, "op2_embedding_near_dedup": near, "op5_jaccard_join": jaccard, "op10_secret_scan": _secrets_sql()}

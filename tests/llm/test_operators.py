@@ -9,6 +9,7 @@ import uuid
 from collections import Counter
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -56,6 +57,19 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_and_sql_agree(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    plain = lambda r: tuple(round(v, 5) if isinstance(v, float) else v for v in r)
+    assert sorted(map(plain, df.select(*columns).collect()), key=repr) == sorted(map(plain, found.fetchall()), key=repr)
+
+
 # 1: LM scoring
 
 
