@@ -12,10 +12,11 @@ word is encoded by both, and a text agrees if all of its words do.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,29 +99,38 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if self.spec.escape_whitespaces else text
 
-    def _reference_ids(self, words: list[str]) -> list[list[int]]:
-        """The other library's ids; it adds the marker in front by itself."""
-        front = self.spec.add_dummy_prefix
-        texts = [w.replace(MARK, " ") for w in words]
-        out = self.reference.encode([t[1:] if front and t[:1] == " " else t for t in texts], num_threads=self.threads)
-        # The marker alone would be an empty text, to which none is added.
-        return [[self.reference.piece_to_id(MARK)] if w == MARK else ids for w, ids in zip(words, out, strict=True)]
+    def _plain(self, words: list[str]) -> list[str]:
+        """The words with spaces for markers, without the one that the model adds in front.
+
+        All in two replacements where no word holds the character that parts them.
+        """
+        front = "\x00 " if self.spec.add_dummy_prefix else "\x00"
+        out = ("\x00" + "\x00".join(words)).replace(MARK, " ").replace(front, "\x00").split("\x00")[1:]
+        if len(out) != len(words):
+            out = [w.replace(MARK, " ").removeprefix(front[1:]) for w in words]
+        return out
+
+    def _reference_ids(self, words: list[str], plain: list[str]) -> list[list[int]]:
+        """The other library's ids; it adds the marker in front by itself.
+
+        A word without a marker in front occurs only where the model adds none.
+        """
+        out = self.reference.encode(plain, num_threads=self.threads)
+        if MARK in words:  # an empty text, to which no marker is added
+            out[words.index(MARK)] = [self.reference.piece_to_id(MARK)]
+        return out
 
     def _learn(self, words: list[str]) -> None:
         ids = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        if self.reference is None:
-            same = [True] * len(words)
-        else:
-            # A word without a marker in front occurs only where the model adds none.
-            same = [a == b for a, b in zip(ids, self._reference_ids(words), strict=True)]
-        back = self.decode(ids)
-        front = " " if self.spec.add_dummy_prefix else ""
-        for w, i, s, b in zip(words, ids, same, back, strict=True):
-            self.memo[w] = array("i", i).tobytes()
-            if not s:
-                self.unequal.add(w)
-            if b != w.replace(MARK, " ").removeprefix(front):
-                self.lossy.add(w)
+        data = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+        ends = (4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
+        self.memo.update(zip(words, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        plain = self._plain(words)
+        # Whole lists are compared at once: they differ rarely.
+        if self.reference is not None and (other := self._reference_ids(words, plain)) != ids:
+            self.unequal.update(w for w, i, o in zip(words, ids, other, strict=True) if i != o)
+        if (back := self.decode(ids)) != plain:
+            self.lossy.update(w for w, t, p in zip(words, back, plain, strict=True) if t != p)
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """Ids of each text, whether both libraries agree on it, and whether decoding gives
@@ -136,7 +146,7 @@ class Codec:
             self.forget()
             missing = seen
         if missing:
-            self._learn(sorted(missing))
+            self._learn(list(missing))
         ids = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in cut]
         return ids, *([not bad or bad.isdisjoint(words) for words in cut] for bad in (self.unequal, self.lossy))
 
@@ -173,6 +183,7 @@ def encode_documents(docs: DataFrame, model: str, *, threads: int = 2, id_col: s
 
     def run(batches):
         codec = codec_at(model, threads)
+        gc.disable()  # lists of ids by the hundred thousand, none in a cycle
         try:
             for batch in batches:
                 for lo, hi in byte_slices(batch.column(batch.num_columns - 1), 2 << 20):
@@ -184,6 +195,7 @@ def encode_documents(docs: DataFrame, model: str, *, threads: int = 2, id_col: s
                     digests = [hashlib.sha256(i.tobytes()).hexdigest() for i in ids]
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(lengths), pa.array(digests), pa.array(back, pa.bool_()), pa.array(parity, pa.bool_())], names=names)
         finally:
+            gc.enable()
             codec.forget()
             release()
 
