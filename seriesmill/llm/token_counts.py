@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .skew import join_hot
+from .storage import materialize, new_path
 from .text import byte_slices, release, string_bytes, word_bounds
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
@@ -137,11 +138,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: TokenCountCache, *, id_
 
     The texts to encode are one per distinct digest: the least id among the rows
     of a digest that the cache lacks names it.  Only that row's text is shuffled,
-    by its id, so copies never meet in a task.
+    by its id, so copies never meet in a task; they get their count in slices (``join_hot``).
     """
     version = tokenizer_version(tokenizer)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = docs.select("id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
+    keyed = materialize(keyed, "digests")
     known = cache.read().where(F.col("version") == version).select("digest", "n_tokens")
     # A group's least id; groups of null ids only are encoded too (null-safe below).
     misses = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(known, "digest", "left_anti")
@@ -164,4 +166,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: TokenCountCache, *, id_
     # Rows that repeat an id and its text name one digest; its counts agree.
     cache.append(found.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("version"), "n_tokens"))
     stored = cache.read().where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    return keyed.join(stored, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    counts = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    return join_hot(keyed, stored, "digest", counts, "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
