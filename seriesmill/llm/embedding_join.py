@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components, least_labels
+from .skew import join_hot
 from .storage import materialize
 
 #: Rows of a matrix product at once.
@@ -119,9 +120,11 @@ def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_s
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(len(cells), d, np.int32)), pa.array(cells), pa.array(np.arange(len(cells)) < len(home))], names=["cls", "m", "v", "d", "cell", "home"])
 
     dealt = classes.select("cls", "m", "v").mapInArrow(deal, f"cls bigint, m bigint, v {kind}, d int, cell int, home boolean")
-    sizes = dealt.groupBy("d", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("copies"))
+    dealt = dealt.withColumn("place", F.struct("d", "cell"))
+    sizes = dealt.groupBy("place").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("copies"))
+    sizes = materialize(sizes, "cells")
     parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / tile_size)).cast("int")
-    dealt = dealt.join(sizes.select("d", "cell", parts("homes").alias("hs"), parts("copies").alias("cs"), "copies"), ["d", "cell"])
+    dealt = join_hot(dealt, sizes.select("place", parts("homes").alias("hs"), parts("copies").alias("cs"), "copies"), "place", sizes.select("place", (F.col("homes") + F.col("copies")).alias("n")))
     of = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")
     spot = lambda kind, i, j, left: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -157,8 +160,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float, cell_size: int, tile_s
     degree = linked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cls")
     named = classes.join(degree, "cls", "left").join(component, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = good.join(named, "v").select("id", "n_links", "component_id")
+    of_component = component.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    named = join_hot(named, least, "component", of_component).select("v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = join_hot(good, named, "v", classes.select("v", F.col("m").alias("n"))).select("id", "n_links", "component_id")
     rest = rows.where(~usable(F.col("v"))).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     out = out.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
     return out.withColumnRenamed("id", id_col)
