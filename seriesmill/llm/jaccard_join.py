@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_count, bucket_edges, by_bucket, deal, dealt_rows, fingerprints, measure, replies, unpack_totals
 from .graph import connected_components, least_labels
+from .skew import join_hot
 from .storage import materialize
 from .text import ngram_hashes, release, word_hashes
 
@@ -208,7 +209,7 @@ def loose_links(star: DataFrame, percent: int, tile_size: int) -> DataFrame:
     loose = ~F.col("linked")
     sizes = star.groupBy("b").agg(F.count_if(loose).alias("loose"), F.count(F.lit(1)).alias("all")).where("loose > 0 and all > 1")
     parts = lambda c: F.ceil(F.col(c) / tile_size).cast("int")
-    rows = star.join(sizes.select("b", parts("loose").alias("ls"), parts("all").alias("rs")), "b")
+    rows = join_hot(star, sizes.select("b", parts("loose").alias("ls"), parts("all").alias("rs")), "b", _rows_of(star, "b"))
     of = lambda c: F.pmod(F.xxhash64("a"), F.col(c)).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     spot = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
@@ -234,6 +235,10 @@ def loose_links(star: DataFrame, percent: int, tile_size: int) -> DataFrame:
     return tiles.repartition("b", "i", "j").groupBy("b", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
 
 
+def _rows_of(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def stars(profile: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``(postings, star)``: the classes of each shingle in a prefix, and each class compared with
     one other, its centre.
@@ -247,7 +252,9 @@ def stars(profile: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     centres = postings.groupBy("token").agg(F.max_by("row", F.struct("share", "row")).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "b")
     met = postings.join(centres, "token").where("row <> b").groupBy("row", "b").agg(F.count(F.lit(1)).alias("k"))
     star = met.groupBy("row").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(F.col("row").alias("a"), "b")
-    star = star.join(_left(found), "a").join(_right(found), "b").withColumn("lost", F.array_except("sb", "sa"))
+    star = materialize(star, "centres")
+    # A large group of near copies has one centre, whose set all of them are compared with.
+    star = join_hot(star.join(_left(found), "a"), _right(found), "b", _rows_of(star, "b")).withColumn("lost", F.array_except("sb", "sa"))
     star = star.withColumn("centre", F.size("sb").cast("bigint")).withColumn("common", F.col("centre") - F.size("lost"))
     star = star.select("a", "b", "na", "centre", "lost", F.array_except("sa", "sb").alias("added"), _linked(F.col("common"), percent).alias("linked"))
     return postings.drop("share"), materialize(star, "star")
@@ -302,7 +309,7 @@ def link_counts(profile: DataFrame, postings: DataFrame, star: DataFrame, classe
     """
     weight = classes.select(F.col("row").alias("a"), "m")
     sizes = star.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / tile_size).cast("int").alias("s"))
-    rows = star.join(sizes, "b").join(weight, "a").withColumn("k", F.pmod(F.xxhash64("a"), F.col("s")).cast("int"))
+    rows = join_hot(star, sizes, "b", _rows_of(star, "b")).join(weight, "a").withColumn("k", F.pmod(F.xxhash64("a"), F.col("s")).cast("int"))
     # Block k is on the left of tiles (k, j), j >= k, and on the right of (i, k), i < k.
     spot = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
     as_left = F.transform(F.sequence(F.col("k"), F.col("s") - 1), lambda j: spot(F.col("k"), j, True))
@@ -361,6 +368,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, block_by
         own = F.when(F.col("n_shingles") > 0, F.col("m") - 1).otherwise(0)
         named, more = named.withColumn("n_links", own + F.coalesce("links", F.lit(0))), ["n_links"]
     least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component", "left").select("digest", "n_shingles", *more, F.coalesce("least", "rep").alias("least"))
+    named = join_hot(named, least, "component", _rows_of(parts, "component"), "left").select("digest", "n_shingles", *more, F.coalesce("least", "rep").alias("least"))
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least"))
-    return members.join(named, "digest").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), *more)
+    # Copies of one text, and near copies of one original, may be a large share of all rows.
+    return join_hot(members, named, "digest", classes.select("digest", F.col("m").alias("n"))).select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), *more)
