@@ -75,13 +75,23 @@ def log_ratios(counts: DataFrame, buckets: int, prior: float) -> DataFrame:
     return whole.select(F.transform("b", ratio).alias("ratios"))
 
 
+def _recurring(df: DataFrame, keyed: Column) -> DataFrame:
+    """Adds ``_at``: each ``i`` of the structs (k, i) in the array whose k another one has too."""
+    df = df.withColumn("_s", F.array_sort(keyed))
+    # A key recurs if the one before or after it in this order is the same.
+    df = df.withColumn("_eq", F.zip_with(_front("_s", 1), _rest("_s", 1), lambda x, y: x["k"] == y["k"]))
+    paired = F.zip_with("_s", F.zip_with(F.concat(F.array(F.lit(False)), F.col("_eq")), F.concat(F.col("_eq"), F.array(F.lit(False))), lambda x, y: x | y), lambda s, r: F.when(r, s["i"]))
+    return df.withColumn("_at", F.array_compact(paired))
+
+
 def rule_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the plain measures; needs the columns of ``ngram_buckets``.
 
     ``n_repeat_words`` counts the words inside a 5-word window that occurs twice
-    or more in the text.  Equal windows are found by sorting their hashes with
+    or more in the text.  Windows whose hashes are equal are found by sorting these with
     their positions, which costs n log n even for a text of one repeated word;
-    texts without an equal pair of windows skip the sort.
+    texts without an equal pair of hashes skip the sort.  Windows found so are then
+    compared by their words in the same way, as different ones may share a hash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
@@ -97,14 +107,10 @@ def rule_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("_h4", _pairs("_h2", "_h2", 2))
         .withColumn("_h5", _pairs("_h4", "_h", 4))
     )
-    placed = F.array_sort(F.transform("_h5", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    keyed = lambda k, i: F.struct(k.alias("k"), i.alias("i"))
     repeats = F.size(F.array_distinct("_h5")) < F.size("_h5")
-    df = df.withColumn("_s", F.when(repeats, placed))
-    # A window repeats if the one before or after it in this order has its hash.
-    same = F.zip_with(_front("_s", 1), _rest("_s", 1), lambda x, y: x["h"] == y["h"])
-    df = df.withColumn("_eq", same)
-    paired = F.zip_with("_s", F.zip_with(F.concat(F.array(F.lit(False)), F.col("_eq")), F.concat(F.col("_eq"), F.array(F.lit(False))), lambda x, y: x | y), lambda s, r: F.when(r, s["i"]))
-    df = df.withColumn("_at", F.array_sort(F.array_compact(paired)))
+    df = _recurring(df, F.when(repeats, F.transform("_h5", keyed)))
+    df = _recurring(df, F.transform("_at", lambda i: keyed(F.slice("_w", i + 1, F.lit(5)), i))).withColumn("_at", F.array_sort("_at"))
     steps = F.zip_with(_front("_at", 1), _rest("_at", 1), lambda x, y: F.least(y - x, F.lit(5)))
     covered = F.aggregate(steps, F.lit(5), lambda a, x: a + x)
     return df.withColumn("n_repeat_words", F.coalesce(F.when(F.size("_at") > 0, covered), F.lit(0)).cast("bigint"))

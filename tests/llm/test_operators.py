@@ -246,6 +246,16 @@ def test_quality_measures(spark, texts):
     assert all(measures(got[i]) == quality_brute(t) for i, t in enumerate(texts))
 
 
+def test_quality_compares_words(spark):
+    """Two windows of different words and one hash; alone, and where one of them does occur twice."""
+    a, b = "dwtgmlqu cavltals fyxaaoyj fkaflmgg flhavoqe", "icwxemic jvqucqhg kdrrvedu elqehfhk $if1uDH~"
+    texts = [f"{a} x {b}", f"{a} x {b} y {a}", f"{b} x {a} y {b} z {a} {a}", " ".join(["same"] * 50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in quality.quality(df, df.limit(0), buckets=16, prior=1.0, threshold=-1.0).collect()}
+    assert [got[i].n_repeat_words for i in range(4)] == [0, 10, 25, 50]
+    assert all(measures(got[i]) == quality_brute(t) for i, t in enumerate(texts))
+
+
 def test_quality_score(spark):
     texts = ["Good text here", "good words", "junk$$ junk$$ text"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
