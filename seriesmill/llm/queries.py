@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.session import importable
 
-from . import embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, token_counts, toxicity
+from . import conversation_repair, conversation_trie, embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, token_counts, toxicity
 
 LM = {"order": 3, "min_count": 2, "alpha": 0.4, "block_bytes": 8 << 20}
 NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
@@ -104,6 +104,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -152,6 +160,62 @@ def _secrets_sql() -> str:
         SELECT any_value(doc_id) AS doc_id, {many(0)} AS n_assign, {many(1)} AS n_access, {many(2)} AS n_hex, sha256({text(3)}) AS base_sha256, {text(4)} AS spans, {many(3)} AS n_random FROM d LEFT JOIN a USING (doc) GROUP BY doc"""
 
 
+def _crc32_sql(s: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, a bit at a time."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda x: unicode(x)::BIGINT)), lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295::BIGINT)"
+
+
+def _trie_sql() -> str:
+    """Every prefix of every rebuilt conversation as a list of digests, and each node under all of its ancestors."""
+    return f"""WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS MATERIALIZED (SELECT conv_id, k, length(text) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM (SELECT *, sha256(length(role) || ':' || role || text) AS k FROM o)),
+    c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT c.conv_id, 0 AS part, t.pos, t.k, t.tokens FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h UNION ALL SELECT c.conv_id, 1, t.pos, t.k, t.tokens FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+    q AS (SELECT c.conv_id, coalesce(list(r.k ORDER BY part, pos) FILTER (WHERE r.k IS NOT NULL), []) AS ks, coalesce(list(r.tokens ORDER BY part, pos) FILTER (WHERE r.k IS NOT NULL), []) AS ls FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY 1),
+    p AS (SELECT conv_id, d, ks[1:d] AS key, CASE WHEN d > 0 THEN ls[d] ELSE 0 END AS tokens, d = len(ks) AS ended FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM q)),
+    nodes AS MATERIALIZED (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(tokens) AS tokens, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '') AS ends FROM p GROUP BY 1, 2),
+    kids AS MATERIALIZED (SELECT d - 1 AS d, key[1:d - 1] AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+    full_nodes AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM nodes n LEFT JOIN kids ON kids.d = n.d AND kids.key = n.key),
+    up AS (SELECT a AS d, key[1:a] AS key, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * tokens) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY 1, 2)
+    SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM full_nodes n JOIN up u ON u.d = n.d AND u.key = n.key LEFT JOIN nodes p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]"""
+
+
+def _repair_sql() -> str:
+    """The costs left to pay from the last row back, then the least letter on a cheapest way from the first row on."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit FROM conversations),
+    d AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS tie, unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS again, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+        CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM o WHERE hit <> 0),
+    n AS (SELECT *, row_number() OVER c AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, tie, again) AS seen, right(rtrim(text, {space}), 1) AS last FROM d WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, again)),
+    r AS MATERIALIZED (SELECT *, CASE WHEN last = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS ini, count(*) OVER (PARTITION BY conv_id) AS m, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM n),
+    stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+        count(*) FILTER (WHERE i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+    -- What is left to pay before row i in each state: start, after s, after u, after a pair.
+    pay(conv_id, i, a, b, c, e) AS (SELECT conv_id, max(i) + 1, 0, 6, 3, 0 FROM r GROUP BY 1
+        UNION ALL SELECT conv_id, i, least(a, c + 3, e + 6), least(b, c + 3, e + 6), least(c, e + 3), least(e, c + 3) FROM (SELECT p.conv_id, r.i,
+            least(4 + p.a, CASE WHEN r.fault IN ('b', 'd') THEN 999999999 ELSE least(3 + p.c, CASE r.ini WHEN 's' THEN p.b WHEN 'u' THEN p.c ELSE 999999999 END) + CASE r.fault WHEN 't' THEN 3 ELSE 0 END END) AS a,
+            least(4 + p.b, CASE WHEN r.fault IN ('b', 'd') THEN 999999999 ELSE least(3 + p.c, CASE r.ini WHEN 'u' THEN p.c ELSE 999999999 END) + CASE r.fault WHEN 't' THEN 3 ELSE 0 END END) AS b,
+            least(4 + p.c, CASE WHEN r.fault IN ('b', 'd') THEN 999999999 ELSE least(3 + p.e, CASE r.ini WHEN 'a' THEN p.e ELSE 999999999 END) + CASE r.fault WHEN 't' THEN 3 ELSE 0 END END) AS c,
+            least(4 + p.e, CASE WHEN r.fault IN ('b', 'd') THEN 999999999 ELSE least(3 + p.c, CASE r.ini WHEN 'u' THEN p.c ELSE 999999999 END) + CASE r.fault WHEN 't' THEN 3 ELSE 0 END END) AS e
+            FROM pay p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i - 1)),
+    owed AS (SELECT conv_id, i, unnest([0, 1, 2, 3]) AS state, unnest([a, b, c, e]) AS pay FROM pay),
+    -- The edits in order: the least letter that keeps to a cheapest way.
+    walk(conv_id, i, state, pay, audit, done, made) AS (SELECT conv_id, 1::BIGINT, 0, pay, '', false, CAST('' AS VARCHAR) FROM owed WHERE i = 1 AND state = 0
+        UNION ALL SELECT conv_id, i2, state2, pay2, audit || letter, false, made || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE state WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || CASE letter WHEN 'R' THEN text ELSE '' END END FROM (
+            SELECT w.*, o.i AS i2, o.state AS state2, o.pay AS pay2, s.letter, r.role, r.text, row_number() OVER (PARTITION BY w.conv_id ORDER BY s.letter) AS k
+            FROM walk w CROSS JOIN (VALUES ('D'), ('I'), ('K'), ('R')) s(letter) LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+            JOIN owed o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + CASE s.letter WHEN 'I' THEN 0 ELSE 1 END
+                AND o.state = CASE s.letter WHEN 'D' THEN w.state WHEN 'K' THEN CASE r.ini WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 END ELSE CASE w.state WHEN 2 THEN 3 ELSE 2 END END
+                AND (s.letter <> 'K' OR CASE r.ini WHEN 's' THEN w.state = 0 WHEN 'u' THEN w.state <> 2 WHEN 'a' THEN w.state = 2 ELSE false END)
+                AND (s.letter NOT IN ('K', 'R') OR r.fault NOT IN ('b', 'd'))
+                AND w.pay = o.pay + CASE s.letter WHEN 'D' THEN 4 WHEN 'I' THEN 3 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN s.letter IN ('K', 'R') AND r.fault = 't' THEN 3 ELSE 0 END) WHERE k = 1),
+    ends AS (SELECT conv_id, arg_max(audit, (i, length(audit))) AS audit, sha256(substr(arg_max(made, (i, length(audit))), 2)) AS sha FROM walk GROUP BY 1)
+    SELECT c.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(s.blank, 0) AS BIGINT) AS blank, CAST(coalesce(s.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(s.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(s.illegal, 0) AS BIGINT) AS illegal,
+        CAST(coalesce(p.pay, 0) AS BIGINT) AS cost, coalesce(e.audit, '') AS audit, coalesce(e.sha, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN owed p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = 1 AND p.state = 0 LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express: the others rest on seeded or 64-bit hashes,
     dynamic programming, a tokenizer library or a trained model, and are tested by brute force."""
@@ -179,4 +243,4 @@ def oracle_sql() -> dict[str, str]:
         pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
         links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {JACCARD["percent"]} * (x.n + y.n - k)), {_COMPONENTS}
         SELECT parts.id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, parts.component_id FROM parts LEFT JOIN n ON n.doc_id = parts.id"""
-    return {"op1_lm_scoring": lm, "op2_embedding_near_dedup": near, "op5_jaccard_join": jaccard, "op10_secret_scan": _secrets_sql()}
+    return {"op1_lm_scoring": lm, "op2_embedding_near_dedup": near, "op5_jaccard_join": jaccard, "op10_secret_scan": _secrets_sql(), "op11_conversation_trie": _trie_sql(), "op13_conversation_repair": _repair_sql()}
