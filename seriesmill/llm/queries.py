@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.session import importable
 
-from . import conversation_repair, conversation_trie, embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, token_counts, toxicity
+from . import conversation_repair, conversation_trie, embedding_join, jaccard_join, licenses, lm_scoring, mixing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 
 LM = {"order": 3, "min_count": 2, "alpha": 0.4, "block_bytes": 8 << 20}
 NEAR = {"cosine": 0.9, "cell_size": 4096, "tile_size": 4096}
@@ -21,6 +21,7 @@ MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2, "seed": 20240229}
 PIECE_MODEL, PIECE_THREADS = "piece_bpe_32k.model", 2
 LICENSE_DICE = 0.8
 TOXICITY = {"max_docs": 10_000, "max_features": 300, "toxic_at": 0.2, "seed": 20240229}
+PASSAGES = {"width": 100, "gram": 32, "block_bytes": 8 << 20, "files_bytes": 32 << 20, "bucket_bytes": 4 << 20}
 COUNT_TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
@@ -108,6 +109,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), **PASSAGES)
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(_read(spark, sf_dir, "conversations"))
 
@@ -181,6 +189,18 @@ def _trie_sql() -> str:
         FROM full_nodes n JOIN up u ON u.d = n.d AND u.key = n.key LEFT JOIN nodes p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]"""
 
 
+def _passages_sql() -> str:
+    """Every window of every text, by MD5; the first of each stays."""
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS doc, doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n FROM d),
+    w AS (SELECT doc, doc_id, p, md5(array_slice(b, p + 1, p + {PASSAGES["width"]})) AS s FROM (SELECT *, unnest(range(0, n - {PASSAGES["width"]} + 1)) AS p FROM n WHERE n >= {PASSAGES["width"]})),
+    a AS MATERIALIZED (SELECT doc, p FROM (SELECT doc, p, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, doc, p) AS k FROM w) WHERE k > 1),
+    g AS (SELECT doc, p, sum(new) OVER (PARTITION BY doc ORDER BY p) AS run FROM (SELECT doc, p, coalesce((p > lag(p) OVER (PARTITION BY doc ORDER BY p) + {PASSAGES["width"]})::INT, 1) AS new FROM a)),
+    r AS (SELECT doc, min(p) AS s, max(p) + {PASSAGES["width"]} AS e FROM g GROUP BY doc, run),
+    k AS (SELECT doc, s, e, lag(e, 1, 0) OVER (PARTITION BY doc ORDER BY s) AS after FROM r),
+    x AS (SELECT n.doc, doc_id, n, coalesce(sum(e - s), 0) AS gone, count(s) AS spans, coalesce(string_agg(hex(array_slice(b, after + 1, s)), '' ORDER BY s), '') || hex(array_slice(b, coalesce(max(e), 0) + 1, n)) AS kept FROM n LEFT JOIN k ON k.doc = n.doc GROUP BY n.doc, doc_id, n, b)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM x"""
+
+
 def _repair_sql() -> str:
     """The costs left to pay from the last row back, then the least letter on a cheapest way from the first row on."""
     space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -243,4 +263,4 @@ def oracle_sql() -> dict[str, str]:
         pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
         links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {JACCARD["percent"]} * (x.n + y.n - k)), {_COMPONENTS}
         SELECT parts.id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, parts.component_id FROM parts LEFT JOIN n ON n.doc_id = parts.id"""
-    return {"op1_lm_scoring": lm, "op2_embedding_near_dedup": near, "op5_jaccard_join": jaccard, "op10_secret_scan": _secrets_sql(), "op11_conversation_trie": _trie_sql(), "op13_conversation_repair": _repair_sql()}
+    return {"op1_lm_scoring": lm, "op2_embedding_near_dedup": near, "op5_jaccard_join": jaccard, "op10_secret_scan": _secrets_sql(), "op11_conversation_trie": _trie_sql(), "op12_suffix_dedup": _passages_sql(), "op13_conversation_repair": _repair_sql()}

@@ -60,7 +60,7 @@ def words(text):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_and_sql_agree(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = con.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in found.description]
