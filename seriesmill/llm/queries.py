@@ -21,7 +21,7 @@ MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2, "seed": 20240229}
 PIECE_MODEL, PIECE_THREADS = "piece_bpe_32k.model", 2
 LICENSE_DICE = 0.8
 TOXICITY = {"max_docs": 10_000, "max_features": 300, "toxic_at": 0.2, "seed": 20240229}
-PASSAGES = {"width": 100, "gram": 32, "block_bytes": 8 << 20, "files_bytes": 32 << 20, "bucket_bytes": 4 << 20}
+PASSAGES = {"width": 100, "gram": 32, "block_bytes": 4 << 20, "files_bytes": 16 << 20, "bucket_bytes": 2 << 20}
 COUNT_TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 

@@ -32,14 +32,14 @@ from pyspark.sql.window import Window
 from .blocks import TEXT_LEVEL, dealt_rows
 from .skew import join_hot
 from .storage import materialize, new_path
-from .text import BYTE, _Powers, byte_slices, mix, string_bytes
+from .text import BYTE, _Powers, byte_slices, mix, release, string_bytes
 
 # A perfect difference set, every difference modulo the period is that of two of its members.
 COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
 #: Values of bytes for the hash of a whole segment.
 OTHER = np.random.default_rng(57).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Windows whose grams are looked at together, and suffixes sorted at a time.
-PIECE, RANGE = 1 << 21, 1 << 18
+PIECE, RANGE = 1 << 20, 1 << 17
 
 
 def _shifts() -> np.ndarray:
@@ -165,6 +165,7 @@ def _met(blocks: DataFrame, width: int, gram: int) -> DataFrame:
                     [pa.array(grams[first].view(np.int64)), pa.array(segs[first].view(np.int64)), ids.take(pa.array(doc[first])), pa.array(np.full(len(first), batch.column(0)[k].as_py(), np.int64)), pa.array(start[first].astype(np.int32)), pa.array(n[first].astype(np.int32)), others],
                     names=["gram", "seg", "id", "block", "place", "n", "others"],
                 )
+                release()
 
     return blocks.select("block", "ids", "sizes", "data").mapInArrow(cut, "gram bigint, seg bigint, id bigint, block bigint, place int, n int, others array<int>")
 
@@ -277,6 +278,8 @@ def _sort_bucket(table: pa.Table, width: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], (again[1:] != again[:-1] + 1) | (seg[1:] != seg[:-1])])) if len(again) else np.empty(0, np.int64)
     many, seg, at = np.diff(np.append(first, len(again))), seg[first], again[first]
     place = table["place"].to_numpy()[seg] + (at - base[seg])
+    del data, base, starts
+    release()
     return pa.table({"block": table["block"].combine_chunks().take(pa.array(seg)), "place": pa.array(place.astype(np.int32)), "n": pa.array(many.astype(np.int32))})
 
 
@@ -344,6 +347,8 @@ def _cut_out(left: pa.Table, right: pa.Table, width: int) -> pa.Table:
     kept = raw[~gone]
     kept_at = np.concatenate([[0], np.cumsum(~gone)])[offsets]
     binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(kept.tobytes())])
+    del raw, gone, edge, inside, kept
+    release()
     return pa.table({"id": ids, "kept": binary.cast(pa.binary()), "removed": pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), spans)})
 
 
@@ -351,7 +356,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 32, block_bytes: int = 8 << 20, files_bytes: int = 32 << 20, bucket_bytes: int = 4 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 32, block_bytes: int = 4 << 20, files_bytes: int = 16 << 20, bucket_bytes: int = 2 << 20
 ) -> DataFrame:
     """``(id_col, n_bytes, kept, removed)`` of every document: its bytes less each one covered by ``width`` bytes
     that also start earlier, in a document of smaller id or before in the same one, and the removed spans.
