@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seriesmill.functions import numbers, trace_ids
-from seriesmill.functions.labels import LabelDomain, from_pairs, label_map, prometheus_labels, series_key, snake_case_column
+from seriesmill.functions.labels import LabelDomain, fingerprint, from_pairs, label_map, prometheus_labels, series_key, snake_case_column
 from seriesmill.operators import aggregate, cardinality, exposition, otel, run_stats, sampling, spans, temporality
 from seriesmill.plans.metric_set import MetricSet, MetricSpec
 from seriesmill.session import configure
-from seriesmill.sources.observations import access_profile, observations
+from seriesmill.sources.observations import observations, with_profile
 
 BOUNDS = (10, 50, 100, 500)
 TYPES = LabelDomain("event_type", ("view", "click", "signup", "purchase", "refund", "error"))
@@ -66,6 +67,9 @@ class Tables:
 # Aggregations
 
 _DAY = "strftime(ts, '%Y-%m-%d')"
+#: The types, and a member that no event has.
+WIDE = LabelDomain("event_type", (*TYPES.values, "none"))
+_WIDE = "d AS (SELECT CAST(i AS INTEGER) AS idx, event_type FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(WIDE.values)) + ") AS x(i, event_type))"
 _DOMAIN = "d AS (SELECT CAST(i AS INTEGER) AS idx, event_type FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(TYPES.values)) + ") AS x(i, event_type))"
 
 
@@ -89,13 +93,12 @@ def labeled_counter_complete(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_DOMAIN}, w AS (SELECT DISTINCT {_DAY} AS "window" FROM events), e AS (SELECT event_id, event_type, {_DAY} AS "window" FROM events WHERE event_id % 50 = 0)
-    SELECT w."window", d.idx, d.event_type, CAST(count(e.event_id) AS BIGINT) AS "sum" FROM w CROSS JOIN d LEFT JOIN e ON e.event_type = d.event_type AND e."window" = w."window"
-    WHERE w."window" IN (SELECT "window" FROM e) GROUP BY 1, 2, 3"""
+    f"""WITH {_WIDE}, e AS (SELECT event_id, event_type, {_DAY} AS "window" FROM events), w AS (SELECT DISTINCT "window" FROM e)
+    SELECT w."window", d.idx, d.event_type, CAST(count(e.event_id) AS BIGINT) AS "sum" FROM w CROSS JOIN d LEFT JOIN e ON e.event_type = d.event_type AND e."window" = w."window" GROUP BY 1, 2, 3"""
 )
 def labeled_counter_swap(t: Tables) -> DataFrame:
-    sums = aggregate.counter_swap(t.whole().where("event_id % 50 = 0"), F.col("day"), ["event_type"], "one")
-    return aggregate.complete(sums, TYPES, "event_type", {"sum": F.lit(0).cast("bigint")}, ["window"])
+    sums = aggregate.counter_swap(t.whole(), F.col("day"), ["event_type"], "one")
+    return aggregate.complete(sums, WIDE, "event_type", {"sum": F.lit(0).cast("bigint")}, ["window"])
 
 
 @query("SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS kind, CAST(count(*) AS BIGINT) AS \"sum\" FROM events GROUP BY 1")
@@ -110,10 +113,10 @@ def gauge_last(t: Tables) -> DataFrame:
     return aggregate.gauge_last(t.events, ["event_type"], "value", ("ts", "event_id"), 0.0)
 
 
-@query(f"WITH {_DOMAIN} SELECT d.idx, d.event_type, coalesce(arg_max(e.value, (e.ts, e.event_id)), 0.0) AS \"value\" FROM d LEFT JOIN events e ON e.event_type = d.event_type AND e.user_id = 3 GROUP BY 1, 2")
+@query(f"WITH {_WIDE} SELECT d.idx, d.event_type, coalesce(arg_max(e.value, (e.ts, e.event_id)), 0.0) AS \"value\" FROM d LEFT JOIN events e ON e.event_type = d.event_type GROUP BY 1, 2")
 def labeled_gauge_complete(t: Tables) -> DataFrame:
-    last = aggregate.gauge_last(t.events.where("user_id = 3"), ["event_type"], "value", ("ts", "event_id"), 0.0)
-    return aggregate.complete(last, TYPES, "event_type", {"value": F.lit(0.0)})
+    last = aggregate.gauge_last(t.events, ["event_type"], "value", ("ts", "event_id"), 0.0)
+    return aggregate.complete(last, WIDE, "event_type", {"value": F.lit(0.0)})
 
 
 _FOLD = """WITH e AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS v, event_id % 7 = 0 AS is_set FROM events),
@@ -174,13 +177,13 @@ def _text(counts: str):
 
 
 @query(
-    f"""WITH {_DOMAIN}, h AS (SELECT event_type, {_BUCKETS} AS counts, {_TOTALS} FROM events WHERE user_id = 3 GROUP BY 1)
+    f"""WITH {_WIDE}, h AS (SELECT event_type, {_BUCKETS} AS counts, {_TOTALS} FROM events GROUP BY 1)
     SELECT d.idx, d.event_type, coalesce(h.counts, '0,0,0,0,0') AS counts, coalesce(h."count", 0) AS "count", coalesce(h."sum", 0) AS "sum" FROM d LEFT JOIN h ON h.event_type = d.event_type"""
 )
 def labeled_histogram_complete(t: Tables) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    hist = aggregate.histogram(t.whole().where("user_id = 3"), BOUNDS, ["event_type"], "v")
-    out = aggregate.complete(hist, TYPES, "event_type", {"counts": F.array(*[zero] * (len(BOUNDS) + 1)), "count": zero, "sum": zero})
+    hist = aggregate.histogram(t.whole(), BOUNDS, ["event_type"], "v")
+    out = aggregate.complete(hist, WIDE, "event_type", {"counts": F.array(*[zero] * (len(BOUNDS) + 1)), "count": zero, "sum": zero})
     return out.withColumn("counts", _text("counts"))
 
 
@@ -228,13 +231,16 @@ def exp_histogram_compact(t: Tables) -> DataFrame:
     return exp.select("event_type", F.col("c.offset").alias("offset"), F.array_join(F.transform("c.counts", lambda x: x.cast("string")), ",").alias("counts"))
 
 
-@query("""WITH b AS (SELECT CAST(range AS INTEGER) AS b FROM range(63)), v AS (SELECT (1::BIGINT << b) + unnest([-1, 0, 1]) AS v FROM b), x AS (SELECT DISTINCT v, CAST(length(bin(v)) - 1 AS INTEGER) AS bucket FROM v WHERE v > 0)
+@query("""WITH p AS (SELECT DISTINCT CAST(floor(l_extendedprice * l_quantity * l_quantity) AS BIGINT) AS v FROM lineitem), b AS (SELECT DISTINCT length(bin(v)) - 1 AS b FROM p WHERE v > 0),
+    x AS (SELECT v, CAST(length(bin(v)) - 1 AS INTEGER) AS bucket FROM (SELECT v FROM p UNION SELECT (1::BIGINT << b) + unnest([-1, 0, 1]) FROM b) WHERE v > 0)
     SELECT v, bucket, CAST(CASE WHEN bucket = 0 THEN 1 ELSE 3 * pow(2, bucket - 1)::HUGEINT END AS BIGINT) AS midpoint, 1::BIGINT << bucket AS low,
     CASE WHEN bucket = 62 THEN 9223372036854775807 ELSE (1::BIGINT << (bucket + 1)) - 1 END AS high FROM x""")
 def exp_bucket_bounds(t: Tables) -> DataFrame:
-    """Either side of every power of two."""
-    v = t.spark.range(63).select(F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: numbers.bucket_low(F.col("id")) + x)).alias("v"))
-    v = v.where("v > 0").distinct().withColumn("bucket", numbers.bucket_index(F.col("v")))
+    """The buckets of all values, and of either side of every power of two that is among their bounds."""
+    v = t.lineitem.select(F.floor(F.col("l_extendedprice") * F.col("l_quantity") * F.col("l_quantity")).cast("bigint").alias("v")).distinct()
+    edge = v.where("v > 0").select(numbers.bucket_index(F.col("v")).alias("b")).distinct()
+    edge = edge.select(F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: numbers.bucket_low(F.col("b")) + x)).alias("v"))
+    v = v.union(edge).where("v > 0").distinct().withColumn("bucket", numbers.bucket_index(F.col("v")))
     b = F.col("bucket")
     return v.select("v", "bucket", numbers.bucket_midpoint(b).alias("midpoint"), numbers.bucket_low(b).alias("low"), numbers.bucket_high(b).alias("high"))
 
@@ -609,6 +615,21 @@ def metric_set_prometheus(t: Tables) -> DataFrame:
     return KIT.export_prometheus(_kit(t)).select("line")
 
 
+#: Two timers that the same producers call in turn.
+TIMERS = MetricSet([MetricSpec("reads", "timer", bounds=BOUNDS, stride=2), MetricSpec("writes", "timer", bounds=BOUNDS, domain=TYPES, stride=4)], "twin")
+
+
+@query(f"""WITH {_DOMAIN}, c AS (SELECT user_id, ts, event_id, {_V} AS v, event_type, event_type IN ('view', 'click') AS reads, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    s AS (SELECT *, rn % CASE WHEN reads THEN 2 ELSE 4 END = 0 AS sampled FROM c), w AS (SELECT d.event_type, count(s.event_id) AS calls, count(s.event_id) FILTER (WHERE sampled) AS n, coalesce(sum(v) FILTER (WHERE sampled), 0) AS total FROM d LEFT JOIN s ON s.event_type = d.event_type AND NOT s.reads GROUP BY 1),
+    r AS (SELECT count(*) AS calls, count(*) FILTER (WHERE sampled) AS n, coalesce(sum(v) FILTER (WHERE sampled), 0) AS total FROM s WHERE reads)
+    SELECT 'twin.' || unnest(['reads.calls:' || calls, 'reads.samples.count:' || n, 'reads.samples.sum:' || total]) || '|c' AS line FROM r
+    UNION ALL SELECT 'twin.' || unnest(['writes.calls:' || calls, 'writes.samples.count:' || n, 'writes.samples.sum:' || total]) || '|c|#event_type:' || event_type FROM w""")
+def metric_set_two_timers(t: Tables) -> DataFrame:
+    """Calls of a producer are one sequence, whichever timer they go to."""
+    calls = t.obs("reads", "elapsed", "v").withColumn("metric", F.when(F.try_element_at("labels", F.lit("event_type")).isin("view", "click"), "reads").otherwise("writes"))
+    return TIMERS.export_dogstatsd(calls).select("line")
+
+
 _COMPACT_TEXT = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE {0}::VARCHAR END"
 
 
@@ -629,6 +650,46 @@ def metric_set_table_rows(t: Tables) -> DataFrame:
     return otel.total_rows(KIT.export_clickhouse(_kit(t), RESOURCE))
 
 
+DYNAMIC = MetricSet([MetricSpec("hits", "counter", dynamic=True, max_series=CAP), MetricSpec("now", "gauge", dynamic=True, max_series=CAP), MetricSpec("size", "histogram", bounds=BOUNDS, dynamic=True, max_series=CAP), MetricSpec("spread", "distribution", dynamic=True, max_series=CAP)], "dyn")
+_FIRST_SETS = f"WITH f AS (SELECT user_id, event_type, row_number() OVER (ORDER BY min((ts, event_id)), event_type, CAST(user_id AS VARCHAR)) AS rn FROM events GROUP BY 1, 2)"
+
+
+@query(f"""{_FIRST_SETS}, e AS (SELECT CASE WHEN rn <= {CAP} THEN 'event_type=' || f.event_type || ',user_id=' || f.user_id ELSE '__ft_overflow=true' END AS attributes, {_V} AS v, ts, event_id FROM events JOIN f USING (user_id, event_type)),
+    b AS (SELECT attributes, CAST(CASE WHEN v > 0 THEN length(bin(v)) - 1 END AS INTEGER) AS b, count(*) AS n FROM e GROUP BY 1, 2), lo AS (SELECT attributes, min(b) AS lo, max(b) AS hi, sum(n) FILTER (WHERE b IS NULL) AS zeros FROM b GROUP BY 1),
+    x AS (SELECT attributes, string_agg(n::VARCHAR, ',' ORDER BY i) AS counts FROM (SELECT lo.attributes, i, coalesce(b.n, 0) AS n FROM (SELECT attributes, unnest(range(lo, hi + 1)) AS i FROM lo) lo LEFT JOIN b ON b.attributes = lo.attributes AND b.b = lo.i) GROUP BY 1)
+    SELECT 'dyn_hits' AS "MetricName", attributes, count(*)::DOUBLE AS "Value", '' AS counts, 0.0::DOUBLE AS "Min", 0.0::DOUBLE AS "Max" FROM e GROUP BY 2
+    UNION ALL SELECT 'dyn_now', attributes, arg_max(v, (ts, event_id))::DOUBLE, '', 0.0, 0.0 FROM e GROUP BY 2
+    UNION ALL SELECT 'dyn_size', attributes, sum(v)::DOUBLE, {_BUCKETS.replace("floor(value)", "v")}, 0.0, 0.0 FROM e GROUP BY 2
+    UNION ALL SELECT 'dyn_spread', e.attributes, sum(v)::DOUBLE, coalesce(any_value(lo.zeros), 0)::VARCHAR || ';' || coalesce(any_value(lo.lo), 0) || ';' || coalesce(any_value(x.counts), ''),
+        CASE WHEN any_value(lo.zeros) > 0 THEN 0 ELSE (1::BIGINT << any_value(lo.lo)) END::DOUBLE, CASE WHEN any_value(lo.hi) IS NULL THEN 0 ELSE (1::BIGINT << (any_value(lo.hi) + 1)) - 1 END::DOUBLE FROM e JOIN lo ON lo.attributes = e.attributes LEFT JOIN x ON x.attributes = e.attributes GROUP BY 2""")
+def metric_set_dynamic_rows(t: Tables) -> DataFrame:
+    """The rows of the four tables for dynamic metrics with an overflow series, value by value."""
+    obs = exposition.union(*[t.obs(s.field, {"counter": "add", "gauge": "set"}.get(s.family, "record"), "one" if s.family == "counter" else "v") for s in DYNAMIC.specs])
+    tables, none = DYNAMIC.export_clickhouse(obs, RESOURCE), F.lit("")
+    attributes = F.array_join(F.transform(series_key(F.col("Attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("attributes")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    plain = [tables[n].select("MetricName", attributes, "Value", none.alias("counts"), F.lit(0.0).alias("Min"), F.lit(0.0).alias("Max")) for n in (otel.SUM, otel.GAUGE)]
+    size = tables[otel.HISTOGRAM].select("MetricName", attributes, F.col("Sum").alias("Value"), text("BucketCounts").alias("counts"), "Min", "Max")
+    spread = tables[otel.EXP_HISTOGRAM].select("MetricName", attributes, F.col("Sum").alias("Value"), F.concat_ws(";", F.col("ZeroCount").cast("string"), F.col("PositiveOffset").cast("string"), text("PositiveBucketCounts")).alias("counts"), "Min", "Max")
+    return exposition.union(*plain, size, spread)
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS fingerprints, count(DISTINCT (user_id, event_type)) AS label_sets, true AS either_order FROM events")
+def label_fingerprints(t: Tables) -> DataFrame:
+    """As many fingerprints as label sets, whatever the order of their keys."""
+    e = t.events.select(label_map(event_type="event_type", user_id="user_id").alias("a"), F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("event_type"), F.col("event_type")).alias("b"))
+    e = e.select(fingerprint(F.col("a")).alias("f"), (fingerprint(F.col("a")) == fingerprint(F.col("b"))).alias("same"), series_key(F.col("a")).alias("k"))
+    return e.agg(F.count_distinct("f").alias("fingerprints"), F.count_distinct("k").alias("label_sets"), F.bool_and("same").alias("either_order"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS traces, CAST(count(*) AS BIGINT) AS spans, CAST(count(*) AS BIGINT) AS valid FROM orders")
+def random_ids(t: Tables) -> DataFrame:
+    """Random ids of every order's root span: valid, and none twice."""
+    ids = t.orders.select(trace_ids.random_trace_id().alias("t"), trace_ids.random_span_id().alias("s"))
+    good = F.col("t").rlike("^[0-9a-f]{32}$") & F.col("s").rlike("^[0-9a-f]{16}$") & trace_ids.is_valid(F.col("t")) & trace_ids.is_valid(F.col("s"))
+    return ids.agg(F.count_distinct("t").alias("traces"), F.count_distinct("s").alias("spans"), F.count_if(good).alias("valid"))
+
+
 @query(f"WITH {_DOMAIN}, {_GAUGES} SELECT 'kit_' || unnest(['high', 'high_f', 'low', 'low_f', 'last']) AS \"MetricName\", '' AS attributes, unnest([high::DOUBLE, high_f, low::DOUBLE, low_f, last::DOUBLE]) AS \"Value\" FROM g UNION ALL SELECT 'kit_by_type', 'event_type=' || event_type, v::DOUBLE FROM k UNION ALL SELECT 'kit_level', 'event_type=' || event_type || ',user_id=' || user_id, \"value\"::DOUBLE FROM l")
 def metric_set_otlp_gauges(t: Tables) -> DataFrame:
     """The set as OTLP JSON, read back as rows of the gauge table."""
@@ -732,10 +793,11 @@ def run_summary(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("cv_pct", "trimmed_mean")})
 
 
-@query("""WITH i AS (SELECT CAST(range AS BIGINT) AS id FROM range(4000)), p AS (SELECT id % 4 AS thread, id // 4 AS i FROM i)
+@query("""WITH p AS (SELECT user_id % 4 AS thread, event_id AS i FROM events)
     SELECT thread, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT thread, CASE WHEN i % 16 <> 0 THEN (i + thread) % 8 ELSE (i + thread) % 100 END AS label FROM p) GROUP BY 1, 2""")
 def hotspot_profile(t: Tables) -> DataFrame:
-    return access_profile(t.spark, "hotspot", 1000, 100, 4).groupBy("thread", "label").agg(F.count(F.lit(1)).alias("n"))
+    calls = t.events.select((F.col("user_id") % 4).alias("thread"), F.col("event_id").alias("i"))
+    return with_profile(calls, "hotspot", 100).groupBy("thread", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -777,7 +839,7 @@ def trace_children(t: Tables) -> DataFrame:
 def trace_tree(t: Tables) -> DataFrame:
     roots, children = _spans(t)
     columns = ["trace_id", "span_id", "parent_span_id"]
-    depths = spans.tree_depths(roots.select(*columns).unionByName(children.select(*columns)), 4)
+    depths = spans.tree_depths(roots.select(*columns).unionByName(children.select(*columns)))
     return depths.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -824,14 +886,37 @@ def span_fields(t: Tables) -> DataFrame:
     return roots.groupBy("o_orderstatus", F.col("status.code").alias("code"), F.col("status.message").alias("message"), keys).agg(F.max(F.element_at("attributes", -1)["value"]["s"]).alias("highest"), F.sum(F.size("events")).alias("events"))
 
 
-@query("""WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 50 = 0), l AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 7 = 0)
-    SELECT l.event_id, arg_max(s.event_id, (s.ts, s.event_id)) AS span_event FROM l LEFT JOIN s ON s.user_id = l.user_id AND l.ts BETWEEN s.ts AND s.ts + INTERVAL 1 HOUR GROUP BY 1""")
+_SPAN_MINUTES = "CASE WHEN event_id % 10 = 0 THEN 1440 ELSE event_id % 50 END"
+
+
+@query(f"""WITH s AS (SELECT event_id, user_id, ts, epoch_us(ts) AS a, epoch_us(ts) + {_SPAN_MINUTES} * 60000000 AS b FROM events)
+    SELECT l.event_id, arg_max(s.event_id, (s.ts, s.event_id)) AS span_event FROM s AS l LEFT JOIN s ON s.user_id = l.user_id AND l.a - 1 BETWEEN s.a AND s.b GROUP BY 1""")
 def span_current(t: Tables) -> DataFrame:
-    """The innermost span that is open on a log's thread at its time."""
-    e = t.events.select("event_id", F.col("user_id").alias("producer"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_unix_nano"))
-    opened = e.where("event_id % 50 = 0").select("producer", F.lit("t").alias("trace_id"), F.col("event_id").alias("span_id"), F.col("time_unix_nano").alias("start_unix_nano"), (F.col("time_unix_nano") + 3_600_000_000_000).alias("end_unix_nano"))
-    out = spans.current_spans(e.where("event_id % 7 = 0"), opened, bucket_nanos=3_600_000_000_000)
-    return out.select("event_id", F.col("span_id").alias("span_event"))
+    """The innermost span that is open on a log's thread just before its time; spans last from no time to a day."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = t.events.select("event_id", F.col("user_id").alias("producer"), ((micros - 1) * 1000).alias("time_unix_nano"))
+    opened = t.events.select(F.col("user_id").alias("producer"), F.lit("t").alias("trace_id"), F.col("event_id").alias("span_id"), (micros * 1000).alias("start_unix_nano"), (micros * 1000 + F.expr(_SPAN_MINUTES) * 60_000_000_000).alias("end_unix_nano"))
+    return spans.current_spans(e, opened).select("event_id", F.col("span_id").alias("span_event"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER w AS rn, sum(CASE WHEN event_type = 'error' AND event_id % 40 = 0 THEN 1 ELSE 0 END) OVER w AS stretch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY rn) - 1 AS below, first_value(event_id) OVER (PARTITION BY user_id, stretch ORDER BY rn) AS top FROM r)
+    SELECT event_id, CASE WHEN user_id % 10 = 0 AND stretch = 0 THEN NULL ELSE CAST(below AS BIGINT) END AS depth, CASE WHEN user_id % 10 = 0 AND stretch = 0 THEN NULL ELSE CAST(top AS VARCHAR) END AS root FROM g""")
+def span_chains(t: Tables) -> DataFrame:
+    """Every event is a span under its user's event before; some have a parent that is missing, and the first event of
+    every tenth user is under the user's last, which makes a cycle of what no missing parent cuts off."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    last = F.last("event_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cut = (F.col("event_type") == "error") & (F.col("event_id") % 40 == 0)
+    chain = t.events.select("user_id", "event_id", "ts", cut.alias("cut"), F.lag("event_id").over(w).alias("before"), last.alias("last"))
+    # The last event of the first stretch: the cycle closes within it.
+    stretch = F.sum(F.col("cut").cast("int")).over(w)
+    end = F.max_by("event_id", F.struct("ts", "event_id")).over(Window.partitionBy("user_id", "stretch"))
+    chain = chain.withColumn("stretch", stretch).withColumn("end", end)
+    parent = F.when(F.col("cut"), F.lit(-1)).when(F.col("before").isNull() & (F.col("user_id") % 10 == 0), F.col("end")).otherwise(F.col("before"))
+    known = chain.select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), parent.cast("string").alias("parent_span_id"))
+    out = spans.tree_depths(known)
+    return out.select(F.col("span_id").cast("bigint").alias("event_id"), F.col("depth").cast("bigint").alias("depth"), F.col("root_span_id").alias("root"))
 
 
 @query("SELECT 'order' AS name, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'line', CAST(count(*) AS BIGINT) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0")

@@ -8,9 +8,12 @@ type and one field for each type.  Attributes are a list: repeats are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.sources.rounds import kept
 from seriesmill.functions import trace_ids
 
 VALUE = "struct<type:string,s:string,i:bigint,d:double,b:boolean>"
@@ -95,34 +98,53 @@ def edges(spans: DataFrame) -> DataFrame:
     return spans.where("parent_span_id is not null").join(parents, ["trace_id", "parent_span_id"]).select("trace_id", "parent_span_id", "parent_name", "span_id", "name")
 
 
-def tree_depths(spans: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``(trace_id, span_id, depth, root_span_id)``: roots, and orphans of missing parents, have depth 0.
+def tree_depths(spans: DataFrame) -> DataFrame:
+    """``(trace_id, span_id, depth, root_span_id)`` of every span, whose ids occur once in a trace.
 
-    Ancestors are doubled each round (a span's pointer skips as far again), so
-    the rounds are the logarithm of the depth; cycles stop at ``max_depth``.
+    Roots, and orphans of missing parents, have depth 0.  Spans on a cycle of parents, or below one, have
+    no depth and no root.  Each round a pointer skips as far again as it has come, and a
+    span whose pointer has passed its root is done; so there are as many rounds as the depth has binary digits,
+    over fewer spans each, every one written.  Pointers that are still under way after more steps than the largest
+    trace has spans are on a cycle.
     """
     known = spans.select("trace_id", F.col("span_id").alias("p"), F.lit(True).alias("known"))
     ptr = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("p")).join(known, ["trace_id", "p"], "left")
-    ptr = ptr.select("trace_id", "span_id", F.when(F.col("known"), F.col("p")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"))
-    ptr = ptr.withColumn("top", F.coalesce("up", "span_id"))
-    for _ in range(max(1, (max_depth - 1).bit_length())):
-        far = ptr.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("top").alias("t2"))
-        ptr = ptr.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("t2", "top").alias("top"))
-    return ptr.select("trace_id", "span_id", "depth", F.col("top").alias("root_span_id"))
-
-
-def current_spans(logs: DataFrame, spans: DataFrame, producer: str = "producer", at: str = "time_unix_nano", bucket_nanos: int = 1_000_000_000) -> DataFrame:
+    ptr = kept(ptr.select("trace_id", "span_id", F.when(F.col("known"), F.col("p")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"), F.when(F.col("known"), F.col("p")).otherwise(F.col("span_id")).alias("top")), "spans")
+    done, under_way, reach = [ptr.where("up is null")], ptr.where("up is not null"), 1
+    most = None
+    while not under_way.isEmpty():
+        if reach >= 64 and most is None:
+            most = spans.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+        if most is not None and reach > most:
+            done.append(under_way.select("trace_id", "span_id", "up", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("top")))
+            break
+        everyone = reduce(DataFrame.unionByName, [*done, under_way])
+        far = everyone.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("top").alias("t2"))
+        step = under_way.join(far, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("t2").alias("top"))
+        step, reach = kept(step, "spans"), 2 * reach
+        done.append(step.where("up is null"))
+        under_way = step.where("up is not null")
+    return reduce(DataFrame.unionByName, done).select("trace_id", "span_id", "depth", F.col("top").alias("root_span_id"))
+
+
+def current_spans(logs: DataFrame, spans: DataFrame, producer: str = "producer", at: str = "time_unix_nano") -> DataFrame:
     """Each log row with the innermost span open on its producer at its time, or nulls.
 
-    Spans are laid over time buckets, so it is an equality join on producer and bucket,
-    then the latest start that fits.
+    A span lies in one or two cells of the least power of two that is no shorter than it, whatever its length; a
+    log row is looked for in its cell of each size in use, at most 63.  So it is an equality join on producer, size and
+    cell, then the latest start that fits.
     """
-    s = spans.select(F.col(producer).alias("_p"), "trace_id", "span_id", "start_unix_nano", "end_unix_nano", F.explode(F.sequence(F.floor(F.col("start_unix_nano") / bucket_nanos), F.floor(F.col("end_unix_nano") / bucket_nanos))).alias("_b"))
-    l = logs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_k", F.floor(F.col(at) / bucket_nanos))
-    hit = (F.col(producer) == F.col("_p")) & (F.col("_k") == F.col("_b")) & F.col(at).between(F.col("start_unix_nano"), F.col("end_unix_nano"))
-    best = F.max_by(F.struct("trace_id", "span_id"), F.struct("start_unix_nano", "span_id")).alias("_c")
-    joined = l.join(s, hit, "left").groupBy("_row", *logs.columns).agg(best)
-    return joined.select(*logs.columns, F.col("_c.trace_id").alias("trace_id"), F.col("_c.span_id").alias("span_id"))
+    size = lambda nanos: F.when(nanos > 0, F.length(F.bin(nanos))).otherwise(0)
+    cell = lambda t, bits: F.call_function("shiftright", t, bits.cast("int"))
+    start, end = F.col("start_unix_nano"), F.col("end_unix_nano")
+    s = spans.where(end >= start).select(F.col(producer).alias("_p"), "trace_id", "span_id", start, end, size(end - start).cast("int").alias("_size"))
+    sizes = sorted(r[0] for r in s.select("_size").distinct().collect())
+    s = s.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(start, F.col("_size")), cell(end, F.col("_size"))))))
+    l = logs.withColumn("_row", F.monotonically_increasing_id())
+    looked = l.select("_row", F.col(producer).alias("_p"), F.col(at).alias("_at"), F.explode(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")).alias("_size"))
+    found = looked.withColumn("_cell", cell(F.col("_at"), F.col("_size"))).join(s, ["_p", "_size", "_cell"]).where(F.col("_at").between(start, end))
+    best = found.groupBy("_row").agg(F.max_by(F.struct("trace_id", "span_id"), F.struct("start_unix_nano", "span_id")).alias("_c"))
+    return l.join(best, "_row", "left").select(*logs.columns, F.col("_c.trace_id").alias("trace_id"), F.col("_c.span_id").alias("span_id"))
 
 
 def counters(spans: DataFrame, recorded: str = "recorded") -> DataFrame:

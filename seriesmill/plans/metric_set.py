@@ -1,7 +1,8 @@
 """A declared set of metrics and its exports, each a single plan.
 
 ``MetricSet`` is the schema: fields in export order with their kinds.  Given
-observations it aggregates each metric once and projects it to any format.
+observations it aggregates all metrics in one pass (``plans.fused``) and projects the
+series to any format.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions import numbers
 from seriesmill.functions.labels import LabelDomain
-from seriesmill.operators import aggregate, cardinality, exposition, otel, sampling, temporality
+from seriesmill.operators import aggregate, cardinality, exposition, otel, temporality
+from seriesmill.plans import fused
 
 #: Kinds by what is aggregated; a labeled form has a domain, a dynamic form keeps the label sets.
 KINDS = ("counter", "gauge", "gauge_f64", "max_gauge", "max_gauge_f64", "min_gauge", "min_gauge_f64", "gauge_i64", "histogram", "distribution", "timer")
@@ -58,6 +60,7 @@ class MetricSet:
     prefix: str = ""
     strict_compat: bool = False
     projections: dict[str, Projection] = field(default_factory=dict)
+    _held: list[DataFrame] = field(default_factory=list, init=False, repr=False, compare=False)
 
     def name(self, spec: MetricSpec, separator: str = "_") -> str:
         return f"{self.prefix}{separator}{spec.field}" if self.prefix else spec.field
@@ -66,6 +69,11 @@ class MetricSet:
         """A projection of one's own for a kind, used by ``project``."""
         self.projections[kind] = projection
 
+    def __post_init__(self):
+        fields = [s.field for s in self.specs]
+        if len(set(fields)) < len(fields):
+            raise ValueError("a metric is declared once")
+
     # Series
 
     def series(self, obs: DataFrame, spec: MetricSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -73,49 +81,33 @@ class MetricSet:
 
         ``by``: further grouping columns, such as an export window.  Dynamic metrics go
         through the cardinality cap first; labeled ones have a row for every member of
-        their domain (without ``by``).
+        their domain (without ``by``).  All metrics of the set are read together.
         """
-        mine = obs.where(F.col("metric") == spec.field)
-        keys = list(by)
-        if spec.kind == "timer":
-            mine = sampling.stride_sample(mine, spec.stride)
-        if spec.dynamic:
-            mine = cardinality.cap_series(mine, spec.max_series)
-            keys.append("labels")
-        elif spec.domain:
-            label = spec.domain.label_name
-            mine = aggregate.into_domain(mine.withColumn(label, F.try_element_at("labels", F.lit(label))), spec.domain, label)
-            keys.append(label)
-        out = self._read(mine, spec, keys)
-        if spec.domain:
-            if not by:
-                out = aggregate.complete(out, spec.domain, spec.domain.label_name, self._fill(spec))
-            out = out.withColumn("labels", otel.label_attributes(spec.domain.label_name))
+        return self._series(self.fused(obs, by), spec, by)
+
+    def fused(self, obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """The states of all metrics' series from one pass over the observations, kept by Spark's cache.
+
+        ``release`` drops what is kept.
+        """
+        out = fused.fuse(obs, self.specs, by, self._held)
+        self._held.append(out)
         return out
 
-    def _read(self, obs: DataFrame, spec: MetricSpec, keys: Sequence[str]) -> DataFrame:
-        match spec.kind:
-            case "counter":
-                return aggregate.counter_sum(obs, keys)
-            case "gauge":
-                return aggregate.gauge_last(obs, keys, "value_l", initial=spec.initial or 0)
-            case "gauge_f64":
-                return aggregate.gauge_last(obs, keys, "value_d", initial=float(spec.initial or 0))
-            case "gauge_i64":
-                return aggregate.set_add_fold(obs, keys)
-            case "histogram":
-                return aggregate.histogram(obs, spec.bounds, keys)
-            case "distribution":
-                return aggregate.exponential_stats(aggregate.exponential_histogram(obs, keys))
-            case "timer":
-                return aggregate.timer(obs, spec.bounds, keys)
-        value, largest = ("value_d" if spec.kind.endswith("f64") else "value_l"), spec.kind.startswith("max")
-        initial = {("max_initial" if largest else "min_initial"): spec.initial} if spec.initial is not None else {}
-        return aggregate.extrema(obs, keys, value, names=("value", "_other") if largest else ("_other", "value"), **initial).drop("_other")
+    def release(self) -> None:
+        for df in self._held:
+            df.unpersist()
+        self._held.clear()
 
-    def _fill(self, spec: MetricSpec):
-        zero, none = F.lit(0).cast("bigint"), F.array(*[F.lit(0).cast("bigint")] * (len(spec.bounds) + 1))
-        return {"counter": {"sum": zero}, "histogram": {"counts": none, "count": zero, "sum": zero}, "timer": {"calls": zero, "counts": none, "sample_count": zero, "sample_sum": zero}}.get(spec.kind, {"value": zero})
+    def _series(self, states: DataFrame, spec: MetricSpec, by: Sequence[str] = ()) -> DataFrame:
+        mine = states.where(F.col("metric_order") == list(self.specs).index(spec))
+        keys = [*by]
+        if spec.domain:
+            mine = mine.withColumn(spec.domain.label_name, F.col("labels")[spec.domain.label_name])
+            keys.append(spec.domain.label_name)
+        if spec.dynamic or spec.domain:
+            keys.append("labels")
+        return mine.select(*keys, *fused.columns(spec))
 
     @staticmethod
     def _labels(spec: MetricSpec) -> str | None:
@@ -129,9 +121,9 @@ class MetricSet:
 
     def export_prometheus(self, obs: DataFrame) -> DataFrame:
         """``(metric_order, series, pos, line)``; cumulative."""
-        parts = []
+        parts, states = [], self.fused(obs)
         for spec in self.specs:
-            s, name, kw = self.series(obs, spec), self.name(spec), {"help_": spec.help or spec.field, "labels": self._labels(spec), "strict_compat": self.strict_compat}
+            s, name, kw = self._series(states, spec), self.name(spec), {"help_": spec.help or spec.field, "labels": self._labels(spec), "strict_compat": self.strict_compat}
             match spec.family:
                 case "counter":
                     parts.append(exposition.prometheus_counter(s, name, **kw))
@@ -164,7 +156,8 @@ class MetricSet:
 
     def export_dogstatsd(self, obs: DataFrame, tags: dict[str, str] | None = None) -> DataFrame:
         """``(metric_order, series, pos, line)`` of running totals."""
-        return self._numbered([self._dogstatsd(self.series(obs, spec), spec, tags) for spec in self.specs])
+        states = self.fused(obs)
+        return self._numbered([self._dogstatsd(self._series(states, spec), spec, tags) for spec in self.specs])
 
     def export_dogstatsd_delta(self, obs: DataFrame, window: str, tags: dict[str, str] | None = None) -> DataFrame:
         """``(metric_order, window, series, pos, line)``: what each window adds.
@@ -174,11 +167,12 @@ class MetricSet:
         zeros in every later window up to the last of all, and members of a closed domain
         in every window; distributions have none.
         """
-        span, parts = obs.agg(F.min(window).alias("first"), F.max(window).alias("last")), []
+        states, parts = self.fused(obs, [window]), []
+        span = states.agg(F.min(window).alias("first"), F.max(window).alias("last"))
         for spec in self.specs:
-            s = self.series(obs, spec, [window])
+            s = self._series(states, spec, [window])
             if spec.family in ("counter", "histogram", "timer"):
-                fill = {c: f for c, f in self._fill(spec).items() if c != "counts"}
+                fill = dict.fromkeys({"counter": ("sum",), "histogram": ("count", "sum"), "timer": ("calls", "sample_count", "sample_sum")}[spec.family], F.lit(0).cast("bigint"))
                 labels = self._labels(spec)
                 members = None
                 if spec.domain:
@@ -191,8 +185,9 @@ class MetricSet:
     def export_clickhouse(self, obs: DataFrame, resource: otel.Resource) -> dict[str, DataFrame]:
         """The four OTel row tables; tables that no metric feeds are absent."""
         parts: dict[str, list[DataFrame]] = {}
+        states = self.fused(obs)
         for spec in self.specs:
-            s, name, labels, text = self.series(obs, spec), self.name(spec), self._labels(spec), spec.help or spec.field
+            s, name, labels, text = self._series(states, spec), self.name(spec), self._labels(spec), spec.help or spec.field
             match spec.family:
                 case "counter":
                     parts.setdefault(otel.SUM, []).append(otel.sum_rows(s, resource, name, "sum", text, labels))
@@ -210,9 +205,9 @@ class MetricSet:
 
     def export_otlp(self, obs: DataFrame, resource: otel.Resource) -> DataFrame:
         """``json``: one OTLP metric a row; dynamic metrics without series are left out."""
-        parts, at = [], resource.time_unix_nano
+        parts, at, states = [], resource.time_unix_nano, self.fused(obs)
         for spec in self.specs:
-            s, name, labels, text = self.series(obs, spec), self.name(spec), self._labels(spec), spec.help or spec.field
+            s, name, labels, text = self._series(states, spec), self.name(spec), self._labels(spec), spec.help or spec.field
             match spec.family:
                 case "counter":
                     parts.append(otel.metric_json(s, "sum", name, at, "sum", description=text, labels=labels))
@@ -230,7 +225,8 @@ class MetricSet:
 
     def project(self, obs: DataFrame) -> DataFrame:
         """The registered projections of every metric whose kind has one, together."""
-        parts = [self.projections[s.kind](self.series(obs, s), s, self.name(s)) for s in self.specs if s.kind in self.projections]
+        states = self.fused(obs)
+        parts = [self.projections[s.kind](self._series(states, s), s, self.name(s)) for s in self.specs if s.kind in self.projections]
         return reduce(DataFrame.unionByName, parts)
 
     def overflow_warnings(self, obs: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def write(obs: DataFrame, path: str, format: str = "parquet", mode: str = "appen
     (writer.option("header", "true") if format == "csv" else writer).format(format).save(path)
 
 
-def access_profile(spark: SparkSession, profile: str, rows: int, n_labels: int, threads: int = 1) -> DataFrame:
-    """``(thread, i, label)``: label numbers by access profile.
+def with_profile(calls: DataFrame, profile: str, n_labels: int) -> DataFrame:
+    """Adds ``label``, the number of the label that call ``i`` of ``thread`` goes to.
 
     uniform: (i + t) mod n.  hotspot: 15 of 16 go round the first min(8, n) labels, the rest over all.
     churn: (17 i + 131 t) mod n.
@@ -67,5 +67,10 @@ def access_profile(spark: SparkSession, profile: str, rows: int, n_labels: int,
         "hotspot": F.when(i % 16 != 0, (i + t) % min(8, n_labels)).otherwise((i + t) % n),
         "churn": (i * 17 + t * 131) % n,
     }[profile]
-    base = spark.range(rows * threads).select((F.col("id") % threads).alias("thread"), F.floor(F.col("id") / threads).alias("i"))
-    return base.withColumn("label", index)
+    return calls.withColumn("label", index)
+
+
+def access_profile(spark: SparkSession, profile: str, rows: int, n_labels: int, threads: int = 1) -> DataFrame:
+    """``(thread, i, label)``: calls made up by a profile of ``with_profile``."""
+    calls = spark.range(rows * threads).select((F.col("id") % threads).alias("thread"), F.floor(F.col("id") / threads).alias("i"))
+    return with_profile(calls, profile, n_labels)

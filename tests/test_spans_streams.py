@@ -1,6 +1,7 @@
 """Spans, streams and sinks."""
 
 import json
+import random
 import socket
 from datetime import datetime, timedelta
 
@@ -57,6 +58,37 @@ def test_deep_tree(spark):
     assert got == {str(i): (i, "0") for i in range(n)}
 
 
+def test_depths_of_random_forests_with_cycles(spark):
+    """A chain of a thousand, cycles with branches, orphans and a span that is its own parent."""
+    rng = random.Random(1)
+    parents = {("chain", f"c{i}"): f"c{i - 1}" if i else None for i in range(1000)}
+    for trace in range(6):
+        ids = [f"s{i}" for i in range(150)]
+        parents |= {(f"t{trace}", s): rng.choice([None, "gone", *rng.choices(ids, k=10)]) for s in ids}
+    parents["self", "x"] = "x"
+    want = {}
+    for trace, span in parents:
+        seen, at = [span], span
+        while (up := parents[trace, at]) and (trace, up) in parents and up not in seen:
+            seen.append(at := up)
+        cyclic = up in seen
+        want[trace, span] = (None, None) if cyclic else (len(seen) - 1, at)
+    df = spark.createDataFrame([(t, s, p) for (t, s), p in parents.items()], "trace_id string, span_id string, parent_span_id string").repartition(4)
+    assert {(r.trace_id, r.span_id): (r.depth, r.root_span_id) for r in spans.tree_depths(df).collect()} == want
+    assert spans.tree_depths(df.limit(0)).collect() == []
+
+
+def test_current_span_of_any_length(spark):
+    rng = random.Random(2)
+    made = [(rng.choice("pq"), "t", f"s{i}", (a := rng.randint(-500, 1 << 40)), a + rng.choice([0, 1, 7, 1 << 20, 1 << 38, (1 << 40) - 1])) for i in range(120)]
+    at = [(rng.choice("pqr"), t) for t in [*(rng.randint(-600, 1 << 41) for _ in range(200)), *(m[3] for m in made), *(m[4] for m in made)]]
+    s = spark.createDataFrame(made, "producer string, trace_id string, span_id string, start_unix_nano bigint, end_unix_nano bigint")
+    logs = spark.createDataFrame([(i, *a) for i, a in enumerate(at)], "i int, producer string, time_unix_nano bigint")
+    want = {i: max(((m[3], m[2]) for m in made if m[0] == p and m[3] <= t <= m[4]), default=(None, None))[1] for i, (p, t) in enumerate(at)}
+    assert {r.i: r.span_id for r in spans.current_spans(logs, s).collect()} == want
+    assert spans.current_spans(logs, s.limit(0)).where("span_id is not null").count() == 0
+
+
 def test_attributes_events_and_otlp(spark):
     roots, _ = tree(spark)
     s = roots.where("id = 1").withColumn("attributes", spans.set_attribute(F.col("attributes"), "k", F.lit("a"), "string"))

@@ -180,6 +180,35 @@ def test_metric_set_tables_and_otlp(spark):
     assert m.overflow_warnings(stream(spark)).collect()[0].metric == "lat"
 
 
+def test_metric_set_reads_observations_once(spark):
+    """Every row passes once, whatever the number of metrics and exports."""
+    seen, m = spark.sparkContext.accumulator(0), MetricSet(SPECS, "app")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    o = stream(spark)
+    n, counted = o.count(), o.mapInArrow(count, o.schema)
+    m.export_prometheus(counted).collect()
+    assert seen.value == n
+    m.export_dogstatsd(counted).collect()
+    {t: rows.count() for t, rows in m.export_clickhouse(counted, R).items()}
+    assert seen.value == n
+    m.release()
+
+
+def test_timers_of_a_producer_are_one_sequence(spark):
+    """Two timers called in turn at stride 2: all samples are of one; a timer outside the set counts, too."""
+    calls = [(t, "elapsed", {}, 5) for _ in range(8) for t in ("a", "b")]
+    both = MetricSet([MetricSpec("a", "timer", stride=2), MetricSpec("b", "timer", stride=2)])
+    assert [s.sample_count for s in (both.series(obs(spark, calls), spec).first() for spec in both.specs)] == [0, 8]
+    alone = MetricSet([MetricSpec("b", "timer", stride=2)])
+    got = alone.series(obs(spark, calls), alone.specs[0]).first()
+    assert (got.calls, got.sample_count, got.sample_sum) == (8, 8, 40)
+
+
 def test_own_projection(spark):
     m = MetricSet(SPECS, "app")
     m.register("max_gauge", lambda s, spec, name: s.select(F.concat(F.lit(name + "="), F.col("value").cast("string")).alias("line")))
