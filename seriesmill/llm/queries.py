@@ -158,8 +158,8 @@ def _secrets_sql() -> str:
             (list_sum(list_transform(range(1, len(x)), lambda i: ((x[i] * 2 >= k) <> (x[i + 1] * 2 >= k))::INT)) - (n - 1) / 2) / sqrt((n - 1) / 4) AS z_runs,
             list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - (k - 1) / 2.0) * (x[i + 1] - (k - 1) / 2.0))) / (sqrt(n - 1) * (k * k - 1) / 12.0) AS z_serial,
             n - length(translate(lower(c), '{secrets.COMMON}', '')) AS common, {float(len(secrets.COMMON))} / k * CASE WHEN k = 64 THEN 2 ELSE 1 END AS share FROM x),
-        y AS (SELECT *, (cbrt(greatest(chi, 0.0) / (cells - 1)) - (1 - 2 / (9.0 * (cells - 1)))) / sqrt(2 / (9.0 * (cells - 1))) AS z_chi, (common - 0.5 - n * share) / sqrt(n * share * (1 - share)) AS z_common FROM z),
-        q AS (SELECT *, least(1.0, 4 * least(CASE WHEN z_chi > 0 THEN {tail("z_chi")} / 2 ELSE 1 - {tail("z_chi")} / 2 END, {tail("z_runs")}, {tail("z_serial")}, CASE WHEN k > 16 AND z_common > 0 THEN {tail("z_common")} / 2 ELSE 1.0 END)) AS p FROM y),
+        y AS (SELECT *, (len(list_filter(x, lambda v: v >= 62)) - 0.5 - n / 32) / sqrt(n / 32 * (1 - 1.0 / 32)) AS z_marks, (greatest(len(list_filter(x, lambda v: v < 26)), len(list_filter(x, lambda v: v >= 26 AND v < 52))) - 0.5 - n * 26 / 64) / sqrt(n * 26 / 64 * 38 / 64) AS z_case, (cbrt(greatest(chi, 0.0) / (cells - 1)) - (1 - 2 / (9.0 * (cells - 1)))) / sqrt(2 / (9.0 * (cells - 1))) AS z_chi, (common - 0.5 - n * share) / sqrt(n * share * (1 - share)) AS z_common FROM z),
+        q AS (SELECT *, least(1.0, 6 * least(CASE WHEN k = 64 AND z_case > 0 THEN {tail("z_case")} ELSE 1.0 END, CASE WHEN k = 64 AND z_marks > 0 THEN {tail("z_marks")} / 2 ELSE 1.0 END, CASE WHEN z_chi > 0 THEN {tail("z_chi")} / 2 ELSE 1 - {tail("z_chi")} / 2 END, {tail("z_runs")}, {tail("z_serial")}, CASE WHEN k > 16 AND z_common > 0 THEN {tail("z_common")} / 2 ELSE 1.0 END)) AS p FROM y),
         b AS (SELECT doc, s, e, {bands} AS band, least({secrets.MAX_BIN}, floor(-log10(p) / {secrets.BIN}))::INT AS bin FROM q),
         h AS (SELECT band, bin, sum(count(*)) OVER (PARTITION BY band ORDER BY bin DESC) AS seen, sum(count(*)) OVER (PARTITION BY band) AS total FROM b GROUP BY 1, 2),
         cut AS (SELECT band, min(bin) FILTER (WHERE pow(10.0, -bin * {secrets.BIN}) <= {secrets.FDR} * seen / total) AS cut FROM h GROUP BY 1),

@@ -5,10 +5,10 @@ end exclusive, within one text.
 
 The battery looks at every run of 24 or more characters that may encode bytes.
 Its encoding is the smallest alphabet that holds it (hexadecimal, base32, base36 or base64) and
-four tests ask whether it could be uniform draws from that alphabet: a
+six tests ask whether it could be uniform draws from that alphabet: a
 chi-squared test of the slices of it the symbols fall into, a runs test
-about the middle of the alphabet, a lag-one serial correlation, and the number of
-the letters that are common in words.  Their
+about the middle of the alphabet, a lag-one serial correlation, and the numbers of
+the letters that are common in words, of the marks that join them and of the letters of one case.  Their
 p-values are joined to one by Bonferroni.  Prose and identifiers fail at least
 one of them the more clearly the longer they are, so Benjamini-Hochberg's
 procedure over all runs of similar length in the table declares runs *not
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .storage import materialize
 
@@ -52,27 +53,54 @@ def _no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def _located(df: DataFrame, name: str, pattern: str, rank: int, least: int, group: int = 0, hint: str | None = None) -> DataFrame:
-    """Adds ``name``: spans of the matches whose ``group`` has ``least`` characters.
+#: Elements of an array that are folded at a time.
+CHUNK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, start: Column, join) -> Column:
+    """What ``join`` makes of all values before each one, beginning with ``start``; one more at the end, of all.
+
+    Values are folded a chunk at a time from where the chunks before it end, so the work is that of
+    the values (and of the square of the chunks), not of their square.
+    """
+    fold = lambda xs, first: F.aggregate(xs, F.array(first), lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x))))
+
+    def chunked(xs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / CHUNK).cast("int") - 1, F.lit(0))), lambda i: F.slice(xs, i * CHUNK + 1, F.lit(CHUNK)))
+        return _let(chunks, lambda cs: _let(fold(F.transform(cs, lambda c: F.aggregate(c, start, join)), start), lambda firsts: _whole(cs, firsts)))
+
+    def _whole(cs: Column, firsts: Column) -> Column:
+        inner = F.zip_with(cs, F.slice(firsts, F.lit(1), F.size(cs)), lambda c, first: F.slice(fold(c, first), F.lit(1), F.size(c)))
+        return F.concat(F.flatten(inner), F.slice(firsts, F.lit(-1), F.lit(1)))
+
+    return _let(values, chunked)
+
+
+def _located(df: DataFrame, name: str, pattern: str, rank: int, least: int, group: int = 0, hint: str | None = None, texts: bool = False) -> DataFrame:
+    """Adds ``name``: spans of the matches whose ``group`` has ``least`` characters, with the match itself as ``run`` if asked for.
 
     A match starts where the pieces and matches before it end.  ``hint`` is a
     cheaper pattern that every text with such a match has.
     """
-    p = F.lit(pattern)
+    p, many = F.lit(pattern), F.char_length
     has = F.col("_text").rlike(hint or pattern)
     df = df.withColumn("_m", F.when(has, F.regexp_extract_all("_text", p, F.lit(0))))
-    df = df.withColumn("_v", F.when(F.col("_m").isNotNull(), F.transform(F.regexp_extract_all("_text", p, F.lit(group)), lambda x: F.char_length(x)) if group else F.transform("_m", lambda x: F.char_length(x))))
-    df = df.withColumn("_gap", F.when(F.col("_m").isNotNull(), F.transform(F.split("_text", pattern, -1), lambda x: F.char_length(x))))
-    df = df.withColumn("_parts", F.arrays_zip(F.slice("_gap", F.lit(1), F.size("_m")).alias("g"), F.transform("_m", lambda x: F.char_length(x)).alias("n"), F.col("_v").alias("v")))
-    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("out"))
-
-    def step(a, x):
-        s = a["at"] + x["g"]
-        span = F.struct(s.alias("start"), (s + x["n"]).alias("end"), F.lit(rank).alias("rank"))
-        return F.struct((s + x["n"]).alias("at"), F.when(x["v"] >= least, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
-
-    spans = F.aggregate("_parts", start, step, lambda a: a["out"])
-    return df.withColumn(name, F.when(F.size("_m") > 0, spans).otherwise(_no_spans())).drop("_m", "_v", "_gap", "_parts")
+    df = df.withColumn("_v", F.when(F.col("_m").isNotNull(), F.transform(F.regexp_extract_all("_text", p, F.lit(group)), lambda x: many(x)) if group else F.transform("_m", lambda x: many(x))))
+    df = df.withColumn("_gap", F.when(F.col("_m").isNotNull(), F.transform(F.split("_text", pattern, -1), lambda x: many(x))))
+    # A gap and the match after it end where the next gap starts.
+    steps = F.zip_with(F.slice("_gap", F.lit(1), F.size("_m")), F.transform("_m", lambda x: many(x)), lambda g, n: g + n)
+    df = df.withColumn("_end", F.when(F.size("_m") > 0, F.slice(_running(steps, F.lit(0), lambda x, y: x + y), F.lit(2), F.size("_m"))))
+    extra = [F.col("_m").alias("run")] if texts else []
+    zipped = F.arrays_zip(F.col("_end").alias("e"), F.transform("_m", lambda x: many(x)).alias("n"), F.col("_v").alias("v"), *extra)
+    wanted = F.filter(zipped, lambda x: x["v"] >= least)
+    spans = F.transform(wanted, lambda x: F.struct((x["e"] - x["n"]).alias("start"), x["e"].alias("end"), F.lit(rank).alias("rank"), *([x["run"].alias("run")] if texts else [])))
+    none = _no_spans() if not texts else F.array().cast("array<struct<start:int,end:int,rank:int,run:string>>")
+    return df.withColumn(name, F.when(F.size("_m") > 0, spans).otherwise(none)).drop("_m", "_v", "_gap", "_end")
 
 
 def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -142,7 +170,15 @@ def battery(df: DataFrame, run: str) -> DataFrame:
     share = len(COMMON) / k * F.when(k == 64, 2).otherwise(1)
     z_common = (common - 0.5 - n * share) / F.sqrt(n * share * (1 - share))
     p_common = F.when((k > 16) & (z_common > 0), _normal_tail(z_common) / 2).otherwise(1.0)
-    p = F.least(F.lit(1.0), 4 * F.least(p_chi, _normal_tail(z_runs), _normal_tail(z_serial), p_common))
+    # One-sided: paths and joined words have more of the two symbols past letters and digits than uniform draws.
+    marks = F.size(F.filter("_x", lambda x: x >= 62)).cast("double")
+    z_marks = (marks - 0.5 - n / 32) / F.sqrt(n / 32 * (1 - 1 / 32))
+    p_marks = F.when((k == 64) & (z_marks > 0), _normal_tail(z_marks) / 2).otherwise(1.0)
+    # One-sided for the commoner of two cases: joined names have one.
+    case = F.greatest(F.size(F.filter("_x", lambda x: x < 26)), F.size(F.filter("_x", lambda x: (x >= 26) & (x < 52)))).cast("double")
+    z_case = (case - 0.5 - n * 26 / 64) / F.sqrt(n * 26 / 64 * 38 / 64)
+    p_case = F.when((k == 64) & (z_case > 0), _normal_tail(z_case)).otherwise(1.0)
+    p = F.least(F.lit(1.0), 6 * F.least(p_chi, _normal_tail(z_runs), _normal_tail(z_serial), p_common, p_marks, p_case))
     return df.withColumn("p", p).drop("_x", "_cells", "_cell", "_chi", "_half")
 
 
@@ -184,21 +220,24 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     p-value, a fixed number of rows.  ``random`` holds the runs that are not
     declared not random, without those inside a base span.
     """
-    df = base_spans(docs.select(*dict.fromkeys([id_col, *keep, text_col])), text_col)
-    df = _located(df, "_runs", RUN, KINDS.index("random"), MIN_RUN)
-    texts = F.transform("_runs", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring("_text", s["start"] + 1, s["end"] - s["start"]).alias("run")))
-    found = materialize(df.select(F.monotonically_increasing_id().alias("_row"), id_col, *keep, "_assign", "_access", "_hex", texts.alias("_runs")), "spans")
-    runs = found.where(F.size("_runs") > 0).select("_row", F.explode("_runs").alias("r")).select("_row", "r.*")
-    tested = battery(runs, "run").withColumn("bin", _bin(F.col("p"))).withColumn("band", _band(F.col("end") - F.col("start")))
-    tested = materialize(tested.select("_row", "start", "end", "band", "bin"), "runs")
+    kept = F.struct(*[F.col(c).alias(c) for c in dict.fromkeys([id_col, *keep])])
+    df = base_spans(docs.select(kept.alias("_kept"), F.col(text_col).alias("_given")), "_given")
+    df = _located(df, "_runs", RUN, KINDS.index("random"), MIN_RUN, texts=True)
+    found = materialize(df.select(F.monotonically_increasing_id().alias("_row"), "_kept", "_assign", "_access", "_hex", "_runs"), "spans")
+    # A run lies in a base span if the furthest end of those that start no later is no nearer than its own.
+    base = F.transform(F.concat("_assign", "_access", "_hex"), lambda x: F.struct(x["start"], x["end"], F.lit(None).cast("string").alias("run")))
+    runs = F.transform("_runs", lambda x: F.struct(x["start"], x["end"], x["run"]))
+    each = found.where(F.size("_runs") > 0).select("_row", F.inline(F.concat(base, runs)))
+    reached = F.max(F.when(F.col("run").isNull(), F.col("end"))).over(Window.partitionBy("_row").orderBy("start"))
+    each = each.withColumn("inside", F.coalesce(reached >= F.col("end"), F.lit(False))).where("run is not null")
+    tested = battery(each, "run").withColumn("bin", _bin(F.col("p"))).withColumn("band", _band(F.col("end") - F.col("start")))
+    tested = materialize(tested.select("_row", "start", "end", "inside", "band", "bin"), "runs")
     cuts = not_random_bins(tested)
-    left = tested.join(cuts, "band", "left").where(F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
+    left = tested.join(cuts, "band", "left").where(~F.col("inside") & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))))
     span = F.struct(F.col("start"), F.col("end"), F.lit(KINDS.index("random")).alias("rank"))
     random = left.groupBy("_row").agg(F.array_sort(F.collect_list(span)).cast(f"array<{SPAN}>").alias("_random"))
     out = found.join(random, "_row", "left")
-    base = F.concat("_assign", "_access", "_hex")
-    fresh = F.filter(F.coalesce("_random", _no_spans()), lambda r: ~F.exists(base, lambda s: (s["start"] <= r["start"]) & (s["end"] >= r["end"])))
-    return out.select(id_col, *keep, F.col("_assign").alias("assign"), F.col("_access").alias("access"), F.col("_hex").alias("hex"), fresh.alias("random"))
+    return out.select(*[F.col("_kept")[c].alias(c) for c in (id_col, *keep)], F.col("_assign").alias("assign"), F.col("_access").alias("access"), F.col("_hex").alias("hex"), F.coalesce("_random", _no_spans()).alias("random"))
 
 
 def span_list(*spans: str) -> Column:
@@ -209,14 +248,29 @@ def span_list(*spans: str) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by ``mark``."""
+    """The text with every span, overlapping ones as one, replaced by ``mark``.
+
+    The text is cut in two steps, by many spans at a time and then by each: a character is not
+    passed once for every span.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(a, s):
-        fresh = (s["start"] >= a["at"]) | (a["at"] == 0)
-        out = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"])
-        return F.struct(out.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def cut(ss: Column) -> Column:
+        reached = _running(F.transform(ss, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+        # What a mark takes the place of begins where no earlier span reaches; before it, the text from there.
+        whole = F.zip_with(ss, F.slice(reached, F.lit(1), F.size(ss)), lambda s, r: F.struct(r.alias("from"), s["start"].alias("to")))
+        gaps = F.filter(whole, lambda g, i: (g["to"] >= g["from"]) & ((i == 0) | (g["from"] > 0)))
+        tail = F.struct(F.element_at(reached, -1).alias("from"), F.greatest(F.char_length(text), F.element_at(reached, -1)).alias("to"))
+        return _let(F.concat(gaps, F.array(tail)), pieces)
+
+    def pieces(gs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(gs) / CHUNK).cast("int") - 1), lambda i: F.slice(gs, i * CHUNK + 1, F.lit(CHUNK)))
+
+        def of_chunk(c: Column) -> Column:
+            first = F.element_at(c, 1)["from"]
+            part = F.substring(text, first + 1, F.element_at(c, -1)["to"] - first)
+            return _let(part, lambda t: F.transform(c, lambda g: F.substring(t, g["from"] - first + 1, g["to"] - g["from"])))
+
+        return F.array_join(F.flatten(F.transform(chunks, of_chunk)), mark)
 
-    done = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(ordered, cut)).otherwise(text)
