@@ -6,8 +6,10 @@ model's scores imply), and byte fallback.  Where no piece holds a marker after
 another character, texts are cut before each run of markers: a piece never spans
 a cut, so each distinct word is encoded once, in multithreaded batches.
 
-Parity with the sentencepiece library is verified word by word: every distinct
-word is encoded by both, and a text agrees if all of its words do.
+Parity with the sentencepiece library is verified.  Where the model leaves characters as
+they are, word by word: every distinct word is encoded by both, and a text agrees if all
+of its words do.  Where it maps characters, each whole text as it was given is encoded by the other library, with
+its own normaliser.
 """
 
 from __future__ import annotations
@@ -61,6 +63,63 @@ def _rebuild(proto):
     return out
 
 
+def _rules(charsmap: bytes) -> dict[str, str]:
+    """The rules of a precompiled character map: what is replaced, and by what.
+
+    The map is a double-array trie over UTF-8 bytes, whose values are places in a block of
+    strings that end with a zero byte.  All of its paths are followed, a byte at a time for all together.
+    """
+    size = int.from_bytes(charsmap[:4], "little")
+    units, strings = np.frombuffer(charsmap, np.uint32, size // 4, 4).astype(np.int64), charsmap[4 + size :]
+    offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    places, keys, out = np.array([offset(units[0])]), [b""], {}
+    while len(places):
+        to = places[:, None] ^ np.arange(1, 256)
+        inside = to < len(units)
+        which, byte = np.nonzero(inside & ((units[np.where(inside, to, 0)] & 0x800000FF) == np.arange(1, 256)))
+        byte += 1
+        unit = units[places[which] ^ byte]
+        keys = [keys[w] + bytes([b]) for w, b in zip(which.tolist(), byte.tolist(), strict=True)]
+        places = (places[which] ^ byte) ^ offset(unit)
+        for k in np.flatnonzero(unit >> 8 & 1).tolist():
+            at = int(units[places[k]] & 0x7FFFFFFF)
+            out[keys[k].decode()] = strings[at : strings.index(b"\0", at)].decode()
+    return out
+
+
+class CharacterMap:
+    """Replaces the longest rule at each place from left to right; characters without a rule stay."""
+
+    def __init__(self, charsmap: bytes, fixed: list[str]):
+        rules = _rules(charsmap)
+        self.single = str.maketrans({k: v for k, v in rules.items() if len(k) == 1})
+        self.longer = {k: v for k, v in rules.items() if len(k) > 1}
+        self.lengths = sorted({len(k) for k in self.longer}, reverse=True)
+        seconds = "".join(map(re.escape, sorted({k[1] for k in self.longer})))
+        #: Where a rule of several characters may start: before one of their second characters.
+        self.starts = re.compile(f"(?s:.)(?=[{seconds}])") if seconds else None
+        #: The model's own symbols are left as they are.
+        self.fixed = re.compile("(" + "|".join(map(re.escape, sorted(fixed, key=len, reverse=True))) + ")") if fixed else None
+
+    def normalize_str(self, text: str) -> str:
+        if self.fixed is None:
+            return self._mapped(text)
+        parts = self.fixed.split(text)
+        return "".join(part if i % 2 else self._mapped(part) for i, part in enumerate(parts))
+
+    def _mapped(self, text: str) -> str:
+        out, at = [], 0
+        for m in self.starts.finditer(text) if self.starts else ():
+            if (p := m.start()) >= at:
+                for n in self.lengths:
+                    if (to := self.longer.get(text[p : p + n])) is not None and len(text) >= p + n:
+                        out += [text[at:p].translate(self.single), to]
+                        at = p + n
+                        break
+        out.append(text[at:].translate(self.single))
+        return "".join(out)
+
+
 class Codec:
     """Encodes and decodes as the model at ``path`` says; built once in each worker."""
 
@@ -68,13 +127,13 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
-        from tokenizers import normalizers
 
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         self.spec, self.threads = proto.normalizer_spec, threads
-        self.charsmap = normalizers.Precompiled(self.spec.precompiled_charsmap) if self.spec.precompiled_charsmap else None
+        users = [p.piece for p in proto.pieces if p.type == USER]
+        self.charsmap = CharacterMap(self.spec.precompiled_charsmap, users) if self.spec.precompiled_charsmap else None
         self.model = _rebuild(proto)
         spans = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (NORMAL, USER))
         # A user-defined piece may match anywhere, across a cut too.
@@ -97,7 +156,11 @@ class Codec:
             text = re.sub(" {2,}", " ", text.strip(" "))
         if text and self.spec.add_dummy_prefix:
             text = " " + text
-        return text.replace(" ", MARK) if self.spec.escape_whitespaces else text
+        if not self.spec.escape_whitespaces:
+            return text
+        text = text.replace(" ", MARK)
+        # Space at the end is dropped last, so markers of the text itself go with it.
+        return text.rstrip(MARK) if self.spec.remove_extra_whitespaces else text
 
     def _plain(self, words: list[str]) -> list[str]:
         """The words with spaces for markers, without the one that the model adds in front.
@@ -127,14 +190,14 @@ class Codec:
         self.memo.update(zip(words, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
         plain = self._plain(words)
         # Whole lists are compared at once: they differ rarely.
-        if self.reference is not None and (other := self._reference_ids(words, plain)) != ids:
+        if self.reference is not None and self.charsmap is None and (other := self._reference_ids(words, plain)) != ids:
             self.unequal.update(w for w, i, o in zip(words, ids, other, strict=True) if i != o)
         if (back := self.decode(ids)) != plain:
             self.lossy.update(w for w, t, p in zip(words, back, plain, strict=True) if t != p)
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """Ids of each text, whether both libraries agree on it, and whether decoding gives
-        the normalised text back; null is empty.
+        the normalised text back; null is empty.  The other library gets the text as it is wherever characters are mapped.
 
         Decoding a text joins what its words decode to: bytes of one character are never parted
         by a cut, so the words' verdicts are the text's.
@@ -148,7 +211,11 @@ class Codec:
         if missing:
             self._learn(list(missing))
         ids = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in cut]
-        return ids, *([not bad or bad.isdisjoint(words) for words in cut] for bad in (self.unequal, self.lossy))
+        back = [not self.lossy or self.lossy.isdisjoint(words) for words in cut]
+        if self.reference is not None and self.charsmap is not None:
+            other = self.reference.encode([t or "" for t in texts], num_threads=self.threads)
+            return ids, [i.tolist() == o for i, o in zip(ids, other, strict=True)], back
+        return ids, [not self.unequal or self.unequal.isdisjoint(words) for words in cut], back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.model.decode_batch(ids, skip_special_tokens=False)
@@ -173,7 +240,8 @@ def encode_documents(docs: DataFrame, model: str, *, threads: int = 2, id_col: s
     encoded as the empty one, which has none.  ``ids_sha256`` is the digest of the ids as
     little-endian 32-bit numbers.  ``round_trip``: decoding gives the normalised text
     back.  ``parity``: sentencepiece gives the same ids.  Null and repeated ids are kept,
-    a row each; nothing is shuffled.  The model file must be at the same path on
+    a row each; texts are taken whole, however long, a table without rows gives none, and columns may have any names;
+    nothing is shuffled.  The model file must be at the same path on
     every executor.
     """
     types = dict(docs.dtypes)

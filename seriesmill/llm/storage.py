@@ -2,24 +2,16 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
 back: the files outlive any executor, are compressed, and cost no executor
-memory.  A folder of our own is set only where the session names none.
+memory.  In local mode a temporary folder does where the session names none.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one if it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from seriesmill.sources.rounds import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
