@@ -88,7 +88,8 @@ def cap_and_evict(obs: DataFrame, cycle: str, max_series: int, max_staleness: in
     ``(metric, labels, cycle, generation, redirected)`` for every label set and cycle that
     has observations.  This is a fold in time order: a sweep ends every cycle.  It
     runs over the distinct touches of a metric, streamed in order through one
-    task per group of metrics; its state is the live series, at most the cap.  The overflow
+    task per group of metrics; its state is the live series, at most the cap, and
+    generations are counted afterwards, by series.  The overflow
     series takes a slot while it lives, so two must go before another is admitted.
     """
     touches = obs.groupBy(metric, canonical(F.col(labels)).alias("labels"), F.col(cycle).alias("cycle")).agg(F.min(F.struct(*order)).alias("first"))
@@ -96,26 +97,29 @@ def cap_and_evict(obs: DataFrame, cycle: str, max_series: int, max_staleness: in
     ordered = touches.repartition(F.col(metric)).sortWithinPartitions(metric, "cycle", "first", "_key").select(F.col(metric).alias("metric"), "labels", "cycle", "_key")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, live, born, clock = None, {}, {}, None
+        current, live, clock = None, {}, None
         for pdf in batches:
-            generation, redirected = [], []
+            since, redirected = [], []
             for m, key, now in zip(pdf["metric"], pdf["_key"], pdf["cycle"], strict=True):
                 if m != current:
-                    current, live, born, clock = m, {}, {}, None
+                    current, live, clock = m, {}, None
                 if now != clock:  # the sweeps between the last cycle and this one
-                    live = {k: t for k, t in live.items() if now - t <= max_staleness}
+                    live = {k: t for k, t in live.items() if now - t[0] <= max_staleness}
                     clock = now
                 admit = key in live or not max_series or len(live) < max_series
-                if admit:
-                    if key not in live:
-                        born[key] = born.get(key, -1) + 1
-                live[key if admit else OVERFLOW_KEY] = now
-                generation.append(born.get(key, 0))
+                name = key if admit else OVERFLOW_KEY
+                live[name] = (now, live[name][1] if name in live else now)
+                since.append(live[name][1] if admit else None)
                 redirected.append(not admit)
-            yield pdf.drop(columns="_key").assign(generation=generation, redirected=redirected)
+            yield pdf.assign(_since=pd.array(since, "Int64"), redirected=redirected)
 
     kind = dict(obs.dtypes)[metric]
-    return ordered.mapInPandas(fold, f"metric {kind}, labels map<string,string>, cycle bigint, generation int, redirected boolean")
+    out = ordered.mapInPandas(fold, f"metric {kind}, labels map<string,string>, cycle bigint, _key string, _since bigint, redirected boolean")
+    # A redirected touch comes after the generations that the series had until then.
+    so_far = Window.partitionBy("metric", "_key").orderBy("cycle", F.col("redirected").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.when(F.col("_since") == F.col("cycle"), 1).otherwise(0)
+    generation = F.greatest(F.sum(begun).over(so_far) - 1, F.lit(0)).cast("int")
+    return out.select("metric", "labels", "cycle", generation.alias("generation"), "redirected")
 
 
 def is_overflow(labels: Column) -> Column:

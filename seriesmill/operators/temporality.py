@@ -51,6 +51,25 @@ def delta(cumulative: DataFrame, values: Sequence[str], policy: str, by: Sequenc
     return out
 
 
+def array_deltas(cumulative: DataFrame, by: Sequence[str] = ("metric", "series"), kind: str = "kind", order: str = "ts", totals: str = "totals", ttl_seconds: int | None = None) -> DataFrame:
+    """``(*by, kind, order, deltas)``: exports whose totals are an array, each kind under its policy.
+
+    A series that was not exported for more than ``ttl_seconds`` is new again.  Distributions without news are left out.
+    ``streaming.state.deltas`` is the same over a stream.
+    """
+    w = Window.partitionBy(*by, kind).orderBy(order)
+    before = F.lag(totals).over(w)
+    if ttl_seconds is not None:
+        before = F.when(F.unix_millis(order) - F.lag(F.unix_millis(order)).over(w) <= ttl_seconds * 1000, before)
+    rows = cumulative.withColumn("_before", F.coalesce(before, F.array().cast(cumulative.schema[totals].dataType)))
+    each = lambda policy: F.transform(totals, lambda c, i: difference(c, F.get(F.col("_before"), i), policy))
+    of_kind = F.lit(None)
+    for name, policy in POLICIES.items():
+        of_kind = F.when(F.col(kind) == name, each(policy)).otherwise(of_kind)
+    out = rows.select(*by, kind, order, of_kind.alias("deltas"))
+    return out.where(~F.col(kind).isin([k for k, p in POLICIES.items() if p == SATURATE]) | F.exists("deltas", lambda d: d != 0))
+
+
 def bucket_deltas(cumulative: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Deltas of exponential histograms by bucket: ``(*by, order, pos, n)`` with n > 0.
 

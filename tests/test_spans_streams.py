@@ -1,15 +1,17 @@
 """Spans, streams and sinks."""
 
 import json
+import os
 import random
 import socket
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.functions import trace_ids
-from seriesmill.operators import aggregate, otel, run_stats, spans
+from seriesmill.operators import aggregate, otel, run_stats, spans, temporality
 from seriesmill.sources import observations as source
 from seriesmill.streaming import sinks, state, windows
 
@@ -168,6 +170,62 @@ def test_stream_cap_and_evict(spark, tmp_path):
     assert len(got) == 60 and sum(r.redirected for r in got) == 20 and sum(r.value_l for r in got) == sum(range(60))
 
 
+def in_turn(spark, batches, schema, path):
+    """A file for each batch, read one after the other."""
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        for f in Path(path).glob("part-*"):
+            if f.stat().st_mtime > 1e9 + 1000:
+                os.utime(f, (1e9 + i, 1e9 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+def progress(stream, tmp_path):
+    """All rows of a stream, and the state rows after each micro-batch."""
+    out = []
+    q = sinks.start(stream, lambda df, epoch: out.extend(df.collect()), str(tmp_path / "ckpt"), mode="append")
+    q.awaitTermination(240)
+    assert q.exception() is None
+    return out, [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+
+def test_stream_deltas_equal_batch(spark, tmp_path):
+    """Counters, histograms, timers and distributions with falls, gaps and series that vanish; state goes with them."""
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    schema = "metric string, labels map<string,string>, kind string, ts timestamp, totals array<bigint>"
+    batches, totals = [], {}
+    for step in range(12):
+        batch = []
+        for k in range(10):
+            if rng.random() < 0.8 and (k < 6 or step < 3):  # the last four are not exported after the third step
+                kind = ("counter", "histogram", "timer", "distribution")[k % 4]
+                now = [max(0, t + rng.choice([0, 0, 3, -2])) for t in totals.get(k, [5, 0, 2])]
+                totals[k] = now
+                batch.append((f"m{k % 4}", {"u": str(k)}, kind, start + timedelta(minutes=step), now))
+        batches.append(batch)
+    everything = spark.createDataFrame([r for b in batches for r in b], schema)
+    batch = temporality.array_deltas(state.series_text(everything), ttl_seconds=120)
+    want = sorted((r.metric, r.series, r.kind, r.ts, r.deltas) for r in batch.collect())
+    got, held = progress(state.deltas(in_turn(spark, batches, schema, str(tmp_path / "in")), "1 second", 120), tmp_path)
+    assert sorted((r.metric, r.series, r.kind, r.ts, r.deltas) for r in got) == want
+    assert max(held) > 6 and held[-1] < max(held)
+
+
+def test_idle_metric_is_swept_by_the_watermark(spark, tmp_path):
+    """Series of a metric without further rows are evicted, and nothing is kept of them."""
+    start = datetime(2024, 1, 1)
+    row = lambda metric, series, minute, seq: (metric, "add", {"u": series}, 1, 1.0, start + timedelta(minutes=minute), None, seq, "p")
+    batches = [[row("idle", f"s{i}", 0, i) for i in range(5)] + [row("busy", f"b{0}-{i}", 0, 10 + i) for i in range(3)]]
+    batches += [[row("busy", f"b{m}-{i}", m, 100 * m + i) for i in range(3)] for m in range(1, 12)]
+    stream = in_turn(spark, batches, source.OBSERVATION, str(tmp_path / "in"))
+    got, held = progress(state.cap_and_evict(stream, max_series=100, max_staleness=2, sweep_seconds=60, watermark="1 second"), tmp_path)
+    swept = [r for r in got if r.series is None]
+    assert [(r.metric, r.evicted) for r in swept if r.metric == "idle"] == [("idle", 5)]
+    assert sum(r.series is not None for r in got) == 5 + 3 * 12
+    # New series in every batch: what is kept are those of the last cycles.
+    assert max(held) <= 5 + 3 * 5 and held[-1] <= 3 * 5
+
+
 def test_table_sink_and_retention(spark, tmp_path):
     series = aggregate.counter_sum(rows(spark), ["labels"])
     batch = {otel.SUM: otel.sum_rows(series, otel.Resource("s", 1_704_067_200_000_000_000), "m", labels="labels")}
