@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from seriesmill.functions import numbers, trace_ids
 from seriesmill.functions.labels import LabelDomain, fingerprint, from_pairs, label_map, prometheus_labels, series_key, snake_case_column
 from seriesmill.operators import aggregate, cardinality, exposition, otel, run_stats, sampling, spans, temporality
+from seriesmill.plans import translate
 from seriesmill.plans.metric_set import MetricSet, MetricSpec
 from seriesmill.session import configure
 from seriesmill.sources.observations import observations, with_profile
@@ -948,6 +949,39 @@ def adaptive_span_sampling(t: Tables) -> DataFrame:
     return spans.counters(marked).select("recorded_count", "sampled_out_count")
 
 
+@query(f"""WITH e AS (SELECT user_id, event_type, event_id, CAST(floor(value) AS BIGINT) AS v FROM events), c AS (SELECT 'counter' AS kind, user_id, event_id, v AS a, v % 7 AS b FROM e UNION ALL SELECT 'histogram', user_id, event_id, v, v % 7 FROM e UNION ALL SELECT 'distribution', user_id, event_id, v, v % 7 FROM e),
+    p AS (SELECT *, lag(a, 1, 0) OVER w AS pa, lag(b, 1, 0) OVER w AS pb FROM c WINDOW w AS (PARTITION BY kind, user_id ORDER BY event_id)),
+    d AS (SELECT kind, user_id, event_id, CASE kind WHEN 'counter' THEN a - pa WHEN 'histogram' THEN CASE WHEN a < pa THEN a ELSE a - pa END ELSE greatest(a - pa, 0) END AS da, CASE kind WHEN 'counter' THEN b - pb WHEN 'histogram' THEN CASE WHEN b < pb THEN b ELSE b - pb END ELSE greatest(b - pb, 0) END AS db FROM p)
+    SELECT kind, CAST(user_id AS VARCHAR) AS series, event_id, concat(da, ',', db) AS deltas FROM d WHERE kind <> 'distribution' OR da > 0 OR db > 0""")
+def delta_arrays(t: Tables) -> DataFrame:
+    """Exports whose totals are arrays, of three kinds, each under its policy."""
+    v = F.floor("value").cast("bigint")
+    rows = t.events.select("user_id", "event_id", F.array(v, v % 7).alias("totals"), F.explode(F.array(*[F.lit(k) for k in ("counter", "histogram", "distribution")])).alias("kind"))
+    out = temporality.array_deltas(rows.withColumn("series", F.col("user_id").cast("string")), ["series"], order="event_id")
+    return out.select("kind", "series", "event_id", F.array_join(F.transform("deltas", lambda d: d.cast("string")), ",").alias("deltas"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS points, true AS within_limit, true AS several FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2)")
+def otlp_requests(t: Tables) -> DataFrame:
+    """Every series once, in requests of bounded size."""
+    sets = MetricSet([MetricSpec("events", "counter", dynamic=True, max_series=0)], "shop")
+    requests = sets.export_otlp_requests(t.obs(), RESOURCE, 4000)
+    return requests.agg(F.sum("n_points").alias("points"), (F.max(F.octet_length("json")) <= 4000).alias("within_limit"), (F.count(F.lit(1)) > 1).alias("several"))
+
+
+@query("SELECT event_type, part, CAST(n AS BIGINT) AS n FROM (SELECT event_type, unnest(['all', 'half']) AS part, unnest([count(*), count(*) // 2]) AS n FROM events GROUP BY 1) WHERE n % 3 <> 0")
+def translated_rows(t: Tables) -> DataFrame:
+    """A translator of one's own: two rows, one or none for a series, by a table function."""
+
+    def rows_of(row):
+        for part, n in (("all", row["sum"]), ("half", row["sum"] // 2)):
+            if n % 3:
+                yield row["event_type"], part, n
+
+    translate.register(t.spark, "two_parts", rows_of, "event_type string, part string, n bigint")
+    return translate.translate(aggregate.counter_sum(t.whole(), ["event_type"], "one"), "two_parts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions import numbers
+from seriesmill.functions.labels import from_pairs
+from seriesmill.operators.ranks import running_sums
 
 CUMULATIVE = 2
 SUM, GAUGE, HISTOGRAM, EXP_HISTOGRAM = "otel_metrics_sum", "otel_metrics_gauge", "otel_metrics_histogram", "otel_metrics_exponential_histogram"
 _MAP = "map<string,string>"
+#: Bytes of an export request, before compression.
+REQUEST_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -118,8 +122,7 @@ def attrs_to_map(attributes: Column) -> Column:
     a repeated key wins."""
     text = lambda v: F.coalesce(v["stringValue"], v["intValue"], numbers.compact_float_text(v["doubleValue"]), v["boolValue"].cast("string"))
     plain = F.filter(F.transform(attributes, lambda a: F.struct(a["key"].alias("k"), text(a["value"]).alias("v"))), lambda a: a["v"].isNotNull())
-    last = F.filter(plain, lambda x, i: ~F.exists(F.slice(plain, i + 2, F.size(plain)), lambda y: y["k"] == x["k"]))
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast(_MAP))
+    return F.coalesce(from_pairs(F.transform(plain, lambda a: F.struct(a["k"].alias("key"), a["v"].alias("value")))), F.create_map().cast(_MAP))
 
 
 def _point(labels: str | None, time: int, *columns: Column) -> Column:
@@ -127,42 +130,89 @@ def _point(labels: str | None, time: int, *columns: Column) -> Column:
     return F.struct(attributes.alias("attributes"), F.lit(str(time)).alias("timeUnixNano"), *columns)
 
 
-def metric_json(series: DataFrame, kind: str, name: str, time_unix_nano: int, value: str = "sum", bounds: Sequence[int] = (), description: str | None = None, labels: str | None = None) -> DataFrame:
-    """One row ``json`` with an OTLP metric and all its points; none if there is no series.
-
-    Longs are strings, as OTLP's JSON has them.  ``kind``: sum, gauge, histogram or
-    exponential (of ``aggregate.exponential_stats``).  A metric is one document, so its
-    points meet in one row: for many series, write the row tables instead.
-    """
+def _point_of(series: DataFrame, kind: str, time: int, value: str, bounds: Sequence[int], labels: str | None) -> tuple[Column, str, str]:
+    """A series' point, the field of its metric that holds points, and what follows them there."""
     text = lambda c: c.cast("string")
     texts = lambda c: F.transform(c, lambda x: x.cast("string"))
+    temporality = f',"aggregationTemporality":{CUMULATIVE}'
     if kind in ("sum", "gauge"):
         double = dict(series.dtypes)[value] in ("double", "float")
-        point = _point(labels, time_unix_nano, F.col(value).alias("asDouble") if double else text(F.col(value)).alias("asInt"))
-        extra = [F.lit(CUMULATIVE).alias("aggregationTemporality"), F.lit(False).alias("isMonotonic")] if kind == "sum" else []
-        field_ = kind
-    elif kind == "histogram":
+        point = _point(labels, time, F.col(value).alias("asDouble") if double else text(F.col(value)).alias("asInt"))
+        return point, kind, temporality + ',"isMonotonic":false' if kind == "sum" else ""
+    if kind == "histogram":
         explicit = F.array(*[F.lit(float(b)) for b in bounds])
-        point = _point(labels, time_unix_nano, text(F.col("count")).alias("count"), F.col("sum").cast("double").alias("sum"), texts(F.col("counts")).alias("bucketCounts"), explicit.alias("explicitBounds"))
-        extra, field_ = [F.lit(CUMULATIVE).alias("aggregationTemporality")], "histogram"
-    elif kind == "exponential":
+        return _point(labels, time, text(F.col("count")).alias("count"), F.col("sum").cast("double").alias("sum"), texts(F.col("counts")).alias("bucketCounts"), explicit.alias("explicitBounds")), "histogram", temporality
+    if kind == "exponential":
         c = numbers.compact_buckets(F.col("positive"))
         side = F.struct(c["offset"].alias("offset"), texts(c["counts"]).alias("bucketCounts"))
-        point = _point(labels, time_unix_nano, text(F.col("count")).alias("count"), F.col("sum").cast("double").alias("sum"), F.lit(0).alias("scale"), text(F.col("zero_count")).alias("zeroCount"), side.alias("positive"), F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"))
-        extra, field_ = [F.lit(CUMULATIVE).alias("aggregationTemporality")], "exponentialHistogram"
-    else:
-        raise ValueError(f"no such kind: {kind}")
-    points = series.select(point.alias("p")).agg(F.array_sort(F.collect_list("p"), lambda a, b: F.when(F.to_json(a) < F.to_json(b), -1).when(F.to_json(a) > F.to_json(b), 1).otherwise(0)).alias("ps")).where(F.size("ps") > 0)
-    data = F.struct(F.col("ps").alias("dataPoints"), *extra)
-    return points.select(F.to_json(F.struct(F.lit(name).alias("name"), F.lit(description or name).alias("description"), F.lit("").alias("unit"), data.alias(field_))).alias("json"))
+        point = _point(labels, time, text(F.col("count")).alias("count"), F.col("sum").cast("double").alias("sum"), F.lit(0).alias("scale"), text(F.col("zero_count")).alias("zeroCount"), side.alias("positive"), F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"))
+        return point, "exponentialHistogram", temporality
+    raise ValueError(f"no such kind: {kind}")
+
+
+def metric_points(series: DataFrame, kind: str, name: str, time_unix_nano: int, value: str = "sum", bounds: Sequence[int] = (), description: str | None = None, labels: str | None = None) -> DataFrame:
+    """``(name, head, point, tail)``: a series' point as OTLP JSON, a row each, with the metric around it.
+
+    Longs are strings, as OTLP's JSON has them.  ``kind``: sum, gauge, histogram or exponential (of ``aggregate.exponential_stats``).
+    """
+    point, field_, tail = _point_of(series, kind, time_unix_nano, value, bounds, labels)
+    head = F.to_json(F.struct(F.lit(name).alias("name"), F.lit(description or name).alias("description"), F.lit("").alias("unit")))
+    head = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(f',"{field_}":{{"dataPoints":['))
+    return series.select(F.lit(name).alias("name"), head.alias("head"), F.to_json(point).alias("point"), F.lit(f"]{tail}}}}}").alias("tail"))
+
+
+def _metrics_of(points: DataFrame, *by: str) -> DataFrame:
+    """``(*by, name, json)``: the points of each metric joined, in the order of their text."""
+    joined = F.array_join(F.array_sort(F.collect_list("point")), ",")
+    return points.groupBy(*by, "name", "head", "tail").agg(joined.alias("points")).select(*by, "name", F.concat("head", "points", "tail").alias("json"))
+
+
+def metric_json(series: DataFrame, kind: str, name: str, time_unix_nano: int, value: str = "sum", bounds: Sequence[int] = (), description: str | None = None, labels: str | None = None) -> DataFrame:
+    """One row ``json`` with an OTLP metric and all its points; none if there is no series.
+
+    A metric is one document here, so its points meet in one row: for many series, send
+    ``bounded_requests`` of ``metric_points``, or write the row tables instead.
+    """
+    return _metrics_of(metric_points(series, kind, name, time_unix_nano, value, bounds, description, labels)).select("json")
+
+
+def _envelope(resource: Resource) -> tuple[Column, Column]:
+    """What stands before and after the metrics of a request."""
+    attributes = F.to_json(F.struct(attributes_json(_literal_map(resource.all_attributes())).alias("attributes")))
+    return F.concat(F.lit('{"resourceMetrics":[{"resource":'), attributes, F.lit(f',"scopeMetrics":[{{"scope":{{"name":"{resource.scope}"}},"metrics":[')), F.lit("]}]}]}")
+
+
+def bounded_requests(points: DataFrame, resource: Resource, limit: int = REQUEST_BYTES) -> DataFrame:
+    """``(request, n_points, json)``: export requests of at most ``limit`` bytes that together hold every point of ``metric_points`` once.
+
+    Points are taken in the order of metric and text, and a request begins where the running total of bytes passes the next
+    multiple of what fits; the totals are prefix sums over ranges, so no task sees all points and a metric of any number
+    of series is cut over requests.  A point that does not fit by itself is an error.
+    """
+    before, after = _envelope(resource)
+    size = F.octet_length("point") + 1
+    # A metric's name and field are written again in every request that has points of it.
+    rows = points.withColumn("_bytes", size.cast("bigint"))
+    frame = F.octet_length("head") + F.octet_length("tail") + 1
+    first = rows.groupBy("name").agg(F.min("point").alias("point"), F.lit(True).alias("_first"))
+    rows = rows.join(F.broadcast(first), ["name", "point"], "left").withColumn("_bytes", F.col("_bytes") + F.when(F.col("_first"), frame).otherwise(0)).drop("_first")
+    most = rows.agg(F.coalesce(F.max("_bytes"), F.lit(0)), F.coalesce(F.max(frame), F.lit(0)), F.max(F.octet_length(before)) + F.max(F.octet_length(after))).first()
+    room = limit - most[0] - most[1] - (most[2] or 0)
+    if room <= 0:
+        raise ValueError(f"a point and its metric do not fit a request of {limit} bytes")
+    rows = running_sums(rows.withColumn("_all", F.lit(0)), ["_all"], ["name", "point"], "_bytes", "_to")
+    rows = rows.withColumn("request", F.floor((F.col("_to") - F.col("_bytes")) / room).cast("bigint"))
+    per = _metrics_of(rows, "request")
+    counts = rows.groupBy("request").agg(F.count(F.lit(1)).alias("n_points"))
+    body = per.groupBy("request").agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("m"))
+    return body.join(counts, "request").select("request", "n_points", F.concat(before, F.col("m"), after).alias("json"))
 
 
 def export_request(metrics: DataFrame, resource: Resource) -> DataFrame:
     """One row ``json``: the export request that wraps all metrics of ``metric_json``."""
-    attributes = F.to_json(F.struct(attributes_json(_literal_map(resource.all_attributes())).alias("attributes")))
+    before, after = _envelope(resource)
     joined = metrics.agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("m"))
-    body = F.concat(F.lit('{"resourceMetrics":[{"resource":'), attributes, F.lit(f',"scopeMetrics":[{{"scope":{{"name":"{resource.scope}"}},"metrics":['), F.col("m"), F.lit("]}]}]}"))
-    return joined.select(body.alias("json"))
+    return joined.select(F.concat(before, F.col("m"), after).alias("json"))
 
 
 def rows_from_otlp(metrics: DataFrame, resource: Resource, json: str = "json") -> dict[str, DataFrame]:

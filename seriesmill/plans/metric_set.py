@@ -203,25 +203,33 @@ class MetricSet:
                     parts.setdefault(otel.HISTOGRAM, []).append(samples)
         return {table: reduce(DataFrame.unionByName, dfs) for table, dfs in parts.items()}
 
-    def export_otlp(self, obs: DataFrame, resource: otel.Resource) -> DataFrame:
-        """``json``: one OTLP metric a row; dynamic metrics without series are left out."""
+    def _otlp(self, obs: DataFrame, resource: otel.Resource, of: Callable[..., DataFrame]) -> list[DataFrame]:
+        """``of`` (one of ``otel.metric_json`` and ``otel.metric_points``) for every metric."""
         parts, at, states = [], resource.time_unix_nano, self.fused(obs)
         for spec in self.specs:
             s, name, labels, text = self._series(states, spec), self.name(spec), self._labels(spec), spec.help or spec.field
             match spec.family:
                 case "counter":
-                    parts.append(otel.metric_json(s, "sum", name, at, "sum", description=text, labels=labels))
+                    parts.append(of(s, "sum", name, at, "sum", description=text, labels=labels))
                 case "gauge":
-                    parts.append(otel.metric_json(s, "gauge", name, at, "value", description=text, labels=labels))
+                    parts.append(of(s, "gauge", name, at, "value", description=text, labels=labels))
                 case "histogram":
-                    parts.append(otel.metric_json(s, "histogram", name, at, bounds=spec.bounds, description=text, labels=labels))
+                    parts.append(of(s, "histogram", name, at, bounds=spec.bounds, description=text, labels=labels))
                 case "distribution":
-                    parts.append(otel.metric_json(s, "exponential", name, at, description=text, labels=labels))
+                    parts.append(of(s, "exponential", name, at, description=text, labels=labels))
                 case "timer":
                     samples = s.drop("sum").withColumnsRenamed({"sample_sum": "sum", "sample_count": "count"})
-                    parts.append(otel.metric_json(s, "sum", name + ".calls", at, "calls", description=text + " total calls", labels=labels))
-                    parts.append(otel.metric_json(samples, "histogram", name + ".samples", at, bounds=spec.bounds, description=text + " sampled latency in nanoseconds", labels=labels))
-        return reduce(DataFrame.unionByName, parts)
+                    parts.append(of(s, "sum", name + ".calls", at, "calls", description=text + " total calls", labels=labels))
+                    parts.append(of(samples, "histogram", name + ".samples", at, bounds=spec.bounds, description=text + " sampled latency in nanoseconds", labels=labels))
+        return parts
+
+    def export_otlp(self, obs: DataFrame, resource: otel.Resource) -> DataFrame:
+        """``json``: one OTLP metric a row; dynamic metrics without series are left out."""
+        return reduce(DataFrame.unionByName, self._otlp(obs, resource, otel.metric_json))
+
+    def export_otlp_requests(self, obs: DataFrame, resource: otel.Resource, limit: int = otel.REQUEST_BYTES) -> DataFrame:
+        """``(request, n_points, json)``: export requests of at most ``limit`` bytes, metrics of many series cut over several."""
+        return otel.bounded_requests(reduce(DataFrame.unionByName, self._otlp(obs, resource, otel.metric_points)), resource, limit)
 
     def project(self, obs: DataFrame) -> DataFrame:
         """The registered projections of every metric whose kind has one, together."""

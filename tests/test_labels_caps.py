@@ -1,15 +1,18 @@
 """Label sets, caps with overflow, eviction."""
 
+import time
 from enum import Enum
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from seriesmill.functions.labels import LabelDomain, domain_of, from_pairs, prometheus_labels, snake_case, snake_case_column
 from seriesmill.operators import aggregate, cardinality
 from seriesmill.operators.cardinality import OVERFLOW_KEY
+from seriesmill.plans import counted
 
 SCHEMA = "metric string, labels map<string,string>, value_l bigint, ts int, seq bigint, cycle bigint"
 
@@ -126,3 +129,29 @@ def test_cap_and_evict_is_the_fold(spark, touches, cap, idle):
     rows = obs(spark, [({"id": k}, 1, c) for k, c in touches])
     got = cardinality.cap_and_evict(rows, "cycle", cap, idle).collect()
     assert sorted((r.labels["id"], r.cycle, r.generation, r.redirected) for r in got) == fold(touches, cap, idle)
+
+
+def test_counts_without_a_second_scan(spark):
+    """Observed counts of the capped rows are those of overflow_stats."""
+    rows = obs(spark, [({"id": str(i % 7)}, 1, i) for i in range(50)])
+    seen = Observation("cap")
+    out = counted.counted(cardinality.cap_series(rows, 3), seen, counted.overflow_counts()).collect()
+    stats = cardinality.overflow_stats(rows, 3).first()
+    assert seen.get == {"overflow_records": stats.overflow_records, "records": 50} and sum(r.redirected for r in out) == stats.overflow_records
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    rows = obs(spark, [({"id": str(i % 7)}, 1, i) for i in range(50)]).withColumn("recorded", F.col("seq") % 3 == 0).withColumn("parent_span_id", F.lit(None).cast("string"))
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    counters = counted.StreamCounters()
+    spark.streams.addListener(counters)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+        q = counted.counted(stream, "spans", counted.span_counts()).where("recorded").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        end = time.time() + 20
+        while counters.totals["spans"]["recorded_count"] < 17 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.totals["spans"] == {"recorded_count": 17, "sampled_out_count": 33, "len": 17}

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.functions.labels import LabelDomain
@@ -209,6 +210,24 @@ def test_timers_of_a_producer_are_one_sequence(spark):
     assert (got.calls, got.sample_count, got.sample_sum) == (8, 8, 40)
 
 
+def test_requests_of_bounded_size(spark):
+    """A metric of many series and small ones beside it: every point once, no request above the limit."""
+    rows = [("many", "add", {"id": str(i), "text": "é" * (i % 40)}, i) for i in range(3000)] + [("few", "add", {"k": "v"}, 7), ("level", "set", {}, 3)]
+    m = MetricSet([MetricSpec("many", "counter", dynamic=True, max_series=0), MetricSpec("few", "counter", dynamic=True), MetricSpec("level", "gauge")])
+    got = m.export_otlp_requests(obs(spark, rows), R, 20_000).collect()
+    assert max(len(r.json.encode()) for r in got) <= 20_000 and 20 < len(got) < 90
+    seen = []
+    for r in got:
+        metrics = json.loads(r.json)["resourceMetrics"][0]["scopeMetrics"][0]["metrics"]
+        points = [(x["name"], next((a["value"]["stringValue"] for a in p["attributes"] if a["key"] == "id"), None), p["asInt"]) for x in metrics for p in (x.get("sum") or x["gauge"])["dataPoints"]]
+        assert len(points) == r.n_points
+        seen += points
+    assert sorted(seen, key=str) == sorted([*(("many", str(i), str(i)) for i in range(3000)), ("few", None, "7"), ("level", None, "3")], key=str)
+    with pytest.raises(ValueError):
+        m.export_otlp_requests(obs(spark, rows), R, 300)
+    m.release()
+
+
 def test_own_projection(spark):
     m = MetricSet(SPECS, "app")
     m.register("max_gauge", lambda s, spec, name: s.select(F.concat(F.lit(name + "="), F.col("value").cast("string")).alias("line")))
