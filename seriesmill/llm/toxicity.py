@@ -15,12 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .storage import materialize
 from .text import MULTIPLIERS, mix, span_hashes, string_bytes, word_bounds
 
 #: Lengths of word beginnings in bytes; 0 is the whole word.
 LENGTHS = (4, 5, 6, 7, 8, 10, 0)
 GRADES = 4
+#: Bytes of all texts that a model is fitted on.
+MAX_BYTES = 64 << 20
 #: Thresholds of a model without features: every text has grade 0.
 NEVER = np.array([40.0, 41.0, 42.0])
 _PUNCTUATION = np.zeros(256, bool)
@@ -185,16 +189,25 @@ def train(texts: pa.ChunkedArray | pa.Array, toxic: np.ndarray, *, max_features:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, seed: int, id_col: str, text_col: str, label_col: str) -> pa.Table:
-    """At most ``max_docs`` labelled texts, drawn by a seeded hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, seed: int, id_col: str, text_col: str, label_col: str, max_bytes: int = MAX_BYTES) -> pa.Table:
+    """At most ``max_docs`` labelled texts of at most ``max_bytes`` together, drawn by a seeded hash of the id.
 
-    The ids drawn are at most ``max_docs`` numbers, so they are broadcast.
+    Sizes are looked at first, and only then are texts of the documents that fit brought together.  A text of more than a hundredth of
+    ``max_bytes`` is passed over.  The ids drawn are at most ``max_docs`` numbers, so they are broadcast.
     """
     drawn = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
     drawn = drawn.orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(max_docs)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "i")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+    order = [F.xxhash64(F.lit(seed), "i"), "i", "h"]
+    sizes = rows.select("i", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n")).join(F.broadcast(drawn), "i")
     # A repeated id must not lift the bound.
-    return rows.orderBy(F.xxhash64(F.lit(seed), "i"), "i", F.xxhash64("text")).limit(max_docs).select("text", "y").toArrow()
+    sizes = sizes.where(F.col("n") <= max_bytes // 100).orderBy(*order).limit(max_docs)
+    total = F.sum("n").over(Window.orderBy(*order, "n").rowsBetween(Window.unboundedPreceding, 0))
+    picked = sizes.withColumn("total", total).where(F.col("total") <= max_bytes).groupBy("i", "h", "y").agg(F.count(F.lit(1)).alias("times"))
+    picked = materialize(picked, "drawn")
+    found = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["i", "h"])
+    at = F.row_number().over(Window.partitionBy("i", "h").orderBy("text"))
+    return found.withColumn("at", at).where(F.col("at") <= F.col("times")).orderBy(*order).select("text", "y").toArrow()
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, toxic_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +215,8 @@ def score_toxicity(docs: DataFrame, model: Model, *, toxic_at: float = 0.5, id_c
 
     ``grade`` is the most that is as likely as not exceeded or met; ``toxic`` is a
     probability of ``toxic_at`` or more for grade 1 and above.  A null or empty text has no features and is scored as such.  Null and repeated
-    ids are kept, a row each; nothing is shuffled.
+    ids are kept, a row each; very long texts are scored whole, a table without rows gives none, other columns are not
+    looked at; nothing is shuffled.
     """
     kind = dict(docs.dtypes)[id_col]
 

@@ -12,6 +12,7 @@ from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -523,8 +524,6 @@ def test_licenses_awkward(awkward, empty):
 
 
 def test_toxicity_held_out(spark):
-    import pyarrow as pa
-
     sf = "/root/testdata/sf0.1"
     pdf = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").orderBy(F.xxhash64("doc_id")).toPandas()
     n = int(len(pdf) * 0.6)
@@ -553,11 +552,81 @@ def test_ordinal_gradient():
         assert loss(w[0] * (1 + dw), theta * (1 + dw)) > best - 1e-3 and loss(w[0] + dw, theta) > best - 1e-3
 
 
+def test_toxicity_by_brute_force(spark):
+    """Features as strings, their choice by chi-squared and the scores of every document, without hashes or matrices."""
+    pdf = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").orderBy("doc_id").toPandas()
+    texts, toxic = [*pdf.text, None, "", "!!! ... vile-"], [*(pdf.toxic == 1), False, False, True]
+    marks = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+
+    def features(text):
+        out = Counter()
+        for w in words(text):
+            b = w.strip(marks).encode()
+            for n in toxicity.LENGTHS:
+                if b and len(b) >= n:
+                    out[n, b[:n] if n else b] += 1
+        return out
+
+    every = [features(t) for t in texts]
+    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    share = {f: [sum(f in e for e, y in zip(every, toxic, strict=True) if y == side) for side in (True, False)] for f in set().union(*every)}
+    chosen = {f for f, (a, b) in share.items() if a >= 5 and a * n0 > 4.0 * (b + 0.5) * n1}
+    model = toxicity.train(pa.array(texts), np.array(toxic), max_features=100_000)
+    key = {}
+    for n, b in chosen:
+        hashes = toxicity.word_features(pa.array([b.decode(errors="replace")]))[0]
+        lengths = [m for m in toxicity.LENGTHS if m == 0 or len(b) >= m]
+        key[n, b] = int(hashes[lengths.index(n)])
+    whole = {f for f in chosen if "\ufffd" not in f[1].decode(errors="replace")}
+    assert {key[f] for f in whole} <= set(model.keys.tolist()) and len(model.keys) == len(chosen) > 10
+    if whole == chosen:
+        place, k = {h: i for i, h in enumerate(model.keys.tolist())}, len(model.keys)
+        over = model.over(pa.array(texts))
+        for e, t, got in zip(every, texts, over, strict=True):
+            score, size = 0.0, len(words(t))
+            for f, n in e.items():
+                if f in chosen:
+                    at = place[key[f]]
+                    score += model.weights[at] + model.weights[k + at] * math.log(n) + model.weights[2 * k + at] * math.log1p(1000 * n / size)
+            assert np.allclose(got, [1 / (1 + math.exp(-max(-40, min(40, score - th)))) for th in model.theta], atol=1e-9)
+
+
+def test_toxicity_fit_is_a_minimum():
+    """No small step of any weight or threshold that keeps to the bounds makes the penalised likelihood better."""
+    rng = np.random.default_rng(3)
+    n, m = 300, 4
+    x = rng.random((n, m)) * (rng.random((n, m)) < 0.5)
+    grades = np.clip((2 * x[:, 0] + x[:, 1] - 0.5 * x[:, 2] + rng.normal(0, 0.4, n)).astype(int), 0, 3)
+    text, key = np.nonzero(x)
+    w, theta = toxicity.fit_ordinal(text, key, x[text, key], grades, m, l2=1e-3, steps=6000)
+
+    def loss(w, theta):
+        edges = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - theta))), np.zeros((n, 1))], axis=1)
+        return -np.log(edges[np.arange(n), grades] - edges[np.arange(n), grades + 1]).mean() + 5e-4 * (w**2).sum()
+
+    best = loss(w, theta)
+    assert (w >= 0).all() and (np.diff(theta) > 0).all() and w[0] > w[1] > 0
+    for i in range(m):
+        for step in (1e-3, -1e-3):
+            if w[i] + step >= 0:
+                assert loss(w + step * (np.arange(m) == i), theta) > best - 1e-8
+    for i in range(3):
+        for step in (1e-3, -1e-3):
+            assert loss(w, theta + step * (np.arange(3) == i)) > best - 1e-8
+
+
+def test_toxicity_bytes_are_bounded(spark):
+    """Texts drawn fit the bytes given; one that would fill them by itself is left out."""
+    docs = spark.createDataFrame([(i, "word " * 100 if i else "w" * 40_000) for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    got = toxicity.training_rows(docs, labels, 1000, 1, "doc_id", "text", "toxic", max_bytes=52_000)
+    assert got.num_rows == 104 and max(map(len, got["text"].to_pylist())) == 500
+    assert toxicity.training_rows(docs, labels, 1000, 1, "doc_id", "text", "toxic").num_rows == 200
+
+
 def test_toxicity_query_and_awkward(spark, awkward, empty):
     got = queries.op7_toxicity(spark, SF)
     assert got.count() == 200 and got.where("expected_severity < 0 or expected_severity > 3 or grade > 3").count() == 0
-    import pyarrow as pa
-
     model = toxicity.train(pa.array([], pa.string()), np.empty(0), max_features=10)
     clean = toxicity.score_toxicity(awkward, model, toxic_at=queries.TOXICITY["toxic_at"]).collect()
     assert len(clean) == len(AWKWARD) and not any(r.toxic or r.grade or r.expected_severity > 1e-9 for r in clean) and toxicity.score_toxicity(empty, model).count() == 0
@@ -707,8 +776,6 @@ def test_token_counts_use_the_cache(spark, docs):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abAB 'sté́ΣΑ\n\t\x0b\x1c  <|endoftxsr>1日😀,.!"), max_size=40), min_size=1, max_size=5))
 def test_counting_by_words_is_exact(texts):
-    import pyarrow as pa
-
     counter = token_counts.counter_at(TOKENIZER, True)
     assert counter.by_word and counter.counts(pa.array(texts)).tolist() == library_counts(texts)
 
