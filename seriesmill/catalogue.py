@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from seriesmill.functions import numbers, trace_ids
 from seriesmill.functions.labels import LabelDomain, fingerprint, from_pairs, label_map, prometheus_labels, series_key, snake_case_column
-from seriesmill.operators import aggregate, cardinality, exposition, otel, run_stats, sampling, spans, temporality
+from seriesmill.operators import aggregate, cardinality, exposition, otel, otlp_proto, run_stats, sampling, spans, temporality
 from seriesmill.plans import translate
 from seriesmill.plans.metric_set import MetricSet, MetricSpec
 from seriesmill.session import configure
@@ -969,6 +969,23 @@ def otlp_requests(t: Tables) -> DataFrame:
     return requests.agg(F.sum("n_points").alias("points"), (F.max(F.octet_length("json")) <= 4000).alias("within_limit"), (F.count(F.lit(1)) > 1).alias("several"))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS points, true AS within_limit, true AS several FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2)")
+def otlp_protobuf_requests(t: Tables) -> DataFrame:
+    """The same in Protocol Buffers."""
+    sets = MetricSet([MetricSpec("events", "counter", dynamic=True, max_series=0)], "shop")
+    requests = sets.export_otlp_protobuf(t.obs(), RESOURCE, 4000)
+    return requests.agg(F.sum("n_points").alias("points"), (F.max(F.octet_length("body")) <= 4000).alias("within_limit"), (F.count(F.lit(1)) > 1).alias("several"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, epoch_us(o_orderdate) * 1000 AS begun FROM orders), h AS (SELECT *, lower(hex(begun)) AS a, lower(hex(begun + 1000000)) AS b FROM s),
+    p AS (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS trace_id, substr(md5(concat('span', chr(31), o_orderkey)), 1, 16) AS span_id, repeat('0', 16 - length(a)) || a AS a, repeat('0', 16 - length(b)) || b AS b FROM h)
+    SELECT trace_id, span_id, '0a10' || trace_id || '1208' || span_id || '2a056f72646572' || '3002' || '39' || array_to_string(list_transform(range(7, -1, -1), lambda i: substr(a, 2 * i + 1, 2)), '') || '41' || array_to_string(list_transform(range(7, -1, -1), lambda i: substr(b, 2 * i + 1, 2)), '') AS span FROM p""")
+def span_protobuf(t: Tables) -> DataFrame:
+    """The bytes of every root span's message, in hexadecimal."""
+    roots, _ = _spans(t)
+    return otlp_proto.span_messages(roots).select("trace_id", "span_id", F.lower(F.hex("span")).alias("span"))
+
+
 @query("SELECT event_type, part, CAST(n AS BIGINT) AS n FROM (SELECT event_type, unnest(['all', 'half']) AS part, unnest([count(*), count(*) // 2]) AS n FROM events GROUP BY 1) WHERE n % 3 <> 0")
 def translated_rows(t: Tables) -> DataFrame:
     """A translator of one's own: two rows, one or none for a series, by a table function."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions import numbers
 from seriesmill.functions.labels import LabelDomain
-from seriesmill.operators import aggregate, cardinality, exposition, otel, temporality
+from seriesmill.operators import aggregate, cardinality, exposition, otel, otlp_proto, temporality
 from seriesmill.plans import fused
 
 #: Kinds by what is aggregated; a labeled form has a domain, a dynamic form keeps the label sets.
@@ -231,6 +231,10 @@ class MetricSet:
         """``(request, n_points, json)``: export requests of at most ``limit`` bytes, metrics of many series cut over several."""
         return otel.bounded_requests(reduce(DataFrame.unionByName, self._otlp(obs, resource, otel.metric_points)), resource, limit)
 
+    def export_otlp_protobuf(self, obs: DataFrame, resource: otel.Resource, limit: int = otel.REQUEST_BYTES) -> DataFrame:
+        """``(request, n_points, body)``: the same in Protocol Buffers, as OTLP's receivers take it by default."""
+        return otlp_proto.metric_requests(reduce(DataFrame.unionByName, self._otlp(obs, resource, otlp_proto.points)), resource, limit)
+
     def project(self, obs: DataFrame) -> DataFrame:
         """The registered projections of every metric whose kind has one, together."""
         states = self.fused(obs)
