@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .blocks import TEXT_LEVEL, dealt_rows
-from .skew import join_hot
+from .skew import SLICES, join_hot
 from .storage import materialize, new_path
 from .text import BYTE, _Powers, byte_slices, mix, release, string_bytes
 
@@ -38,6 +38,8 @@ from .text import BYTE, _Powers, byte_slices, mix, release, string_bytes
 COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
 #: Values of bytes for the hash of a whole segment.
 OTHER = np.random.default_rng(57).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Blocks looked at for frequent grams, and segments in these that such a gram has at least.
+DRAWN, LEAST_ROWS = 32, 1000
 #: Windows whose grams are looked at together, and suffixes sorted at a time.
 PIECE, RANGE = 1 << 20, 1 << 17
 
@@ -286,13 +288,30 @@ def _sort_bucket(table: pa.Table, width: int) -> pa.Table:
 # All together
 
 
-def repeated_runs(blocks: DataFrame, width: int, gram: int, bucket_bytes: int) -> DataFrame:
+def frequent_grams(blocks: DataFrame, width: int, gram: int, least_rows: int) -> DataFrame:
+    """``(gram, frequent)`` of the grams that more than one in ``SLICES`` segments have, of those that grams with ``least_rows`` of them have in
+    some ``DRAWN`` blocks.  There are fewer than ``SLICES`` such grams.  Which ones are found changes how work is dealt, not what is returned.
+    """
+    part = max(1, blocks.count() // DRAWN)
+    counts = _met(blocks.where(F.pmod(F.xxhash64("block"), F.lit(part)) == 0), width, gram).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.where(F.col("n") >= least_rows), "frequent")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") * SLICES > total).select("gram", F.lit(True).alias("frequent"))
+
+
+def repeated_runs(blocks: DataFrame, width: int, gram: int, bucket_bytes: int, least_rows: int = LEAST_ROWS) -> DataFrame:
     """``(block, place, n)``: n windows in a row, from byte ``place`` of the block on, that start earlier elsewhere too."""
-    of_gram = Window.partitionBy("gram").orderBy("seg", F.col("id").asc_nulls_last(), "block", "place")
-    whole = Window.partitionBy("gram")
-    met = _met(blocks, width, gram).select(
-        "*", (F.coalesce(F.lag("seg").over(of_gram) == F.col("seg"), F.lit(False))).alias("again"),
-        (F.max("seg").over(whole) != F.min("seg").over(whole)).alias("several"), F.sum(F.col("n") + F.lit(width - 1)).over(whole).alias("weight"),
+    # Segments of a frequent gram are dealt by their own hash: alike ones stay together, and of the others
+    # it is taken for granted that there are several, and too many for one bucket.
+    heavy = F.broadcast(frequent_grams(blocks, width, gram, least_rows))
+    dealt = F.when(F.col("frequent"), F.pmod("seg", F.lit(SLICES))).otherwise(0)
+    rows = _met(blocks, width, gram).join(heavy, "gram", "left").withColumn("slice", dealt)
+    of_gram = Window.partitionBy("gram", "slice").orderBy("seg", F.col("id").asc_nulls_last(), "block", "place")
+    whole = Window.partitionBy("gram", "slice")
+    met = rows.select(
+        "gram", "seg", "id", "block", "place", "n", "others", (F.coalesce(F.lag("seg").over(of_gram) == F.col("seg"), F.lit(False))).alias("again"),
+        (F.col("frequent").isNotNull() | (F.max("seg").over(whole) != F.min("seg").over(whole))).alias("several"),
+        F.when(F.col("frequent"), bucket_bytes + 1).otherwise(F.sum(F.col("n") + F.lit(width - 1)).over(whole)).alias("weight"),
     )
     met = materialize(met.where("again or several or size(others) > 0").drop("seg"), "segments")
     places = F.when(F.col("again"), F.concat(F.array("place"), "others")).otherwise(F.col("others"))
@@ -356,7 +375,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 32, block_bytes: int = 4 << 20, files_bytes: int = 16 << 20, bucket_bytes: int = 2 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 32, block_bytes: int = 4 << 20, files_bytes: int = 16 << 20, bucket_bytes: int = 2 << 20, least_rows: int = LEAST_ROWS
 ) -> DataFrame:
     """``(id_col, n_bytes, kept, removed)`` of every document: its bytes less each one covered by ``width`` bytes
     that also start earlier, in a document of smaller id or before in the same one, and the removed spans.
@@ -367,12 +386,13 @@ def remove_repeats(
     a table without rows gives none; other columns are not looked at.  Equal segments are known by two
     64-bit hashes and their length.
 
-    ``bucket_bytes``: text of one suffix bucket; a gram with more is met window by window, by SHA-256.
+    ``bucket_bytes``: text of one suffix bucket; a gram with more is met window by window, by SHA-256.  So is one that is
+    frequent (``frequent_grams``): its segments are dealt over slices.
     """
     if not PERIOD <= width or not 0 < gram <= width:
         raise ValueError(f"width is {PERIOD} at least, and gram no more than width")
     blocks = _blocks(docs, id_col, text_col, block_bytes, files_bytes)
-    runs = repeated_runs(blocks, width, gram, bucket_bytes)
+    runs = repeated_runs(blocks, width, gram, bucket_bytes, least_rows)
     kinds = "id bigint, kept binary, removed array<struct<start:bigint,end:bigint>>"
     out = blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(lambda a, b: _cut_out(a, b, width), kinds)
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r["end"] - r["start"])

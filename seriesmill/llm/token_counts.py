@@ -10,6 +10,7 @@ version of it, never meets a stale count.
 from __future__ import annotations
 
 import hashlib
+import importlib.metadata
 import os
 from pathlib import Path
 
@@ -107,8 +108,12 @@ def counter_at(path: str, by_word: bool) -> Counter:
     return _COUNTERS[key]
 
 
-def tokenizer_version(path: str) -> str:
-    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
+def tokenizer_version(path: str, by_word: bool = True) -> str:
+    """A digest of the file, of the library that reads it with its release, and of how words are counted."""
+    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
+    told = hashlib.sha256(Path(path).read_bytes())
+    told.update(f"|{library} {importlib.metadata.version(library)}|{by_word}".encode())
+    return told.hexdigest()
 
 
 class TokenCountCache:
@@ -140,7 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: TokenCountCache, *, id_
     of a digest that the cache lacks names it.  Only that row's text is shuffled,
     by its id, so copies never meet in a task; they get their count in slices (``join_hot``).
     """
-    version = tokenizer_version(tokenizer)
+    version = tokenizer_version(tokenizer, by_word)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = docs.select("id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
     keyed = materialize(keyed, "digests")

@@ -92,4 +92,7 @@ def test_a_passage_in_a_third_of_all_documents(spark):
     noise = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(20, 300)))
     rows = [(i, noise() + passage + noise() if i % 3 == 0 else noise()) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
-    assert run(df, block_bytes=10_000, bucket_bytes=4000) == sorted(brute(rows, 100), key=repr)
+    for kw in ({"bucket_bytes": 4000}, {"least_rows": 20}):
+        assert run(df, block_bytes=10_000, **kw) == sorted(brute(rows, 100), key=repr)
+    blocks = suffix_dedup._blocks(df, "doc_id", "text", 10_000, 1 << 20)
+    assert suffix_dedup.frequent_grams(blocks, 100, 32, 20).count() > 0
