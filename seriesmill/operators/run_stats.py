@@ -38,22 +38,36 @@ def summarize(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     return basic.join(trimmed_mean(runs, by, value), by)
 
 
+#: Words that ``perf stat`` puts between a figure and its event.
+PERF_UNITS = ("msec", "usec", "nsec", "ns", "seconds", "Joules", "Bytes", "MiB", "MB/s", "C")
+#: What is reported of a run's events: one over another, times a factor.
+RATES = {
+    "instructions_per_cycle": ("instructions", "cycles", 1.0),
+    "cache_misses_pct": ("cache-misses", "cache-references", 100.0),
+    "l1d_misses_pct": ("L1-dcache-load-misses", "L1-dcache-loads", 100.0),
+    "branch_misses_pct": ("branch-misses", "branches", 100.0),
+}
+
+
 def parse_perf(lines: DataFrame, text: str = "value") -> DataFrame:
-    """``(event, n)``: counts of lines such as ``1,234  cpu_core/cycles/`` summed by event."""
-    pattern = r"^\s*([\d,]+)\s+.*?/([^/]+)/"
-    n = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit(""))
-    rows = lines.select(F.regexp_extract(text, pattern, 2).alias("event"), n.alias("n")).where("event <> ''")
-    return rows.groupBy("event").agg(F.coalesce(F.try_sum(F.expr("try_cast(n as bigint)")), F.lit(0)).alias("n"))
-
-
-def perf_ratios(counts: DataFrame) -> DataFrame:
-    """One row: instructions per cycle, and the miss rates of cache and L1 data in percent."""
-    of = lambda event: F.coalesce(F.sum(F.when(F.col("event") == event, F.col("n"))), F.lit(0))
-    return counts.agg(
-        ratio(of("instructions"), of("cycles")).alias("ipc"),
-        ratio(100.0 * of("cache-misses"), of("cache-references")).alias("cache_miss_rate"),
-        ratio(100.0 * of("L1-dcache-load-misses"), of("L1-dcache-loads")).alias("l1_miss_rate"),
-    )
+    """``(event, total)`` of the figures in ``perf stat``'s own layout, summed by event.
+
+    A line has a figure with thousands separators, a unit for some events, and the event: bare, with a modifier (``cycles:u``) or
+    within its unit of the processor (``cpu_core/cycles/u``).  Lines without a figure, ``<not counted>`` among them, are left out.
+    """
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    rows = lines.select(words.alias("w")).where(F.size("w") > 1)
+    figure = F.expr("try_cast(replace(w[0], ',', '') AS double)")
+    named = F.get("w", F.when(F.get("w", F.lit(1)).isin(*PERF_UNITS), 2).otherwise(1))
+    inner, bare = F.split_part(named, F.lit("/"), F.lit(2)), F.substring_index(named, ":", 1)
+    rows = rows.select(F.when(F.contains(named, F.lit("/")), inner).otherwise(bare).alias("event"), figure.alias("total"))
+    return rows.where("total is not null and event is not null").groupBy("event").agg(F.sum("total").alias("total"))
+
+
+def event_rates(totals: DataFrame, rates: dict[str, tuple[str, str, float]] | None = None) -> DataFrame:
+    """One row with each of ``rates``, 0 where its lower event was not counted."""
+    of = lambda event: F.coalesce(F.sum(F.when(F.col("event") == event, F.col("total"))), F.lit(0.0))
+    return totals.agg(*[ratio(of(above) * factor, of(below)).alias(name) for name, (above, below, factor) in (rates or RATES).items()])
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -275,8 +275,11 @@ def test_run_statistics(spark):
     assert got["a"].trimmed_mean == 3.0 and got["b"].trimmed_mean == 5.0 and got["b"].cv_pct == 0.0 and got["a"].runs == 5
     kv = run_stats.parse_runs(spark.createDataFrame([("elapsed=12",), ("noise",)], "value string")).collect()
     assert [(r.key, r.value) for r in kv] == [("elapsed", "12")]
-    perf = run_stats.parse_perf(spark.createDataFrame([("  1,000  cpu/cycles/",), (" 500 cpu/instructions/",), ("x",)], "value string"))
-    assert run_stats.perf_ratios(perf).first().ipc == 0.5 and run_stats.perf_ratios(perf).first().cache_miss_rate == 0.0
+    lines = ["     1,000      cpu_core/cycles/u        #    3.2 GHz   (83.1%)", "   500   instructions:u", " 1.000  cycles", "  12.5 msec task-clock   # 0.9 CPUs", "  <not counted>  branches", "x", "", "  7,5a  cache-misses"]
+    perf = run_stats.parse_perf(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {r.event: r.total for r in perf.collect()} == {"cycles": 1001.0, "instructions": 500.0, "task-clock": 12.5}
+    rates = run_stats.event_rates(perf).first()
+    assert rates.instructions_per_cycle == 500 / 1001 and rates.cache_misses_pct == rates.branch_misses_pct == 0.0
 
 
 @pytest.mark.parametrize("profile", ["uniform", "hotspot", "churn"])
