@@ -302,7 +302,7 @@ def frequent_grams(blocks: DataFrame, width: int, gram: int, least_rows: int) ->
 def repeated_runs(blocks: DataFrame, width: int, gram: int, bucket_bytes: int, least_rows: int = LEAST_ROWS) -> DataFrame:
     """``(block, place, n)``: n windows in a row, from byte ``place`` of the block on, that start earlier elsewhere too."""
     # Segments of a frequent gram are dealt by their own hash: alike ones stay together, and of the others
-    # it is taken for granted that there are several, and too many for one bucket.
+    # it is taken for granted that there are several; how much text they have is added up afterwards.
     heavy = F.broadcast(frequent_grams(blocks, width, gram, least_rows))
     dealt = F.when(F.col("frequent"), F.pmod("seg", F.lit(SLICES))).otherwise(0)
     rows = _met(blocks, width, gram).join(heavy, "gram", "left").withColumn("slice", dealt)
@@ -311,13 +311,16 @@ def repeated_runs(blocks: DataFrame, width: int, gram: int, bucket_bytes: int, l
     met = rows.select(
         "gram", "seg", "id", "block", "place", "n", "others", (F.coalesce(F.lag("seg").over(of_gram) == F.col("seg"), F.lit(False))).alias("again"),
         (F.col("frequent").isNotNull() | (F.max("seg").over(whole) != F.min("seg").over(whole))).alias("several"),
-        F.when(F.col("frequent"), bucket_bytes + 1).otherwise(F.sum(F.col("n") + F.lit(width - 1)).over(whole)).alias("weight"),
+        F.sum(F.col("n") + F.lit(width - 1)).over(whole).alias("weight"), "frequent",
     )
     met = materialize(met.where("again or several or size(others) > 0").drop("seg"), "segments")
     places = F.when(F.col("again"), F.concat(F.array("place"), "others")).otherwise(F.col("others"))
     alike = met.select("block", F.explode(places).alias("place"), "n")
     # First ones, of grams with different segments: these are sorted.
-    open_ = met.where("several and not again").select("gram", "id", "block", "place", "n", (F.col("weight") > bucket_bytes).alias("crowded"))
+    open_ = met.where("several and not again")
+    weights = F.broadcast(open_.where("frequent").groupBy("gram").agg(F.sum(F.col("n") + width - 1).alias("all")))
+    crowded = F.coalesce("all", "weight") > bucket_bytes
+    open_ = open_.join(weights, "gram", "left").select("gram", "id", "block", "place", "n", crowded.alias("crowded"))
     total = open_.where("not crowded").agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     bucket = F.when(~F.col("crowded"), F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
@@ -386,8 +389,8 @@ def remove_repeats(
     a table without rows gives none; other columns are not looked at.  Equal segments are known by two
     64-bit hashes and their length.
 
-    ``bucket_bytes``: text of one suffix bucket; a gram with more is met window by window, by SHA-256.  So is one that is
-    frequent (``frequent_grams``): its segments are dealt over slices.
+    ``bucket_bytes``: text of one suffix bucket; a gram with more is met window by window, by SHA-256.  Before that, segments
+    of a frequent gram (``frequent_grams``) are dealt over slices.
     """
     if not PERIOD <= width or not 0 < gram <= width:
         raise ValueError(f"width is {PERIOD} at least, and gram no more than width")
