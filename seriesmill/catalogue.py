@@ -546,7 +546,7 @@ def dogstatsd_timer_lines(t: Tables) -> DataFrame:
 def dogstatsd_distribution_lines(t: Tables) -> DataFrame:
     exp = aggregate.exponential_histogram(t.whole(), ["event_type"], "v")
     rows = aggregate.exponential_samples(exp, ["event_type"]).withColumn("labels", otel.label_attributes("event_type"))
-    return exposition.dogstatsd_distribution(rows, "shop.dist", "labels").select("line")
+    return exposition.dogstatsd_distribution(rows, "shop.dist", "labels", rate_text=numbers.sql_float_text).select("line")
 
 
 SHOP = MetricSet([MetricSpec("events", "counter", "Events", dynamic=True, max_series=CAP)], "shop")
@@ -561,7 +561,7 @@ def dogstatsd_delta_lines(t: Tables) -> DataFrame:
 
 
 _MIDPOINT = f"CAST(CASE WHEN {_V} = 0 THEN 0 WHEN {_BUCKET} = 0 THEN 1 ELSE 3 * (1 << ({_BUCKET} - 1)) END AS BIGINT)"
-SIZES = MetricSet([MetricSpec("size", "distribution", "Sizes", dynamic=True, max_series=0)], "shop")
+SIZES = MetricSet([MetricSpec("size", "distribution", "Sizes", dynamic=True, max_series=0)], "shop", rate_text=numbers.sql_float_text)
 
 
 @query(f"""WITH b AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS "window", user_id, event_type, {_MIDPOINT} AS m, count(*) AS n FROM events GROUP BY 1, 2, 3, 4)
@@ -964,7 +964,7 @@ def delta_arrays(t: Tables) -> DataFrame:
 @query("SELECT CAST(count(*) AS BIGINT) AS points, true AS within_limit, true AS several FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2)")
 def otlp_requests(t: Tables) -> DataFrame:
     """Every series once, in requests of bounded size."""
-    sets = MetricSet([MetricSpec("events", "counter", dynamic=True, max_series=0)], "shop")
+    sets = MetricSet([MetricSpec("events", "counter", dynamic=True, max_series=0)], "shop", rate_text=numbers.sql_float_text)
     requests = sets.export_otlp_requests(t.obs(), RESOURCE, 4000)
     return requests.agg(F.sum("n_points").alias("points"), (F.max(F.octet_length("json")) <= 4000).alias("within_limit"), (F.count(F.lit(1)) > 1).alias("several"))
 
@@ -972,7 +972,7 @@ def otlp_requests(t: Tables) -> DataFrame:
 @query("SELECT CAST(count(*) AS BIGINT) AS points, true AS within_limit, true AS several FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2)")
 def otlp_protobuf_requests(t: Tables) -> DataFrame:
     """The same in Protocol Buffers."""
-    sets = MetricSet([MetricSpec("events", "counter", dynamic=True, max_series=0)], "shop")
+    sets = MetricSet([MetricSpec("events", "counter", dynamic=True, max_series=0)], "shop", rate_text=numbers.sql_float_text)
     requests = sets.export_otlp_protobuf(t.obs(), RESOURCE, 4000)
     return requests.agg(F.sum("n_points").alias("points"), (F.max(F.octet_length("body")) <= 4000).alias("within_limit"), (F.count(F.lit(1)) > 1).alias("several"))
 

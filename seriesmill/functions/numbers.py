@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LONG_MAX = 2**63 - 1
 
@@ -51,6 +53,20 @@ def float_text(v: Column) -> Column:
     return F.when(F.abs(v) == float("inf"), F.concat(sign, F.lit("inf"))).when(F.contains(s, F.lit("E")), big).otherwise(s)
 
 
+@F.pandas_udf(StringType())
+def _repr(v: pd.Series) -> pd.Series:
+    return v.map(float.__repr__, na_action="ignore")
+
+
+def sql_float_text(v: Column) -> Column:
+    """The least digits of a double that read back as it and are closest to it, laid out as SQL engines cast it to
+    text: ``0.0001``, ``6.25e-05``; plain notation from 1e-4 on.
+
+    The JVM's own text has a digit too many for some doubles before Java 19, so the digits are Python's.
+    """
+    return _repr(v.cast("double"))
+
+
 def compact_float_text(v: Column) -> Column:
     """Whole numbers below 2**53 as integers, others as ``float_text``; -0.0 is ``0``."""
     whole = ~F.isnan(v) & (F.abs(v) < 2.0**53)

@@ -8,7 +8,7 @@ maps; ``labels=None`` is a metric without labels.  Nothing is sorted here;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -139,12 +139,13 @@ def dogstatsd_timer(series: DataFrame, name: str, labels: str | None = None, tag
     return _dogstatsd(series, [(name + suffix, F.col(c).cast("string"), "c") for suffix, c in parts], labels, tags, keep)
 
 
-def dogstatsd_distribution(samples: DataFrame, name: str, labels: str | None = None, tags: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def dogstatsd_distribution(samples: DataFrame, name: str, labels: str | None = None, tags: dict[str, str] | None = None, keep: Sequence[str] = (), rate_text: Callable[[Column], Column] = numbers.float_text) -> DataFrame:
     """Rows ``(pos, midpoint, n)`` as samples: ``name:midpoint|d``, with the rate 1/n where n > 1.
 
-    The order is that of ``pos``: zeros first for totals, last for deltas.
+    The order is that of ``pos``: zeros first for totals, last for deltas.  ``rate_text`` writes the rate: as the other
+    numbers here, or as SQL has it (``numbers.sql_float_text``), which differs below 1e-4.
     """
-    rate = F.when(F.col("n") > 1, F.concat(F.lit("|@"), numbers.float_text(F.lit(1.0) / F.col("n")))).otherwise(F.lit(""))
+    rate = F.when(F.col("n") > 1, F.concat(F.lit("|@"), rate_text(F.lit(1.0) / F.col("n")))).otherwise(F.lit(""))
     line = F.concat(F.lit(name + ":"), F.col("midpoint").cast("string"), F.lit("|d"), rate, _tags(labels, tags or {}))
     return samples.where("n > 0").select(*keep, _key(labels).alias("series"), F.col("pos").cast("int").alias("pos"), line.alias("line"))
 

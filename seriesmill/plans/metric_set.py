@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions import numbers
@@ -60,6 +60,8 @@ class MetricSet:
     prefix: str = ""
     strict_compat: bool = False
     projections: dict[str, Projection] = field(default_factory=dict)
+    #: How DogStatsD's sample rates are written.
+    rate_text: Callable[[Column], Column] = numbers.float_text
     _held: list[DataFrame] = field(default_factory=list, init=False, repr=False, compare=False)
 
     def name(self, spec: MetricSpec, separator: str = "_") -> str:
@@ -152,7 +154,7 @@ class MetricSet:
         samples = aggregate.exponential_samples(s, [*keep, *([labels] if labels else [])])
         if zeros_last:
             samples = samples.withColumn("pos", F.when(F.col("pos") == -1, 64).otherwise(F.col("pos")))
-        return exposition.dogstatsd_distribution(samples, name, **kw)
+        return exposition.dogstatsd_distribution(samples, name, **kw, rate_text=self.rate_text)
 
     def export_dogstatsd(self, obs: DataFrame, tags: dict[str, str] | None = None) -> DataFrame:
         """``(metric_order, series, pos, line)`` of running totals."""

@@ -2,11 +2,12 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.functions.labels import LabelDomain
-from seriesmill.functions.numbers import compact_float_text, cumulative_to_buckets, float_text
+from seriesmill.functions.numbers import compact_float_text, cumulative_to_buckets, float_text, sql_float_text
 from seriesmill.operators import aggregate, exposition, otel
 from seriesmill.plans.metric_set import MetricSet, MetricSpec
 from seriesmill.sources.observations import OBSERVATION
@@ -70,6 +71,14 @@ def test_dogstatsd_distribution(spark):
     assert of([0, 1]) == ["latency:0|d", "latency:1|d"]
 
 
+def test_rates_of_many_samples_as_sql_has_them(spark):
+    """Rates below 1e-4, and doubles that the JVM before 19 writes with other digits."""
+    counts = [1, 2, 10_000, 10_001, 15_654, 1_471_200, *range(3_000_001, 3_004_000)]
+    samples = spark.createDataFrame([(i, 12, n) for i, n in enumerate(counts)], "pos int, midpoint bigint, n bigint")
+    want = duckdb.execute("SELECT 's:12|d' || CASE WHEN n > 1 THEN '|@' || (1.0::DOUBLE / n)::VARCHAR ELSE '' END FROM (SELECT unnest(?) AS n)", [counts]).fetchall()
+    assert lines(exposition.dogstatsd_distribution(samples, "s", rate_text=sql_float_text)) == [w for (w,) in want]
+
+
 def test_datagrams(spark):
     texts = [f"line{i:03d}" for i in range(50)] + ["x" * 200]
     packed = exposition.pack_datagrams(spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1), 64).collect()
