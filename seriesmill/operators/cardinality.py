@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,40 +86,63 @@ def cap_and_evict(obs: DataFrame, cycle: str, max_series: int, max_staleness: in
     """Cap and eviction together: a slot that an evicted series frees admits a later one.
 
     ``(metric, labels, cycle, generation, redirected)`` for every label set and cycle that
-    has observations.  This is a fold in time order: a sweep ends every cycle.  It
-    runs over the distinct touches of a metric, streamed in order through one
-    task per group of metrics; its state is the live series, at most the cap, and
-    generations are counted afterwards, by series.  The overflow
+    has observations.  This is a fold in time order: a sweep ends every cycle.  The overflow
     series takes a slot while it lives, so two must go before another is admitted.
-    """
-    touches = obs.groupBy(metric, canonical(F.col(labels)).alias("labels"), F.col(cycle).alias("cycle")).agg(F.min(F.struct(*order)).alias("first"))
-    touches = touches.withColumn("_key", F.to_json(series_key(F.col("labels"))))
-    ordered = touches.repartition(F.col(metric)).sortWithinPartitions(metric, "cycle", "first", "_key").select(F.col(metric).alias("metric"), "labels", "cycle", "_key")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A series that is admitted lives to the end of its run of touches without a longer idle gap, and the slots of a
+    cycle are gone after its first ``max_series`` touches at the latest; any touch after these means that
+    some are redirected.  So the fold meets only the first touches of each cycle, one more than the cap, with the
+    ends of their runs, streamed through one task per group of metrics whatever the number of series;
+    the rest is by series.
+    """
+    id_ = F.struct(F.col(metric).alias("metric"), series_key(F.col(labels)).alias("series")).alias("_id")
+    touches = obs.groupBy(id_, F.col(cycle).alias("cycle")).agg(F.min(F.struct(*order)).alias("first"))
+    so_far = Window.partitionBy("_id").orderBy(F.col("cycle").asc_nulls_last())
+    begins = F.coalesce(F.col("cycle") - F.lag("cycle").over(so_far) <= max_staleness, F.lit(False)) == F.lit(False)
+    runs = touches.withColumn("_begin", F.when(begins, F.col("cycle")))
+    runs = runs.withColumn("_run", F.last("_begin", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    if not max_series:
+        generation = F.greatest(F.count("_begin").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) - 1, F.lit(0))
+        return runs.select("_id.metric", F.map_from_entries("_id.series").alias("labels"), "cycle", generation.cast("int").alias("generation"), F.lit(False).alias("redirected"))
+
+    # One sort for the ends alone, from the last touch back.
+    back = Window.partitionBy("_id").orderBy(F.col("cycle").desc())
+    last = F.coalesce(F.lag("cycle").over(back) - F.col("cycle") > max_staleness, F.lit(True))
+    ends = touches.where("cycle is not null").withColumn("_last", F.when(last, F.col("cycle")))
+    ends = ends.withColumn("_end", F.last("_last", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(F.col("_id.metric"), "cycle").orderBy("first", F.to_json("_id.series")))
+    heads = ends.select("_id", "cycle", "_end", place.alias("_place")).where(F.col("_place") <= max_series + 1)
+    heads = heads.withColumns({"_metric": F.col("_id.metric"), "_key": F.to_json("_id.series")})
+    heads = heads.repartition(F.col("_metric")).sortWithinPartitions("_metric", "cycle", "_place")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live, clock = None, {}, None
-        for pdf in batches:
-            since, redirected = [], []
-            for m, key, now in zip(pdf["metric"], pdf["_key"], pdf["cycle"], strict=True):
+        for batch in batches:
+            admitted = []
+            for m, key, now, end, at in zip(*(batch.column(c).to_pylist() for c in ("_metric", "_key", "cycle", "_end", "_place")), strict=True):
                 if m != current:
                     current, live, clock = m, {}, None
                 if now != clock:  # the sweeps between the last cycle and this one
-                    live = {k: t for k, t in live.items() if now - t[0] <= max_staleness}
+                    live = {k: t for k, t in live.items() if now - t <= max_staleness}
                     clock = now
-                admit = key in live or not max_series or len(live) < max_series
-                name = key if admit else OVERFLOW_KEY
-                live[name] = (now, live[name][1] if name in live else now)
-                since.append(live[name][1] if admit else None)
-                redirected.append(not admit)
-            yield pdf.assign(_since=pd.array(since, "Int64"), redirected=redirected)
-
-    kind = dict(obs.dtypes)[metric]
-    out = ordered.mapInPandas(fold, f"metric {kind}, labels map<string,string>, cycle bigint, _key string, _since bigint, redirected boolean")
-    # A redirected touch comes after the generations that the series had until then.
-    so_far = Window.partitionBy("metric", "_key").orderBy("cycle", F.col("redirected").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.when(F.col("_since") == F.col("cycle"), 1).otherwise(0)
-    generation = F.greatest(F.sum(begun).over(so_far) - 1, F.lit(0)).cast("int")
-    return out.select("metric", "labels", "cycle", generation.alias("generation"), "redirected")
+                new = at <= max_series and key not in live
+                admit = new and len(live) < max_series
+                if admit:
+                    live[key] = end
+                elif new or at > max_series:
+                    live[OVERFLOW_KEY] = now
+                admitted.append(admit)
+            yield batch.select(["_id", "cycle"]).filter(pa.array(admitted, pa.bool_()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in heads.schema.fields}
+    admissions = heads.mapInArrow(fold, f"_id {kinds['_id']}, cycle {kinds['cycle']}").groupBy("_id").agg(F.collect_list("cycle").alias("_admitted"))
+    out = runs.select("_id", "cycle", "_run").join(admissions, "_id", "left")
+    # A touch without a cycle is after all others and finds nothing alive.
+    until = F.when(F.col("cycle").isNull(), F.size("_admitted") + 1).otherwise(F.size(F.filter("_admitted", lambda c: c <= F.col("cycle"))))
+    inside = F.exists("_admitted", lambda c: c.between(F.col("_run"), F.col("cycle")))
+    return out.withColumn("_admitted", F.coalesce("_admitted", F.array().cast(f"array<{kinds['cycle']}>"))).select(
+        "_id.metric", F.map_from_entries("_id.series").alias("labels"), "cycle", F.greatest(until - 1, F.lit(0)).cast("int").alias("generation"), (F.col("cycle").isNotNull() & ~inside).alias("redirected")
+    )
 
 
 def is_overflow(labels: Column) -> Column:

@@ -131,6 +131,30 @@ def test_cap_and_evict_is_the_fold(spark, touches, cap, idle):
     assert sorted((r.labels["id"], r.cycle, r.generation, r.redirected) for r in got) == fold(touches, cap, idle)
 
 
+def test_cap_and_evict_folds_only_the_first_touches(spark, monkeypatch):
+    """Of 300 series a cycle, no more than one above the cap reaches the one task; the result is that of the whole fold."""
+    cap, idle, met = 3, 1, spark.sparkContext.accumulator(0)
+    touches = [(f"s{(17 * i + 5 * c) % 900}", c) for c in (0, 1, 2, 5, 6, 9) for i in range(300)]
+    rows = obs(spark, [({"id": k}, 1, c) for k, c in touches])
+    whole = type(rows).mapInArrow
+
+    def counted_fold(df, f, schema):
+        def g(batches):
+            def seen():
+                for b in batches:
+                    met.add(b.num_rows)
+                    yield b
+
+            return f(seen())
+
+        return whole(df, g, schema)
+
+    monkeypatch.setattr(type(rows), "mapInArrow", counted_fold)
+    got = cardinality.cap_and_evict(rows, "cycle", cap, idle).collect()
+    assert sorted((r.labels["id"], r.cycle, r.generation, r.redirected) for r in got) == fold(touches, cap, idle)
+    assert 0 < met.value <= 6 * (cap + 1)
+
+
 def test_counts_without_a_second_scan(spark):
     """Observed counts of the capped rows are those of overflow_stats."""
     rows = obs(spark, [({"id": str(i % 7)}, 1, i) for i in range(50)])
