@@ -98,33 +98,49 @@ def edges(spans: DataFrame) -> DataFrame:
     return spans.where("parent_span_id is not null").join(parents, ["trace_id", "parent_span_id"]).select("trace_id", "parent_span_id", "parent_name", "span_id", "name")
 
 
+def _packed(id_: Column) -> Column:
+    """An id as bytes, half as many where it is lower-case hexadecimal; different ids differ."""
+    raw = F.unhex(id_)
+    return F.when(F.lower(F.hex(raw)) == id_, F.concat(F.lit(b"\1"), raw)).otherwise(F.concat(F.lit(b"\0"), id_.cast("binary")))
+
+
+def _unpacked(bytes_: Column) -> Column:
+    rest = F.substring(bytes_, 2, 2**31 - 1)
+    return F.when(F.substring(bytes_, 1, 1) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def tree_depths(spans: DataFrame) -> DataFrame:
     """``(trace_id, span_id, depth, root_span_id)`` of every span, whose ids occur once in a trace.
 
     Roots, and orphans of missing parents, have depth 0.  Spans on a cycle of parents, or below one, have
-    no depth and no root.  Each round a pointer skips as far again as it has come, and a
+    no depth and no root.  Ids travel as bytes.  The first round looks at the parent, and whether that names one itself,
+    which settles two levels.  Each round after it, a pointer skips as far again as it has come, and a
     span whose pointer has passed its root is done; so there are as many rounds as the depth has binary digits,
     over fewer spans each, every one written.  Pointers that are still under way after more steps than the largest
     trace has spans are on a cycle.
     """
-    known = spans.select("trace_id", F.col("span_id").alias("p"), F.lit(True).alias("known"))
-    ptr = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("p")).join(known, ["trace_id", "p"], "left")
-    ptr = kept(ptr.select("trace_id", "span_id", F.when(F.col("known"), F.col("p")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"), F.when(F.col("known"), F.col("p")).otherwise(F.col("span_id")).alias("top")), "spans")
+    ids = spans.select(_packed(F.col("trace_id")).alias("trace_id"), _packed(F.col("span_id")).alias("span_id"), _packed(F.col("parent_span_id")).alias("p"))
+    known = ids.select("trace_id", F.col("span_id").alias("p"), F.col("p").isNotNull().alias("below"))
+    ptr = ids.join(known, ["trace_id", "p"], "left")
+    # ``up``: how far the pointer has come, null once it has passed the root; ``top``: the root then, null for the span itself.
+    there, parent = F.col("below").isNotNull(), F.col("p")
+    ptr = kept(ptr.select("trace_id", "span_id", F.when(F.col("below"), parent).alias("up"), F.when(there, 1).otherwise(0).alias("depth"), F.when(there, parent).alias("top")), "spans")
     done, under_way, reach = [ptr.where("up is null")], ptr.where("up is not null"), 1
     most = None
     while not under_way.isEmpty():
         if reach >= 64 and most is None:
             most = spans.groupBy("trace_id").count().agg(F.max("count")).first()[0]
         if most is not None and reach > most:
-            done.append(under_way.select("trace_id", "span_id", "up", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("top")))
+            done.append(under_way.select("trace_id", "span_id", "up", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("binary").alias("top")))
             break
         everyone = reduce(DataFrame.unionByName, [*done, under_way])
-        far = everyone.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("top").alias("t2"))
+        far = everyone.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.coalesce("top", "span_id").alias("t2"))
         step = under_way.join(far, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("t2").alias("top"))
         step, reach = kept(step, "spans"), 2 * reach
         done.append(step.where("up is null"))
         under_way = step.where("up is not null")
-    return reduce(DataFrame.unionByName, done).select("trace_id", "span_id", "depth", F.col("top").alias("root_span_id"))
+    root = F.when(F.col("depth").isNotNull(), _unpacked(F.coalesce("top", "span_id")))
+    return reduce(DataFrame.unionByName, done).select(_unpacked(F.col("trace_id")).alias("trace_id"), _unpacked(F.col("span_id")).alias("span_id"), "depth", root.alias("root_span_id"))
 
 
 def current_spans(logs: DataFrame, spans: DataFrame, producer: str = "producer", at: str = "time_unix_nano") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions import trace_ids
 from seriesmill.operators import aggregate, otel, run_stats, spans, temporality
 from seriesmill.sources import observations as source
+from seriesmill.sources.rounds import kept
 from seriesmill.streaming import sinks, state, windows
 
 TRACE, SPAN = "4bf92f3577b34da6a3ce929d0e0e4736", "00f067aa0ba902b7"
@@ -60,6 +61,17 @@ def test_deep_tree(spark):
     assert got == {str(i): (i, "0") for i in range(n)}
 
 
+def test_two_levels_take_one_round(spark, monkeypatch):
+    """Roots, children and orphans are settled by one join; ids that are no hexadecimal, or look alike in it, stay apart."""
+    rounds = []
+    monkeypatch.setattr(spans, "kept", lambda df, name: rounds.append(name) or kept(df, name))
+    ids = [("6162", "ff", None), ("6162", "FF", "ff"), ("ab", "ff", "FF"), ("ab", "x", None), ("ab", "f", "x"), ("ab", "0f", "x")]
+    df = spark.createDataFrame(ids, "trace_id string, span_id string, parent_span_id string")
+    got = {(r.trace_id, r.span_id): (r.depth, r.root_span_id) for r in spans.tree_depths(df).collect()}
+    assert got == {("6162", "ff"): (0, "ff"), ("6162", "FF"): (1, "ff"), ("ab", "ff"): (0, "ff"), ("ab", "x"): (0, "x"), ("ab", "f"): (1, "x"), ("ab", "0f"): (1, "x")}
+    assert len(rounds) == 1
+
+
 def test_depths_of_random_forests_with_cycles(spark):
     """A chain of a thousand, cycles with branches, orphans and a span that is its own parent."""
     rng = random.Random(1)
