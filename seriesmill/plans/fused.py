@@ -2,7 +2,7 @@
 
 1. Observations are grouped by metric, series and cell (the bucket of a histogram,
    distribution or timer) with every kind's partial state, before the shuffle as after it.  Two kinds
-   need single rows, which go along as groups of their own: timers that are sampled by
+   need single rows, which go along as they are: timers that are sampled by
    stride, and gauges that are both set and added to.
 2. What is left is kept by Spark's cache, so the observations are not read again.  On it,
    timers are sampled over all timers of a producer in one sequence, label sets are
@@ -110,14 +110,19 @@ def fuse(obs: DataFrame, specs: Sequence, by: Sequence[str], held: list[DataFram
     rows = obs.where(wanted | (F.col("op") == "elapsed") if strided else wanted).withColumn("_k", number)
     k = F.col("_k")
     rows = rows.where(~(_is(k, _of(specs, lambda s: s.kind == "distribution")) & F.col("value_l").isNull()))
-    # Rows of these kinds stay apart, alike ones counted.
+    # Rows of these kinds stay apart.
     calls, steps = _is(k, [*strided, _NO_METRIC]), _is(k, folded)
     alone = {"r_producer": F.when(calls, F.col("producer")), "r_ts": F.when(calls | steps, F.col("ts")), "r_seq": F.when(calls | steps, F.col("seq")), "r_op": F.when(steps, F.col("op")), "r_value": F.when(calls | steps, F.col("value_l"))}
     rows = rows.withColumns({"_series": _labels(specs), "_cell": _cell(specs), **(alone if strided or folded else {})})
     states = _states(specs)
-    keys = ["_k", *by, "_series", "_cell", *(alone if strided or folded else {})]
     first = [F.min(F.struct("ts", "seq")).alias("first")] if capped else []
-    groups = rows.groupBy(*keys).agg(*[start.alias(name) for name, (start, _) in states.items()], *first)
+    # Rows that stay apart are not grouped: hardly any two are alike, and they would be sorted and shuffled for it.
+    single = _is(k, [*strided, _NO_METRIC, *folded]) if strided or folded else F.lit(False)
+    groups = rows.where(~single).groupBy("_k", *by, "_series", "_cell").agg(*[start.alias(name) for name, (start, _) in states.items()], *first)
+    if strided or folded:
+        one = {"n": F.lit(1).cast("bigint"), "n_values": F.col("value_l").isNotNull().cast("bigint"), "sum_l": F.col("value_l"), **({"first": F.struct("ts", "seq")} if capped else {})}
+        apart = rows.where(single).select("_k", *by, "_series", "_cell", *alone, *[c.alias(name) for name, c in one.items()])
+        groups = groups.unionByName(apart, allowMissingColumns=True)
     if strided or folded or capped:
         groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(groups)
