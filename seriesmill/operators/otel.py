@@ -17,6 +17,8 @@ SUM, GAUGE, HISTOGRAM, EXP_HISTOGRAM = "otel_metrics_sum", "otel_metrics_gauge",
 _MAP = "map<string,string>"
 #: Bytes of an export request, before compression.
 REQUEST_BYTES = 4 << 20
+#: Points of a metric in one JSON document, about; a metric of more series is cut over several.
+POINTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -168,12 +170,15 @@ def _metrics_of(points: DataFrame, *by: str) -> DataFrame:
 
 
 def metric_json(series: DataFrame, kind: str, name: str, time_unix_nano: int, value: str = "sum", bounds: Sequence[int] = (), description: str | None = None, labels: str | None = None) -> DataFrame:
-    """One row ``json`` with an OTLP metric and all its points; none if there is no series.
+    """Rows ``json`` with an OTLP metric that together hold all its points; none if there is no series.
 
-    A metric is one document here, so its points meet in one row: for many series, send
-    ``bounded_requests`` of ``metric_points``, or write the row tables instead.
+    A metric of at most ``POINTS`` series is one document.  The points of a larger one are dealt by their hash over documents
+    of about that many, each with the metric around them, so no row or task holds them all.
     """
-    return _metrics_of(metric_points(series, kind, name, time_unix_nano, value, bounds, description, labels)).select("json")
+    points = metric_points(series, kind, name, time_unix_nano, value, bounds, description, labels)
+    pieces = points.agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("_pieces"))
+    dealt = points.crossJoin(F.broadcast(pieces)).withColumn("_piece", F.pmod(F.xxhash64("point"), F.col("_pieces")))
+    return _metrics_of(dealt, "_piece").select("json")
 
 
 def _envelope(resource: Resource) -> tuple[Column, Column]:

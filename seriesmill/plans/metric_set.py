@@ -226,7 +226,7 @@ class MetricSet:
         return parts
 
     def export_otlp(self, obs: DataFrame, resource: otel.Resource) -> DataFrame:
-        """``json``: one OTLP metric a row; dynamic metrics without series are left out."""
+        """``json``: one OTLP metric a row, of many series over several; dynamic metrics without series are left out."""
         return reduce(DataFrame.unionByName, self._otlp(obs, resource, otel.metric_json))
 
     def export_otlp_requests(self, obs: DataFrame, resource: otel.Resource, limit: int = otel.REQUEST_BYTES) -> DataFrame:

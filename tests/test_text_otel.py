@@ -79,6 +79,14 @@ def test_rates_of_many_samples_as_sql_has_them(spark):
     assert lines(exposition.dogstatsd_distribution(samples, "s", rate_text=sql_float_text)) == [w for (w,) in want]
 
 
+def test_a_metric_of_many_series_is_cut_over_documents(spark, monkeypatch):
+    monkeypatch.setattr(otel, "POINTS", 10)
+    series = aggregate.counter_sum(obs(spark, [("c", "add", {"id": str(i)}, i) for i in range(100)]), ["labels"])
+    docs = [json.loads(r.json)["sum"]["dataPoints"] for r in otel.metric_json(series, "sum", "c", 1, labels="labels").collect()]
+    assert 5 <= len(docs) <= 10 and max(map(len, docs)) < 40
+    assert sorted(int(p["asInt"]) for d in docs for p in d) == list(range(100))
+
+
 def test_datagrams(spark):
     texts = [f"line{i:03d}" for i in range(50)] + ["x" * 200]
     packed = exposition.pack_datagrams(spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1), 64).collect()
